@@ -84,9 +84,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force."""
-    words = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
-    grams = "SELECT {0}, array_to_string(list_slice(w, k, k + 12), ' ') AS gram FROM (SELECT {0}, w, unnest(range(1, len(w) - 11)) AS k FROM (SELECT {0}, " + words.format("text") + " AS w FROM {1} WHERE text IS NOT NULL))"
+    def grams(key: str, name: str) -> str:
+        words = f"SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {name} WHERE text IS NOT NULL"
+        return f"SELECT {key}, array_to_string(list_slice(w, k, k + 12), ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS k FROM ({words}))"
+
     return {
         "p5_found": "SELECT DISTINCT fragment_id FROM demo WHERE octet_length(encode(text)) > 6144",
-        "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams.format('doc_id', 'documents')}) JOIN ({grams.format('item_id', 'benchmark')}) USING (gram)",
+        "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({grams('doc_id', 'documents')}) JOIN ({grams('item_id', 'benchmark')}) USING (gram)",
     }
