@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import credentials, handwritten, leakage, mixing, packing, shared_spans, splitting, stuffing
+from spanloom.llm import credentials, handwritten, leakage, mixing, packing, parsing, shared_spans, splitting, stuffing
 from spanloom.session import table
 
 
@@ -31,6 +31,14 @@ def p2_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return credentials.redacted(_fragments(spark, sf))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return parsing.invalid(_fragments(spark, sf)).select("fragment_id")
+
+
+def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return parsing.rates(_fragments(spark, sf))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = shared_spans.shared_pairs(_fragments(spark, sf))
     return pairs.select(F.col("first").alias("fragment_a"), F.col("second").alias("fragment_b"))
@@ -84,7 +92,7 @@ def p9_scores(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query by name; of each problem the first is the one that is checked."""
     found = [
-        p1_found, p1_origins, p2_found, p2_redacted, p4_found, p4_extent, p5_found, p5_pieces, p6_assign, p6_containers,
+        p1_found, p1_origins, p2_found, p2_redacted, p3_found, p3_rates, p4_found, p4_extent, p5_found, p5_pieces, p6_assign, p6_containers,
         p7_found, p7_alignments, p8_uses, p8_shares, p9_found, p9_scores,
     ]
     return {q.__name__: q for q in found}
