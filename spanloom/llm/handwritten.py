@@ -73,8 +73,24 @@ _RUN = 48
 MEASURES = "struct<chars long, lines long, max_line long, mean_line double, white double, alnum double, digits double, numbers long, encoded long, shapes double, numbered double>"
 
 
+#: Bytes measured at a time, unless one text has more; intermediate arrays take some hundred bytes for each.
+PORTION = 1 << 20
+
+
 def measure(texts: pd.Series) -> pd.DataFrame:
-    """Layout statistics of each text, computed over all bytes of a batch at once; null counts as empty.
+    """Layout statistics of each text, some MB at a time; null counts as empty. See ``_portion`` for their meaning."""
+    parts, held, size = [], [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t) if isinstance(t, str) else 1
+        if size >= PORTION:
+            parts.append(_portion(held))
+            held, size = [], 0
+    return pd.concat([*parts, _portion(held)], ignore_index=True) if parts or held else _portion([])
+
+
+def _portion(texts: list[str | None]) -> pd.DataFrame:
+    """Layout statistics of each text, computed over all bytes at once; null counts as empty.
 
     chars and line lengths are UTF-8 bytes. lines counts lines that are not blank, shapes is the share of
     distinct lines among them once every run of letters, digits, underscores and spaces is one symbol, numbered
