@@ -235,7 +235,8 @@ def _class_pairs(df: DataFrame, people: DataFrame, key: str, group: str, text: s
     texts = df.where((F.length(F.col(text)) >= least) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("of"), F.col(text).alias("t"))
     rows = materialize(texts.mapInPandas(find, f"k {kind}, of {of}, at int, h long, before long"), "spans-anchors")
     met = rows.groupBy("h").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select("h")
-    shared = rows.join(met, "h").select("k", "at", "h", "before")
+    met = materialize(met, "spans-met")
+    shared = rows.join(_small(met), "h").select("k", "at", "h", "before")
     person = people.select(F.col("member").alias("k"), "class", "low", "high")
     shared = materialize(shared.join(person, "k").where(F.col("k") == F.col("class")).select("class", "low", "high", "at", "h", "before").distinct(), "spans-shared")
     return _verified(df, shared, key, text, least, size, both, kind)
@@ -275,7 +276,8 @@ def _verified(df: DataFrame, shared: DataFrame, key: str, text: str, least: int,
     pairs = a.join(b, "h").where((F.col("a") < F.col("b")) & apart & begins).select("a", "b").distinct()
     left = texts.select(F.col("class").alias("a"), F.col("t").alias("a_text"), F.col("places").alias("a_places"))
     right = texts.select(F.col("class").alias("b"), F.col("t").alias("b_text"), F.col("places").alias("b_places"))
-    joined = pairs.join(left, "a").join(right, "b").repartition(F.col("a"), F.pmod(F.xxhash64("b"), F.lit(8))).sortWithinPartitions("a")
+    # The second join leaves each shard's documents side by side; a crowded shard is split by the skew join.
+    joined = pairs.join(right, "b").join(left, "a").sortWithinPartitions("a")
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, shard = None, None
