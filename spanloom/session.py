@@ -52,6 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its scan has fewer partitions than there are cores, as a single small file has.
+
+    Large inputs come in many partitions and stay as they are. The number is given, so that adaptive execution does not
+    put the parts together again before a stage whose cost is computing and not data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a private one is set only where none is configured (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
