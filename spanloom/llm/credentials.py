@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import spread
+
 #: Layers that are decoded inside one another.
 DEPTH = 4
 MARK = "REDACTED"
@@ -444,7 +446,7 @@ def find(df: DataFrame, key: str = "fragment_id", text: str = "text", path: str
                         rows.append((k, s + t.count("\n", 0, f.start), f.kind, ">".join(f.layers), f.start, f.end))
             yield pd.DataFrame(rows, columns=[key, "line_no", "kind", "layers", "value_start", "value_end"])
 
-    rows = df.where(F.length(F.col(text)) > 0).select(F.col(key), F.col(text).alias("_t"), F.col(path).cast("string").alias("_p"), F.coalesce(F.col(start).cast("int"), F.lit(1)).alias("_s"))
+    rows = spread(df).where(F.length(F.col(text)) > 0).select(F.col(key), F.col(text).alias("_t"), F.col(path).cast("string").alias("_p"), F.coalesce(F.col(start).cast("int"), F.lit(1)).alias("_s"))
     return rows.mapInPandas(each, f"{key} {_schema(df, key)}, line_no int, kind string, layers string, value_start int, value_end int").dropDuplicates([key, "value_start"])
 
 
@@ -460,5 +462,5 @@ def redacted(df: DataFrame, key: str = "fragment_id", text: str = "text", path:
                     rows.append((k, sum(f.kind != "joined" for f in findings), redact(t, findings)))
             yield pd.DataFrame(rows, columns=[key, "n_values", "redacted_text"])
 
-    rows = df.where(F.length(F.col(text)) > 0).select(F.col(key), F.col(text).alias("_t"), F.col(path).cast("string").alias("_p"))
+    rows = spread(df).where(F.length(F.col(text)) > 0).select(F.col(key), F.col(text).alias("_t"), F.col(path).cast("string").alias("_p"))
     return rows.mapInPandas(each, f"{key} {_schema(df, key)}, n_values int, redacted_text string").dropDuplicates([key])

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import spread
+
 #: Thresholds by language family. max_line and mean_line count characters; the rest are shares of the
 #: text or counts a line. A family without a threshold never reports that reason.
 THRESHOLDS = {
@@ -164,7 +166,7 @@ def layout(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     for name in dict.fromkeys(FAMILIES.values()):
         family = F.when(ext.isin([e for e, f in FAMILIES.items() if f == name]), F.lit(name)).otherwise(family)
     measured = F.pandas_udf(measure, MEASURES)
-    return df.withColumn("layout", measured(F.col(text))).withColumn("layout", F.col("layout").withField("family", family))
+    return spread(df).withColumn("layout", measured(F.col(text))).withColumn("layout", F.col("layout").withField("family", family))
 
 
 def classify(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

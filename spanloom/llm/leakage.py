@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.session import materialize
+from spanloom.session import materialize, spread
 
 MIN_WORDS, SEED_WORDS = 13, 8
 #: Items whose n-grams are held by one pass over the documents; more items take more passes.
@@ -126,7 +126,7 @@ def _block(documents: DataFrame, index: SeedIndex, doc_id: str, text: str, item_
                     rows.append((key, t, np.unique(grams).tolist()))
             yield pd.DataFrame(rows, columns=["doc", "text", "grams"])
 
-    found = materialize(documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(find, f"doc {kind}, text string, grams array<int>"), "leak-hits")
+    found = materialize(spread(documents).select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(find, f"doc {kind}, text string, grams array<int>"), "leak-hits")
     # At most one row an n-gram of the block comes to the driver, whatever the corpus.
     rarity = np.zeros(max(1, len(index.grams)), np.int64)
     for row in found.select(F.explode("grams").alias("gram")).groupBy("gram").count().collect():

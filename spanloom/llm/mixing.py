@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.session import materialize
+from spanloom.session import materialize, spread
 
 #: Blocks of the whole mix, finest shards of a source, and documents a shard should hold at least.
 BLOCKS, SHARDS, SHARD_DOCUMENTS = 20_000, 1024, 200
@@ -94,7 +94,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         share, repeats = wanted.get(r["s"], (0.0, 0))
         wanted[r["s"]] = (share + (r["target_share"] or 0.0), max(repeats, r["max_repeats"] or 0))
     spark = documents.sparkSession
-    kept = documents.select(F.col(doc_id).alias("doc_id"), source_name("source").alias("source"), F.col(text).alias("text")).where(F.col("source").isin(list(wanted)) & F.col("doc_id").isNotNull())
+    kept = spread(documents).select(F.col(doc_id).alias("doc_id"), source_name("source").alias("source"), F.col(text).alias("text")).where(F.col("source").isin(list(wanted)) & F.col("doc_id").isNotNull())
     counted = count_tokens(kept, "text", vocabulary).drop("text").where(F.col("n_tokens") > 0).dropDuplicates(["doc_id"])
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     sized = materialize(counted.withColumns({"_order": order, "_shard": F.pmod(order, F.lit(SHARDS)).cast("int")}), "mix-tokens")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import syntax
-from spanloom.session import materialize
+from spanloom.session import materialize, spread
 
 LARGE, CHUNK = 4_000_000, 500_000
 
@@ -36,7 +36,7 @@ def invalid(df: DataFrame, key: str = "fragment_id", path: str = "path", text: s
     JavaScript and TypeScript, and invalid as JSON and Go. Repeated deliveries count once. Other columns are not carried.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), language(F.col(path)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("k").isNotNull())
+    rows = spread(df).select(F.col(key).alias("k"), language(F.col(path)).alias("l"), F.col(text).alias("t")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & F.col("k").isNotNull())
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

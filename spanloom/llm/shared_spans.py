@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.session import materialize
+from spanloom.session import materialize, spread
 
 LEAST, ANCHOR = 240, 120
 #: An anchor of more classes than this is replaced by all hashes of ``least`` characters around it.
@@ -232,7 +232,7 @@ def _class_pairs(df: DataFrame, people: DataFrame, key: str, group: str, text: s
             before = np.where(np.concatenate([[-1], n[:-1]]) == n, np.concatenate([[0], h[:-1]]).astype(np.uint64), 0).astype(np.uint64)
             yield pd.DataFrame({"k": batch["k"].to_numpy()[n], "of": batch["of"].to_numpy()[n], "at": at.astype(np.int32), "h": h.view(np.int64), "before": before.view(np.int64)})
 
-    texts = df.where((F.length(F.col(text)) >= least) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("of"), F.col(text).alias("t"))
+    texts = spread(df).where((F.length(F.col(text)) >= least) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("of"), F.col(text).alias("t"))
     rows = materialize(texts.mapInPandas(find, f"k {kind}, of {of}, at int, h long, before long"), "spans-anchors")
     met = rows.groupBy("h").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select("h")
     met = materialize(met, "spans-met")

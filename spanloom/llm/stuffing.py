@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import spread
+
 # Function words by role, in English, German, French and Spanish.
 DETERMINERS = "the a an this that these those my your his her its our their no some any each every all both such der die das den dem des ein eine einen einem einer eines dieser diese dieses kein keine alle le la les l un une des du ce cette ces cet mon ton son sa ses leur leurs nos vos el lo los las una unos unas este esta estos estas ese esa esos su sus todo toda todos todas"
 PREPOSITIONS = "of in to for with on at by from into onto over under about after before between through during against within without toward towards upon beside besides around above below near per via than as von zu zum zur mit nach bei aus auf in im an am für über unter vor hinter zwischen durch ohne gegen um seit bis de à au aux en dans par pour sur sous avec sans chez entre vers avant après depuis pendant del al con por para sin sobre hasta desde según tras contra durante"
@@ -136,7 +138,7 @@ def train(documents: DataFrame, text: str = "text") -> np.ndarray:
             yield pd.DataFrame({"gram": at, "n": found[at]})
 
     counts = np.zeros(N_CLASSES**3, np.int64)
-    for row in documents.select(F.col(text).alias("text")).mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for row in spread(documents).select(F.col(text).alias("text")).mapInPandas(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         counts[row["gram"]] = row["n"]
     return counts.reshape((N_CLASSES,) * 3)
 
@@ -234,7 +236,7 @@ def score(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", coun
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "link_words", "stuffed_words", "code_words", "bits"])
 
     schema = f"doc_id {kind}, n_words int, link_words int, stuffed_words int, code_words int, bits double"
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, schema).dropDuplicates(["doc_id"])
+    return spread(documents).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, schema).dropDuplicates(["doc_id"])
 
 
 def stuffed(documents: DataFrame, **names: str) -> DataFrame:
