@@ -96,7 +96,7 @@ def pull_reference(text: Column) -> Column:
 def script_safe(json: Column) -> Column:
     """JSON text that may stand inside an HTML script element."""
     out = json
-    for a, b in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for a, b in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 

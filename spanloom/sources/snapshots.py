@@ -287,7 +287,7 @@ def encode_content(text: str) -> dict:
 def render_html(report: dict, title: str) -> str:
     """One report as a page that stands alone; its data lie in a script element and are escaped for it."""
     data = json.dumps(report, ensure_ascii=False)
-    for a, b in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for a, b in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         data = data.replace(a, b)
     name = title.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     script = "const r=JSON.parse(document.getElementById('data').textContent),l=document.getElementById('groups');for(const g of r.groups){const i=document.createElement('li');i.textContent=g.number+'. '+g.title+' — '+g.why_now;l.append(i)}"

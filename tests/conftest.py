@@ -5,7 +5,7 @@ from spanloom.session import get_spark
 
 @pytest.fixture(scope="session")
 def spark():
-    session = get_spark("spanloom-tests", shuffle_partitions=4)
+    session = get_spark("spanloom-tests", 4, 2)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
