@@ -19,10 +19,10 @@ class Token(NamedTuple):
     holes: tuple[str, ...] = ()
 
 
-_ID = r"[^\W\d][\w$‌‍]*|[$][\w$‌‍]*"
-_SPACE = re.compile(r"(?:[ \t\r\n\v\f ﻿  ]+|//[^\n]*|/\*.*?\*/)+", re.S)
+_ID = r"[^\W\d][\w$\u200c\u200d]*|[$][\w$\u200c\u200d]*"
+_SPACE = re.compile(r"(?:[ \t\r\n\v\f\u00a0\ufeff\u2028\u2029]+|//[^\n]*|/\*.*?\*/)+", re.S)
 _SCRIPT_TOKEN = re.compile(
-    r"(?P<name>#?(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4})(?:[\w$‌‍]|\\u[0-9a-fA-F]{4})*)"
+    r"(?P<name>#?(?:[^\W\d]|[$]|\\u[0-9a-fA-F]{4})(?:[\w$\u200c\u200d]|\\u[0-9a-fA-F]{4})*)"
     r"|(?P<number>0[xX][0-9a-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?)"
     r"|(?P<string>\"(?:[^\"\\\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\n]|\\(?:\r\n|.))*')"
     r"|(?P<mark>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@])",
@@ -48,7 +48,7 @@ def script_tokens(text: str) -> list[Token]:
     while True:
         m = _SPACE.match(text, at)
         if m:
-            nl |= "\n" in m[0] or " " in m[0]
+            nl |= "\n" in m[0] or "\u2028" in m[0]
             at = m.end()
         if at >= n:
             out.append(Token("end", "", nl))
@@ -1138,7 +1138,7 @@ _STATEMENTS = frozenset("var const function class if while with do for switch tr
 
 
 _GO_TOKEN = re.compile(
-    r"(?P<space>[ \t\r﻿]+|/\*(?:(?!\*/)[^\n])*\*/)|(?P<line>\n|//[^\n]*|/\*.*?\*/)|(?P<name>[^\W\d]\w*)"
+    r"(?P<space>[ \t\r\ufeff]+|/\*(?:(?!\*/)[^\n])*\*/)|(?P<line>\n|//[^\n]*|/\*.*?\*/)|(?P<name>[^\W\d]\w*)"
     r"|(?P<number>(?:0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)i?)"
     r"|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|[abfnrtv\\'\"])|[^'\\\n])')"
     r"|(?P<mark><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[+\-*/%&|^<>=!()\[\]{},;.:~])",

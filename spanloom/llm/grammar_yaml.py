@@ -14,7 +14,7 @@ _ESCAPE = re.compile(r"\\(?:[0abt\tnvfre \"/\\N_LP\n]|\r\n|x[0-9a-fA-F]{2}|u[0-9
 _COLON = re.compile(r":(?=[ \t]|$)")
 _REMARK = re.compile(r"[ \t]#")
 _REST = re.compile(r"[ \t]*(?:$|(?<=[ \t])#.*$)")
-_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff￾￿]")
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ud800-\udfff\ufffe\uffff]")
 
 
 class _Error(Exception):
@@ -313,7 +313,7 @@ def yaml_error(text: str) -> str | None:
     if bad:
         return "control character"
     documents: list[list[str]] = [[]]
-    for line in text.removeprefix("﻿").replace("\r\n", "\n").split("\n"):
+    for line in text.removeprefix("\ufeff").replace("\r\n", "\n").split("\n"):
         m = _DOCUMENT.match(line)
         if m:
             rest = line[m.end() :]

@@ -36,7 +36,7 @@ FAMILIES = {
 #: Data files need this many characters of encoded runs and generated ones this many lines.
 MIN_ENCODED, MIN_LINES = 600, 10
 
-_LEAD = r"\A﻿?(?:[ \t]*(?:(?://|#|/\*|\*|<!--|--|;|%)[^\n]*)?\r?\n){0,30}?[ \t]*(?://|#|/\*|\*|<!--|--|;|%)[/*!#\s-]*"
+_LEAD = r"\A\ufeff?(?:[ \t]*(?:(?://|#|/\*|\*|<!--|--|;|%)[^\n]*)?\r?\n){0,30}?[ \t]*(?://|#|/\*|\*|<!--|--|;|%)[/*!#\s-]*"
 #: A leading comment whose text begins with a statement that a tool wrote the file.
 GENERATED = (
     r"(?i)" + _LEAD + r"(?:code generated\b|@generated\b|<?auto-?generated\b(?!\s*(?:or|and|files? are)\b)|generated (?:by|from|with|automatically|code|file)\b"
@@ -186,7 +186,7 @@ def classify(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame
                 out = F.when(s["family"] == family, F.lit(float(values[name]))).otherwise(out)
         return out
 
-    lead = t.rlike(r"^﻿?\s*(?://|#|/\*|<!--|--|;|%|\*)")
+    lead = t.rlike(r"^\ufeff?\s*(?://|#|/\*|<!--|--|;|%|\*)")
     long_lines = (s["max_line"] >= limit("max_line")) & (s["mean_line"] >= limit("mean_line")) & (s["white"] <= limit("white"))
     numeric = (s["digits"] >= limit("digits")) & (s["numbers"] >= limit("numbers"))
     encoded = (s["encoded"] / F.greatest(F.length(t), F.lit(1)) >= limit("encoded")) & (s["encoded"] >= MIN_ENCODED)

@@ -235,7 +235,7 @@ def _no_constant(name: str) -> None:
 def is_valid(text: str, language: str) -> bool:
     """Whether a whole text is valid in a language."""
     if language == "json":
-        if text.startswith("﻿"):
+        if text.startswith("\ufeff"):
             return False
         try:
             json.loads(text, parse_constant=_no_constant)
