@@ -88,7 +88,9 @@ def measure(texts: pd.Series) -> pd.DataFrame:
         if size >= PORTION:
             parts.append(_portion(held))
             held, size = [], 0
-    return pd.concat([*parts, _portion(held)], ignore_index=True) if parts or held else _portion([])
+    if held or not parts:
+        parts.append(_portion(held))
+    return pd.concat(parts, ignore_index=True)
 
 
 def _portion(texts: list[str | None]) -> pd.DataFrame:

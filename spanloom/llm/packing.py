@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-CAPACITY, WINDOW, DEPTH, SWEEPS = 8192, 48, 12, 25
+CAPACITY, DEPTH, SWEEPS = 8192, 12, 25
+#: The window is this part of the capacity: combinations that leave more room are not offered to the fit.
+WINDOW_PART = 170
 
 
 def _largest_fit(sizes: np.ndarray, left: np.ndarray, room: int, skip: int = 0) -> int:
@@ -30,7 +32,7 @@ def _largest_fit(sizes: np.ndarray, left: np.ndarray, room: int, skip: int = 0)
     return -1
 
 
-def combinations(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int = WINDOW, depth: int = DEPTH) -> list[dict[int, int]]:
+def combinations(sizes: np.ndarray, counts: np.ndarray, capacity: int, window: int, depth: int = DEPTH) -> list[dict[int, int]]:
     """Combinations of at most ``depth`` sizes whose sum is within ``window`` of the capacity, as {index: times}.
 
     Each size begins several: filled up with the largest fitting sizes, with copies of itself, and with the
@@ -85,11 +87,11 @@ def least_squares(columns: list[dict[int, int]], counts: np.ndarray, sweeps: int
     return x
 
 
-def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, window: int = WINDOW) -> list[tuple[int, dict[int, int]]]:
+def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, window: int | None = None) -> list[tuple[int, dict[int, int]]]:
     """(repeats, {size: times}) for every container of the packing of a histogram of sizes 1 to capacity."""
     order = np.argsort(sizes)
     sizes, left = sizes[order].astype(np.int64), counts[order].astype(np.int64).copy()
-    columns = combinations(sizes, left, capacity, window)
+    columns = combinations(sizes, left, capacity, max(1, capacity // WINDOW_PART) if window is None else window)
     out: list[tuple[int, dict[int, int]]] = []
     if columns:
         x = least_squares(columns, left)
@@ -133,7 +135,7 @@ def _runs(packing: list[tuple[int, dict[int, int]]], capacity: int) -> tuple[np.
     return table[:, 0], table[:, 1], table[:, 2], base
 
 
-def pack(df: DataFrame, capacity: int = CAPACITY, key: str = "fragment_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def pack(df: DataFrame, capacity: int = CAPACITY, key: str = "fragment_id", text: str = "text", window: int | None = None) -> DataFrame:
     """One row a key: key, n_bytes, container (bigint from 0). No container exceeds the capacity but by a single larger item.
 
     Repeated deliveries of a key count once. Null and empty texts take no room: they all go to container 0, which is
