@@ -87,39 +87,52 @@ def least_squares(columns: list[dict[int, int]], counts: np.ndarray, sweeps: int
     return x
 
 
-def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, window: int | None = None) -> list[tuple[int, dict[int, int]]]:
-    """(repeats, {size: times}) for every container of the packing of a histogram of sizes 1 to capacity."""
-    order = np.argsort(sizes)
-    sizes, left = sizes[order].astype(np.int64), counts[order].astype(np.int64).copy()
-    columns = combinations(sizes, left, capacity, max(1, capacity // WINDOW_PART) if window is None else window)
-    out: list[tuple[int, dict[int, int]]] = []
-    if columns:
-        x = least_squares(columns, left)
-        for j in np.argsort(-x, kind="stable"):
-            n = min([int(x[j]), *(int(left[k]) // t for k, t in columns[j].items())])
-            if n > 0:
-                for k, t in columns[j].items():
-                    left[k] -= n * t
-                out.append((n, {int(sizes[k]): t for k, t in columns[j].items()}))
+def _greedy(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Containers of what is left, each filled with the largest size that fits, again and again; as often as the counts allow."""
+    out = []
     while left.any():
         alive = np.flatnonzero(left)
-        small, have = sizes[alive], left[alive].copy()
+        small, have = sizes[alive], left[alive]
         used: dict[int, int] = {}
-        room = capacity
-        k = len(small) - 1
+        room, k = capacity, len(small) - 1
         while k >= 0:
             n = min(int(have[k]), room // int(small[k]))
             if n:
                 used[k] = n
                 room -= n * int(small[k])
             k = min(k - 1, int(np.searchsorted(small, room, side="right")) - 1)
-        n = min(int(left[alive[k]]) // t for k, t in used.items())
+        n = min(int(have[k]) // t for k, t in used.items())
         for k, t in used.items():
             left[alive[k]] -= n * t
         out.append((n, {int(small[k]): t for k, t in used.items()}))
     return out
 
 
+def plan(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, window: int | None = None) -> list[tuple[int, dict[int, int]]]:
+    """(repeats, {size: times}) for every container of the packing of a histogram of sizes 1 to capacity.
+
+    Where sizes above half the capacity abound, combinations of small ones take what would have filled their containers
+    up; the rounded fit is therefore tried whole, by half and not at all, and the packing of fewest containers stands.
+    """
+    order = np.argsort(sizes)
+    sizes, counts = sizes[order].astype(np.int64), counts[order].astype(np.int64)
+    columns = combinations(sizes, counts, capacity, max(1, capacity // WINDOW_PART) if window is None else window)
+    x = least_squares(columns, counts) if columns else np.zeros(0)
+    best: list[tuple[int, dict[int, int]]] | None = None
+    for share in (1.0, 0.5, 0.0):
+        left, out = counts.copy(), []
+        for j in np.argsort(-x, kind="stable"):
+            n = min([int(x[j] * share), *(int(left[k]) // t for k, t in columns[j].items())])
+            if n > 0:
+                for k, t in columns[j].items():
+                    left[k] -= n * t
+                out.append((n, {int(sizes[k]): t for k, t in columns[j].items()}))
+        out += _greedy(sizes, left, capacity)
+        if best is None or sum(n for n, _ in out) < sum(n for n, _ in best):
+            best = out
+    return best or []
+
+
 def _runs(packing: list[tuple[int, dict[int, int]]], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Sorted (size, number) starts of runs as one key, the first container and the items a container of each, and the number of containers."""
     used: dict[int, int] = {}
