@@ -162,3 +162,44 @@ def field_rules(df: DataFrame, id_columns: list[str], number_columns: list[str],
     parts += [broken(df.where(F.col(c) < 0), f"number {c}", F.col(c)) for c in number_columns]
     parts += [broken(df.where(~F.col(c).isin(v)), f"tag {c}", F.col(c)) for c, v in tags.items()]
     return union(parts)
+
+
+def packet_rules(sources: DataFrame, regions: DataFrame, raw: DataFrame) -> DataFrame:
+    """A packet: digests are of their texts, revisions well formed, regions exactly those of texts that differ, inside their sources."""
+    changed = raw.where("residual.patch_status = 'captured'").select("snapshot_id", "raw_id").distinct()
+    told = regions.select("snapshot_id", "raw_id").distinct()
+    box = regions.join(sources.select("snapshot_id", "source_id", "start_line", "n_lines"), ["snapshot_id", "source_id"], "left")
+    outside = F.col("start_line").isNull() | (F.col("start") < F.col("start_line")) | (F.col("end") >= F.col("start_line") + F.col("n_lines"))
+    return union([
+        broken(sources.where(X.digest(F.col("text")) != F.col("digest")), "digest of a source", F.col("source_id")),
+        broken(sources.where(~F.col("revision").rlike("^[0-9a-f]{7,64}$")), "revision of a source", F.col("source_id")),
+        broken(changed.join(told, ["snapshot_id", "raw_id"], "left_anti"), "region of a difference", F.col("raw_id")),
+        broken(told.join(changed, ["snapshot_id", "raw_id"], "left_anti"), "difference of a region", F.col("raw_id")),
+        broken(box.where(outside), "region inside its source", F.col("region_id")),
+    ])
+
+
+def report_rules(groups: DataFrame, edges: DataFrame, members: DataFrame, changes: DataFrame, stats: DataFrame) -> DataFrame:
+    """A report: order rules, well-formed ids, every change in one group, stats that add up."""
+    parted = exact_partition(members, changes, "snapshot_id", "change_id")
+    counts = changes.groupBy("snapshot_id").agg(F.count("*").alias("n"))
+    off = stats.join(counts, "snapshot_id", "left").where(F.coalesce("n", F.lit(0)) != F.col("units"))
+    return union([
+        order_rules(groups, edges), field_rules(groups, ["group_id"], ["number"], {}), field_rules(changes, ["change_id"], [], {}),
+        broken(parted, "change in one group", F.concat_ws(" ", "change_id", "fault")), broken(off, "units of stats", F.col("units")),
+    ])
+
+
+def reference_rules(checks: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """Excerpts that an author checked are exact parts of the description. checks: snapshot_id, excerpt; descriptions: snapshot_id, description."""
+    return broken(checks.join(descriptions, "snapshot_id", "left").where(F.instr(F.coalesce("description", F.lit("")), F.col("excerpt")) == 0), "checked excerpt", F.col("excerpt"))
+
+
+def part_rules(passages: DataFrame, most_bytes: int = 24_576) -> DataFrame:
+    """A writer's part: titles, texts and prose within bounds, and its whole projection within ``most_bytes``."""
+    body = F.octet_length(F.to_json(F.struct(*passages.columns)))
+    return union([
+        broken(passages.where(F.length("title") > MAX_TITLE), "title", F.col("passage_id")),
+        broken(passages.where(X.prose_length(F.col("text")) > MAX_PREAMBLE), "prose", F.col("passage_id")),
+        broken(passages.groupBy("snapshot_id").agg(F.sum(body).alias("n")).where(F.col("n") > most_bytes), "size of the part", F.col("n")),
+    ])

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from spanloom.functions import labels
 from spanloom.functions import text as X
-from spanloom.operators import diff, evidence, extract, graph, match, tables
+from spanloom.operators import diff, evidence, extract, graph, match, projections, tables
 from spanloom.session import materialize
 
 
@@ -25,6 +25,7 @@ class Compiled:
     changes: DataFrame
     raw_files: DataFrame
     groups: DataFrame
+    members: DataFrame
     group_edges: DataFrame
     symbol_edges: DataFrame
     unresolved: DataFrame
@@ -213,7 +214,9 @@ def compile_snapshots(fragments: DataFrame, file_evidence: DataFrame, patches: D
     between, links = group_edges(edges, symbols, imports, groups, members, changes)
     between = materialize(between, "compile-between")
     ordered = materialize(narrate(order_groups(groups, between, imports)), "compile-groups")
+    owner = changes.select("snapshot_id", "change_id", F.explode(F.array("before.symbol_id", "after.symbol_id")).alias("symbol_id")).where("symbol_id is not null").join(members.select("snapshot_id", "change_id", "group_id"), ["snapshot_id", "change_id"])
+    placed = projections.order_changes(members, edges, owner.dropDuplicates(["snapshot_id", "symbol_id"]))
     notes = parsed.where("extraction.note is not null").select("snapshot_id", "idx", F.concat("path", F.lit(" ("), "side", F.lit("): "), "extraction.note").alias("note"), F.col("extraction.status").alias("status"))
     stats = report_stats(parsed, symbols, changes, ordered, raw)
     with_group = changes.join(members.select("snapshot_id", "change_id", "group_id"), ["snapshot_id", "change_id"], "left")
-    return Compiled(symbols, imports, coverage, pairs, with_group, raw, ordered, between, edges, unresolved, links, stats, notes)
+    return Compiled(symbols, imports, coverage, pairs, with_group, raw, ordered, placed, between, edges, unresolved, links, stats, notes)

@@ -292,3 +292,31 @@ def render_html(report: dict, title: str) -> str:
     name = title.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
     script = "const r=JSON.parse(document.getElementById('data').textContent),l=document.getElementById('groups');for(const g of r.groups){const i=document.createElement('li');i.textContent=g.number+'. '+g.title+' — '+g.why_now;l.append(i)}"
     return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{name}</title><h1>{name}</h1><ol id="groups"></ol><script type="application/json" id="data">{data}</script><script>{script}</script></html>'
+
+
+def read_reports(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables that ``write_tables`` wrote, once their manifest says that they are whole and their rows are all there."""
+    manifest = {r["name"]: r["n_rows"] for r in spark.read.schema("name string, n_rows long").json(f"{folder}/manifest").collect()}
+    out = {name: spark.read.parquet(f"{folder}/{name}") for name in manifest}
+    for name, df in out.items():
+        if df.count() != manifest[name]:
+            raise ValueError(f"table {name} is not whole")
+    return out
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Steps of annotation documents, one JSON a snapshot: snapshot_id, step (from 1), group_id, title, transition, change_ids."""
+    schema = "snapshot_id bigint, steps array<struct<group_id:string,title:string,transition:string,change_ids:array<string>>>"
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return raw.select("snapshot_id", F.posexplode("steps").alias("i", "s")).select("snapshot_id", (F.col("i") + 1).alias("step"), "s.*")
+
+
+def demo(spark: SparkSession) -> dict[str, DataFrame]:
+    """A small snapshot with a move, a rename, an edit, new tests and notes."""
+    one = "def {0}(value):\n    step = value + {1}\n    return step * 2\n"
+    before = {"app/core.py": "import math\n\n\n" + one.format("load", 1) + "\n\n" + one.format("_trim", 2), "app/extra.py": one.format("merge_rows", 3), "NOTES.md": "First\nSecond\n"}
+    after = {
+        "app/core.py": "import math\nimport sys\n\n\n" + one.format("load", 7), "app/text.py": one.format("trim", 2), "app/rows.py": one.format("merge_rows", 3),
+        "tests/test_core.py": "from app.core import load\n\n\ndef test_load():\n    assert load(1)\n", "NOTES.md": "First\n2nd\n",
+    }
+    return from_files(spark, before, after)
