@@ -15,6 +15,16 @@ def first_delivery(df: DataFrame, key: str | list[str], by: str = "ingested_at")
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(by).asc_nulls_last()))).where("_n = 1").drop("_n")
 
 
+def placed_deliveries(fragments: DataFrame) -> DataFrame:
+    """Fragments once each, those of one file side in one partition, by a single shuffle of their texts.
+
+    The number of partitions is given, since what follows costs computing more than data, and a window over keys that
+    include the partitioning's needs no shuffle of its own.
+    """
+    n = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return first_delivery(fragments.repartition(n, "snapshot_id", "path"), ["snapshot_id", "path", "fragment_id"])
+
+
 def without_tests(file_evidence: DataFrame, fragments: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(evidence, fragments, patches, exclusions) without the records both of whose paths are tests.
 

@@ -196,7 +196,7 @@ def report_stats(fragments: DataFrame, symbols: DataFrame, changes: DataFrame, g
 
 def compile_snapshots(fragments: DataFrame, file_evidence: DataFrame, patches: DataFrame) -> Compiled:
     """Compile every snapshot of the tables. Fragments may have been delivered several times."""
-    once = tables.first_delivery(fragments, "fragment_id")
+    once = tables.placed_deliveries(fragments)
     parsed = materialize(extract.extract(once.select("snapshot_id", "fragment_id", "idx", "side", "path", "text", "start_line", "scope", "region", "syntax")), "compile-parsed")
     symbols = materialize(extract.symbols(parsed), "compile-symbols")
     imports = extract.imports(parsed)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,14 +42,21 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def fragments(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.first_delivery(table(spark, sf, "demo"), "fragment_id")
+    """Whole fragments, once each."""
+    return tables.placed_deliveries(table(spark, sf, "demo"))
+
+
+def each_fragment(spark: SparkSession, sf: str, *columns: Column | str) -> DataFrame:
+    """What is derived of every fragment, once each: deliveries have equal contents, so only the derived columns are shuffled."""
+    return table(spark, sf, "demo").select("fragment_id", *columns).dropDuplicates(["fragment_id"])
 
 
 # -- scans and tables ------------------------------------------------------------------------------
 @query(f"SELECT snapshot_id, side, count(*) AS n_fragments, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes FROM {ONCE} GROUP BY ALL")
 def fragment_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """Fragments and bytes of each snapshot side, deliveries merged."""
-    return fragments(spark, sf).groupBy("snapshot_id", "side").agg(F.count("*").alias("n_fragments"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
+    sizes = each_fragment(spark, sf, "snapshot_id", "side", F.octet_length("text").alias("n"))
+    return sizes.groupBy("snapshot_id", "side").agg(F.count("*").alias("n_fragments"), F.sum("n").cast("long").alias("n_bytes"))
 
 
 @query("SELECT fragment_id, count(*) AS deliveries, CAST(max(epoch_us(ingested_at)) - min(epoch_us(ingested_at)) AS BIGINT) AS spread_us FROM demo GROUP BY fragment_id HAVING count(*) > 1")
@@ -85,7 +92,8 @@ def test_exclusions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT snapshot_id, CAST(sum(octet_length(encode(text))) AS BIGINT) AS source_bytes, count(*) AS n_fragments FROM {ONCE} GROUP BY 1")
 def source_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.source_bytes(fragments(spark, sf))
+    sizes = each_fragment(spark, sf, "snapshot_id", F.octet_length("text").alias("n"))
+    return sizes.groupBy("snapshot_id").agg(F.sum("n").alias("source_bytes"), F.count("*").alias("n_fragments"))
 
 
 @query("SELECT snapshot_id, CAST(sum(octet_length(encode(coalesce(patch, '')))) AS BIGINT) AS patch_bytes, count(*) FILTER (patch IS NULL) AS n_unavailable FROM patches GROUP BY 1")
@@ -105,13 +113,13 @@ def manifest_faults(spark: SparkSession, sf: str) -> DataFrame:
 # -- scalar functions ------------------------------------------------------------------------------
 @query(f"SELECT fragment_id, sha256(text) AS digest FROM {ONCE}")
 def content_digests(spark: SparkSession, sf: str) -> DataFrame:
-    return fragments(spark, sf).select("fragment_id", X.digest(F.col("text")).alias("digest"))
+    return each_fragment(spark, sf, X.digest(F.col("text")).alias("digest"))
 
 
 @query(f"SELECT fragment_id, substring(sha256(side || chr(0) || path || chr(0) || start_line || chr(0) || coalesce(scope, 'None')), 1, 16) AS stable_id FROM {ONCE}")
 def stable_ids(spark: SparkSession, sf: str) -> DataFrame:
     """Identifiers from parts, a null part reading None."""
-    return fragments(spark, sf).select("fragment_id", X.stable_id(F.col("side"), F.col("path"), F.col("start_line"), F.col("scope")).alias("stable_id"))
+    return each_fragment(spark, sf, X.stable_id(F.col("side"), F.col("path"), F.col("start_line"), F.col("scope")).alias("stable_id"))
 
 
 @query(f"SELECT fragment_id, CAST(i + start_line - 1 AS BIGINT) AS line_no, sha256(l[i]) AS line FROM (SELECT fragment_id, start_line, {LINES.format('text')} AS l, unnest(range(1, len({LINES.format('text')}) + 1)) AS i FROM {ONCE})")
@@ -123,7 +131,7 @@ def line_explode(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT fragment_id, CAST(len({LINES.format('text')}) AS BIGINT) AS n_lines FROM {ONCE}")
 def line_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return fragments(spark, sf).select("fragment_id", X.line_count(F.col("text")).cast("long").alias("n_lines"))
+    return each_fragment(spark, sf, X.line_count(F.col("text")).cast("long").alias("n_lines"))
 
 
 @query(f"SELECT DISTINCT path, {TEST_PATH.format('path')} AS is_test FROM demo")
@@ -168,7 +176,7 @@ def change_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT fragment_id, CASE WHEN len(l) > 34 THEN array_to_string(l[1:19], '|') || '|… ' || (len(l) - 24) || ' more rows …|' || array_to_string(l[-5:], '|') ELSE array_to_string(l, '|') END AS preview
  FROM (SELECT fragment_id, {LINES.format('text')} AS l FROM {ONCE})""")
 def line_previews(spark: SparkSession, sf: str) -> DataFrame:
-    return fragments(spark, sf).select("fragment_id", F.array_join(packet.preview(X.lines(F.col("text"))), "|").alias("preview"))
+    return each_fragment(spark, sf, F.array_join(packet.preview(X.lines(F.col("text"))), "|").alias("preview"))
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'test link table')")
@@ -191,7 +199,7 @@ def evidence_states(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT s.snapshot_id, s.side, s.path, CAST(coalesce(f.n, 0) AS BIGINT) AS n_fragments, s.state = 'absent' AS absent, coalesce(s.state = 'supplied' AND s.coverage = 'full', false) AS full_source
  FROM {SIDES} s LEFT JOIN (SELECT snapshot_id, side, path, count(*) AS n FROM {ONCE} GROUP BY ALL) f ON s.snapshot_id = f.snapshot_id AND s.side = f.side AND s.path = f.path""")
 def file_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    f = fragments(spark, sf).select("snapshot_id", "fragment_id", "idx", "side", "path", F.lit("ok").alias("status"))
+    f = each_fragment(spark, sf, "snapshot_id", "idx", "side", "path", F.lit("ok").alias("status"))
     out = evidence.file_coverage(table(spark, sf, "file_evidence"), f)
     return out.select("snapshot_id", "side", "path", F.size("fragment_ids").cast("long").alias("n_fragments"), "absent", "full_source")
 
@@ -211,7 +219,7 @@ def region_pairs(spark: SparkSession, sf: str) -> DataFrame:
  SELECT snapshot_id, 1 AS stage, b AS before, h AS after FROM a UNION ALL SELECT snapshot_id, 2, b, h FROM c""")
 def staged_file_match(spark: SparkSession, sf: str) -> DataFrame:
     """Files paired by path, then, of what is left, by equal content: unique keys with removal."""
-    rows = fragments(spark, sf).where("text <> ''").select("snapshot_id", "side", F.col("fragment_id").alias("symbol_id"), "path", F.sha2("text", 256).alias("d"))
+    rows = each_fragment(spark, sf, "snapshot_id", "side", F.col("fragment_id").alias("symbol_id"), "path", F.when(F.col("text") != "", F.sha2("text", 256)).alias("d")).where("d is not null")
     first = materialize(match.unique_pairs(rows, [F.col("path")]), "file-match")
     second = match.unique_pairs(match.without(rows, first), [F.col("d")])
     return first.select("snapshot_id", F.lit(1).alias("stage"), "before", "after").union(second.select("snapshot_id", F.lit(2), "before", "after"))
@@ -220,7 +228,7 @@ def staged_file_match(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT snapshot_id, side, path, fragment_id FROM {ONCE}), a AS (SELECT snapshot_id, path FROM t GROUP BY 1, 2 HAVING count(*) FILTER (side = 'base') = 1 AND count(*) FILTER (side = 'head') = 1)
  SELECT t.side, count(*) AS n FROM t ANTI JOIN a ON t.snapshot_id = a.snapshot_id AND t.path = a.path GROUP BY 1""")
 def unmatched_files(spark: SparkSession, sf: str) -> DataFrame:
-    rows = fragments(spark, sf).select("snapshot_id", "side", F.col("fragment_id").alias("symbol_id"), "path")
+    rows = each_fragment(spark, sf, "snapshot_id", "side", F.col("fragment_id").alias("symbol_id"), "path")
     return match.without(rows, match.unique_pairs(rows, [F.col("path")])).groupBy("side").agg(F.count("*").alias("n"))
 
 
@@ -357,8 +365,8 @@ def packet_sources(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT fragment_id AS source_id, sha256(array_to_string(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+')[2:4], '')) AS cited FROM {ONCE} WHERE len({LINES.format('text')}) >= 4""")
 def cited_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines 2 to 4 of every source that has them, ends kept."""
-    f = fragments(spark, sf).where(X.line_count(F.col("text")) >= 4)
-    return f.select(F.col("fragment_id").alias("source_id"), F.sha2(packet.cut(F.col("text"), F.lit(1), F.lit(2), F.lit(4)), 256).alias("cited"))
+    cited = F.when(X.line_count(F.col("text")) >= 4, F.sha2(packet.cut(F.col("text"), F.lit(1), F.lit(2), F.lit(4)), 256))
+    return each_fragment(spark, sf, cited.alias("cited")).where("cited is not null").withColumnRenamed("fragment_id", "source_id")
 
 
 @query("SELECT repository, count(*) AS n, count(*) FILTER (patch IS NULL) AS unavailable, count(DISTINCT path) AS paths FROM patches GROUP BY 1")
@@ -452,8 +460,8 @@ def compiled_regions(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def writing_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Fragments of each snapshot packed for writers by bytes, a shared record counted once."""
-    f = fragments(spark, sf)
-    units = f.select("snapshot_id", F.col("fragment_id").alias("unit_id"), F.col("idx").alias("ord"), F.array(F.struct(F.sha2("text", 256).alias("id"), F.octet_length("text").cast("long").alias("bytes"))).alias("records"))
+    f = each_fragment(spark, sf, "snapshot_id", "idx", F.sha2("text", 256).alias("id"), F.octet_length("text").cast("long").alias("bytes"))
+    units = f.select("snapshot_id", F.col("fragment_id").alias("unit_id"), F.col("idx").alias("ord"), F.array(F.struct("id", "bytes")).alias("records"))
     return writing.pack_units(units, writing.SMALL_PACKET)
 
 
@@ -473,7 +481,7 @@ def canonical_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
-    return fragments(spark, sf).select("fragment_id", writing.token_estimate(F.col("text"), "/opt/tokenizers/byte_bpe_50k.tiktoken").alias("n_tokens"))
+    return each_fragment(spark, sf, writing.token_estimate(F.col("text"), "/opt/tokenizers/byte_bpe_50k.tiktoken").alias("n_tokens"))
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
