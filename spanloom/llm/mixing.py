@@ -86,8 +86,8 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     The size is ``total_tokens``, or the largest at which every listed source that has documents still gives its
     share within its ``max_repeats``. A listed source without documents gives nothing and its share is not made
     up by the others, so that theirs keep their proportions. Documents of unlisted or null sources, and those
-    without tokens, are not used. Repeated deliveries of an id count once. Each source is within about one document
-    a shard of its quota.
+    without tokens, are not used. Repeated deliveries of an id count once. Each source is within
+    about one document of its quota.
     """
     wanted = {}
     for r in targets.where(F.col("source").isNotNull()).select(source_name("source").alias("s"), "target_share", "max_repeats").collect():
@@ -126,11 +126,24 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
         shares = sainte_lague(by_shard, units) if rest > 0 else {}
         quotas += [(s, k, n * rest / units) for k, n in shares.items() if n]
     plan = spark.createDataFrame([(s, groups[s], passes[s]) for s in wanted], "source string, _groups int, _passes int")
-    quota = spark.createDataFrame(quotas, "source string, _group int, _quota double")
     seen = Window.partitionBy("source", "_group").orderBy("_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.join(F.broadcast(plan), "source").withColumn("_group", F.floor(F.col("_shard") * F.col("_groups") / SHARDS).cast("int")).join(F.broadcast(quota), ["source", "_group"], "left")
-    taken = F.when(F.sum("n_tokens").over(seen) - F.col("n_tokens") / 2 <= F.coalesce(F.col("_quota"), F.lit(0.0)), 1).otherwise(0)
-    uses = placed.withColumn("uses", (F.col("_passes") + taken).cast("int")).where(F.col("uses") > 0).select("doc_id", "source", "n_tokens", "uses")
+    placed = sized.join(F.broadcast(plan), "source").withColumn("_group", F.floor(F.col("_shard") * F.col("_groups") / SHARDS).cast("int"))
+    placed = materialize(placed.withColumn("_middle", F.sum("n_tokens").over(seen) - F.col("n_tokens") / 2).select("doc_id", "source", "n_tokens", "_group", "_passes", "_middle"), "mix-placed")
+
+    def taken(of: list[tuple[str, int, float]]) -> DataFrame:
+        """Documents whose middle lies within their shard's quota are used once more."""
+        quota = spark.createDataFrame(of, "source string, _group int, _quota double")
+        return placed.join(F.broadcast(quota), ["source", "_group"], "left").withColumn("_once", (F.col("_middle") <= F.coalesce("_quota", F.lit(0.0))).cast("int"))
+
+    # Each shard is off by up to half a document; one shard of each source then makes up for all of them.
+    got = {(r["source"], r["_group"]): r["n"] for r in taken(quotas).where("_once = 1").groupBy("source", "_group").agg(F.sum("n_tokens").alias("n")).collect()}
+    for s in wanted:
+        own = [q for q in quotas if q[0] == s]
+        if own:
+            off = sum(q[2] for q in own) - sum(got.get(q[:2], 0) for q in own)
+            main = max(own, key=lambda q: (q[2], -q[1]))
+            quotas[quotas.index(main)] = (s, main[1], got.get(main[:2], 0) + off)
+    uses = taken(quotas).withColumn("uses", (F.col("_passes") + F.col("_once")).cast("int")).where(F.col("uses") > 0).select("doc_id", "source", "n_tokens", "uses")
     listed = spark.createDataFrame([(s, float(w)) for s, (w, _) in sorted(wanted.items())], "source string, target_share double")
     given_now = uses.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("n_tokens"), F.count("*").alias("n_documents"), F.max("uses").alias("most_uses"))
     whole = Window.partitionBy()
