@@ -54,17 +54,17 @@ _SPOKEN = re.compile(r"(?:[ \t]+(?:is|was|=))?[ \t]*[:=]?[ \t]*(?P<o>[`\"'(]?)(?
 _LOGIN = re.compile(r"\([ \t]*([\"'])[^\"'\n]*\1[ \t]*,[ \t]*(?P<q>[\"'])(?P<v>[^\"'\n]+)(?P=q)")
 _COMMENT = re.compile(r"(?:^|[\s;,)\]}\"'])(?://|#|--|/\*|<!--)|^\s*[*>]")
 _PROSE_PATH = re.compile(r"\.(?:md|markdown|rst|txt|adoc|html?)$", re.I)
-_URL_USER = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@")
-_DSN = re.compile(r"(?<![\w:/])[\w.-]+:(?P<v>[^\s:@/\"'`(){}<>]+)@(?:tcp|udp|unix)?\(")
+_URL_USER = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s:/@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@")
+_DSN = re.compile(r"(?<![\w:/.-])[\w.-]++:(?P<v>[^\s:@/\"'`(){}<>]+)@(?:tcp|udp|unix)?\(")
 _QUERY = re.compile(r"[?&]" + QUERY_NAMES + r"=(?P<v>[^&\s\"'`<>)#\\]+)", re.I)
-_CURL = re.compile(r"\bcurl\b[^\n]*?\s(?:-u|--user)[ \t]+[\"']?[\w.@-]+:(?P<v>[^\s\"']+)")
+_CURL = re.compile(r"\bcurl\b[^\n]{0,2000}?\s(?:-u|--user)[ \t]+[\"']?[\w.@-]+:(?P<v>[^\s\"']+)")
 _JWT = re.compile(r"(?<![\w.-])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}")
 _PREFIXED = re.compile(r"(?<![\w./+=-])(?!(?:sha|md)\d)[a-z]{2,8}(?:[_-](?:[a-z]{2,8}[_-])?|\.)(?P<r>[A-Za-z0-9][A-Za-z0-9_-]{15,})(?![\w/+=])")
 _KNOWN = re.compile(r"(?<![\w])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\w])|(?<![\w])gh[pousr]_[A-Za-z0-9]{30,}|(?<![\w])xox[abprs]-[\w-]{10,}|(?<![\w])sk-[A-Za-z0-9_-]{20,}|(?<![\w])AIza[\w-]{35}")
 _ARMOUR = re.compile(r"-----BEGIN (?P<k>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(?P<b>(?:(?!-----BEGIN).)*?)(?:-----END (?P=k)-----|\Z)", re.S)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/=_-])")
 _ESCAPES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}){8,}+|(?:\\u[0-9A-Fa-f]{4}){8,}+")
-_PERCENT = re.compile(r"(?:[\w.~/:@-]*+%[0-9A-Fa-f]{2}){3,}[\w.~/:@=-]*")
+_PERCENT = re.compile(r"(?<![\w.~/:@-])(?:[\w.~/:@-]*+%[0-9A-Fa-f]{2}){3,}[\w.~/:@=-]*")
 #: Bytes that an encoded run may hold stay, all others become spaces.
 _RUN_BYTES = bytes(b if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 32 for b in range(256))
 _KNOWN_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza")

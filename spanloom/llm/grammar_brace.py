@@ -119,6 +119,8 @@ class ScriptParser:
         self.i = 0
         self.typed = typed
         self.no_in = False
+        #: Marks that were taken apart, to be put together again where an attempt fails.
+        self.cut: list[tuple[int, Token]] = []
 
     # -- tokens -----------------------------------------------------------------------------------
     def fail(self) -> None:
@@ -149,6 +151,7 @@ class ScriptParser:
         if len(t.text) == 1:
             self.i += 1
         else:
+            self.cut.append((self.i, t))
             self.t[self.i] = Token("mark", t.text[1:], False)
 
     def name(self) -> None:
@@ -170,12 +173,15 @@ class ScriptParser:
         self.fail()
 
     def attempt(self, rule) -> bool:
-        i, saved = self.i, list(self.t)
+        i, n, no_in = self.i, len(self.cut), self.no_in
         try:
             rule()
             return True
         except (SyntaxError, IndexError):
-            self.i, self.t = i, saved
+            self.i, self.no_in = i, no_in
+            while len(self.cut) > n:
+                at, token = self.cut.pop()
+                self.t[at] = token
             return False
 
     # -- statements -------------------------------------------------------------------------------

@@ -33,8 +33,7 @@ _ROLES = {w: k for k, group in enumerate((DETERMINERS, PREPOSITIONS, PRONOUNS, C
 #: Classes after the six roles: plain word, capitalised word, mixed word, number, inner mark, sentence end, separator, other mark, edge.
 _PLAIN, _CAPITAL, _MIXED, _NUMBER, _COMMA, _END, _SEPARATOR, _MARK, _EDGE = range(6, 15)
 N_CLASSES = 15
-_LINK = re.compile(r"<a\s[^>]*>|</a>|\]\((?:https?://|/|#)[^)\s]*\)|(?:https?://|www\.)[^\s)\"'<>]+|(?<![\w#])#\w+", re.I)
-_ANCHOR = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]\n]*\]\((?:https?://|/|#)[^)\s]*\)", re.I)
+_ANCHOR = re.compile(r"<a\s[^>]{0,2000}>.{0,2000}?</a>|\[[^\]\n]{0,2000}\]\((?:https?://|/|#)[^)\s]*\)", re.I)
 _TAG = re.compile(r"(?<![\w#])#[^\W\d_]\w*")
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\"'<>\]]+", re.I)
 _WORD = re.compile(r"[^\W_]+")
