@@ -22,6 +22,8 @@ from spanloom.session import materialize, spread
 
 #: Blocks of the whole mix, finest shards of a source, and documents a shard should hold at least.
 BLOCKS, SHARDS, SHARD_DOCUMENTS = 20_000, 1024, 200
+#: Texts that are encoded at a time.
+PORTION = 64
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 
@@ -46,7 +48,9 @@ def count_tokens(df: DataFrame, text: str = "text", vocabulary: str = VOCABULARY
         encoder = _encoder(vocabulary)
         for batch in batches:
             texts = [t if isinstance(t, str) else "" for t in batch]
-            yield pd.Series([len(e) for e in encoder.encode_batch_fast(texts, add_special_tokens=False)], dtype="int64")
+            # Encodings are many times as large as their texts, so only some are held at a time.
+            counts = [len(e) for at in range(0, len(texts), PORTION) for e in encoder.encode_batch_fast(texts[at : at + PORTION], add_special_tokens=False)]
+            yield pd.Series(counts, dtype="int64")
 
     return df.withColumn(name, F.pandas_udf(count, "long")(F.col(text)))
 
