@@ -87,18 +87,23 @@ def order_nodes(nodes: DataFrame, edges: DataFrame, scope: str = "snapshot_id")
     Gives scope, node, number (from 1), component (its least member), in_cycle. Nodes that only edges name are ordered too,
     with an empty key.
     """
-    kind = nodes.schema[scope].dataType.simpleString()
     lists = edges.where(F.col("node").isNotNull() & F.col("needs").isNotNull()).groupBy(scope, "node").agg(F.collect_set("needs").alias("needs"))
     rows = nodes.select(scope, "node", "key").join(lists, [scope, "node"], "full_outer")
 
-    def each(group: pd.DataFrame) -> pd.DataFrame:
-        keys = {n: tuple(k) if k is not None else () for n, k in zip(group["node"], group["key"])}
-        needs = {n: list(x) for n, x in zip(group["node"], group["needs"]) if x is not None}
-        numbers, cycles = order(keys, needs, lambda n: keys.get(n, ()))
-        root = {n: c[0] for c in cycles for n in c}
-        return pd.DataFrame({scope: group[scope].iloc[0], "node": numbers, "number": range(1, len(numbers) + 1), "component": [root.get(n, n) for n in numbers], "in_cycle": [n in root for n in numbers]})
-
-    return rows.groupBy(scope).applyInPandas(each, f"{scope} {kind}, node string, number int, component string, in_cycle boolean")
+    def each(graphs: pd.Series) -> pd.Series:
+        out = []
+        for g in graphs:
+            keys = {r["node"]: tuple(r["key"]) if r["key"] is not None else () for r in g}
+            needs = {r["node"]: list(r["needs"]) for r in g if r["needs"] is not None}
+            numbers, cycles = order(keys, needs, lambda n: keys.get(n, ()))
+            root = {n: c[0] for c in cycles for n in c}
+            out.append([{"node": n, "number": i, "component": root.get(n, n), "in_cycle": n in root} for i, n in enumerate(numbers, 1)])
+        return pd.Series(out)
+
+    # One row a scope: a whole batch of graphs goes to Python at once.
+    placed = F.pandas_udf(each, "array<struct<node:string,number:int,component:string,in_cycle:boolean>>")
+    graphs = rows.groupBy(scope).agg(F.collect_list(F.struct("node", "key", "needs")).alias("g"))
+    return graphs.select(scope, F.explode(placed("g")).alias("n")).select(scope, "n.*")
 
 
 def module_suffixes(symbols: DataFrame) -> DataFrame:
