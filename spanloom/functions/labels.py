@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import is_test_path
 
-# Display labels of kinds, reading themes in their order, and descriptions of unavailable sources.
+# Display labels of kinds, reading themes in their order, descriptions of unavailable sources, and sentences of evidence.
 LABELS = {
     "moved": "Moved · identical AST",
     "renamed": "Renamed · matching statements",
@@ -33,6 +33,12 @@ UNAVAILABLE = {
     "unsupported_encoding": "source is unavailable because its encoding is unsupported",
     "read_failed": "source could not be read; file absence is not confirmed",
 }
+PARTIAL = "Only part of the {0} file is supplied."
+UNPARSED = "The {0} Python source could not be parsed."
+TEXT_ONLY = "The {0} source is text-only; Python parsing is not available."
+REMAINS = "A definition with the same name and type remains in the other file version, but the matcher did not form one pair."
+NOT_RUN = "referenced, not run"
+AMBIGUOUS = "Ambiguous static binding"
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
@@ -85,9 +91,9 @@ def side_blockers(side: str, state: Column, coverage: Column, reason: Column, st
     unavailable = F.concat(F.lit(f"The {side} "), lookup(reason, UNAVAILABLE), F.lit("."))
     supplied = F.filter(
         F.array(
-            F.when(coverage != "full", F.lit(f"Only part of the {side} file is supplied.")),
-            F.when(F.array_contains(statuses, "failed"), F.lit(f"The {side} Python source could not be parsed.")),
-            F.when(F.array_contains(statuses, "text_only"), F.lit(f"The {side} source is text-only; Python parsing is not available.")),
+            F.when(coverage != "full", F.lit(PARTIAL.format(side))),
+            F.when(F.array_contains(statuses, "failed"), F.lit(UNPARSED.format(side))),
+            F.when(F.array_contains(statuses, "text_only"), F.lit(TEXT_ONLY.format(side))),
         ),
         lambda x: x.isNotNull(),
     )

@@ -59,7 +59,7 @@ def definition_evidence(unmatched: DataFrame, symbols: DataFrame, coverage: Data
         s = F.when(F.col("side") == side, F.col("own")).otherwise(F.col("other"))
         return labels.side_blockers(side, s["state"], F.coalesce(s["coverage"], F.lit("full")), s["reason"], F.coalesce(s["parse_statuses"], F.array().cast("array<string>")))
 
-    kept = F.lit("A definition with the same name and type remains in the other file version, but the matcher did not form one pair.")
+    kept = F.lit(labels.REMAINS)
     none = F.array().cast("array<string>")
     reasons = F.concat(F.coalesce(blockers("base"), none), F.coalesce(blockers("head"), none), F.when(remains, F.array(kept)).otherwise(none))
     reason = F.array_join(F.transform(reasons, lambda x: F.regexp_replace(x, r"\.$", "")), " ")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.functions import labels
 from spanloom.functions import text as X
 
 
@@ -158,5 +159,5 @@ def symbol_edges(refs: DataFrame, symbols: DataFrame, imports: DataFrame) -> tup
     sure = resolved.where(F.size("targets") == 1).select("snapshot_id", F.col("symbol_id").alias("source"), F.element_at("targets", 1).alias("target"), kind.alias("type"), "path", "line", "idx", "ord", "seq").where("source <> target")
     first = Window.partitionBy("snapshot_id", "source", "target", "type").orderBy("idx", "ord", "seq")
     edges = sure.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
-    unresolved = resolved.where(F.size("targets") > 1).select("snapshot_id", F.col("symbol_id").alias("source"), F.col("name").alias("reference"), "line", F.lit("Ambiguous static binding").alias("reason"))
+    unresolved = resolved.where(F.size("targets") > 1).select("snapshot_id", F.col("symbol_id").alias("source"), F.col("name").alias("reference"), "line", F.lit(labels.AMBIGUOUS).alias("reason"))
     return edges, unresolved

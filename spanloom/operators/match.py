@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from spanloom.session import materialize
 
 MIN_SIMILARITY = 0.40
+# What the pairs of the stages rest on, the last with its ratio.
 STAGES = ("same declaration location", "unique name + identical AST", "unique declaration-name/docstring-normalized AST; internal names and literals preserved")
 
+SIMILAR = "unique matching name (ignoring leading underscores)/type + AST-text similarity %.3f; candidate correspondence, not an equivalence proof"
+
 
 def unique_pairs(rows: DataFrame, keys: list[Column], scope: str = "snapshot_id", side: str = "side", id_: str = "symbol_id", sides: tuple[str, str] = ("base", "head")) -> DataFrame:
     """scope, before, after of every key that exactly one row of each side has. Rows with a null key pair with none."""
@@ -70,6 +73,6 @@ def match_symbols(symbols: DataFrame) -> DataFrame:
     old = trees.where("side = 'base'").select("snapshot_id", F.col("symbol_id").alias("before"), F.col("fingerprint").alias("_a"))
     new = trees.where("side = 'head'").select("snapshot_id", F.col("symbol_id").alias("after"), F.col("fingerprint").alias("_b"))
     rated = candidates.join(old, ["snapshot_id", "before"]).join(new, ["snapshot_id", "after"]).withColumn("ratio", similarity(F.col("_a"), F.col("_b"))).where(F.col("ratio") >= MIN_SIMILARITY)
-    basis = F.concat(F.lit("unique matching name (ignoring leading underscores)/type + AST-text similarity "), F.format_string("%.3f", F.col("ratio")), F.lit("; candidate correspondence, not an equivalence proof"))
+    basis = F.format_string(SIMILAR, F.col("ratio"))
     found.append(rated.select("snapshot_id", F.lit(4).alias("stage"), "before", "after", basis.alias("basis")))
     return reduce(DataFrame.unionByName, found)

@@ -140,7 +140,7 @@ def group_edges(edges: DataFrame, symbols: DataFrame, imports: DataFrame, groups
     provider = owner.select("snapshot_id", F.col("symbol_id").alias("target"), F.col("group_id").alias("provider"))
     consumer = owner.select("snapshot_id", F.col("symbol_id").alias("source"), F.col("group_id").alias("consumer"))
     linked = edges.join(provider, ["snapshot_id", "target"]).join(consumer, ["snapshot_id", "source"], "left")
-    links = linked.where(F.col("type").startswith("test_")).select("snapshot_id", F.col("provider").alias("group_id"), F.col("source").alias("test_id"), F.col("target").alias("symbol_id"), F.col("type").alias("relationship"), F.lit("referenced, not run").alias("status"))
+    links = linked.where(F.col("type").startswith("test_")).select("snapshot_id", F.col("provider").alias("group_id"), F.col("source").alias("test_id"), F.col("target").alias("symbol_id"), F.col("type").alias("relationship"), F.lit(labels.NOT_RUN).alias("status"))
     first = Window.partitionBy("snapshot_id", "provider", "consumer", "type").orderBy("idx", "ord", "seq")
     direct = linked.where("consumer is not null and consumer <> provider").withColumn("_n", F.row_number().over(first)).where("_n = 1").select("snapshot_id", "provider", "consumer", "type", "path", "line")
     wiring = groups.where("theme = 'wiring'").select("snapshot_id", "path", F.col("group_id").alias("consumer"))
