@@ -1,9 +1,11 @@
 """Evaluation passages inside training documents (problem 7).
 
-Every run of ``min_words`` words of an item contains several n-grams of ``seed_words`` words. The rarest of
-them in the whole corpus becomes a seed, so that any run of that length in a document holds at least one seed
-and common phrases seed as little as possible. Documents with a seed are aligned with the seed's items by
-Smith-Waterman over words, which also scores edited copies.
+Every run of ``min_words`` words of an item contains several n-grams of ``seed_words`` words. For exact runs
+(``leaked``) the rarest of them in the whole corpus becomes a seed, so that any run of that length in a document
+holds at least one seed and common phrases seed as little as possible. Edited copies (``leaks``) break an n-gram
+in every such run, so there each n-gram of an item is a seed, and so are short n-grams where a document shares as
+many different ones with an item as a run of ``min_words`` words has. Pairs with a seed are aligned by
+Smith-Waterman over words.
 
 Words are maximal runs of letters or digits, compared in lower case.
 """
@@ -21,10 +23,12 @@ from pyspark.sql import functions as F
 
 from spanloom.session import materialize, spread
 
-MIN_WORDS, SEED_WORDS = 13, 8
+MIN_WORDS, SEED_WORDS, SHORT_WORDS = 13, 8, 4
 #: Items whose n-grams are held by one pass over the documents; more items take more passes.
 BLOCK = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Cells of the alignments that are scored at once.
+CELLS = 1 << 18
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,6 +59,13 @@ class SeedIndex:
         grams = {i: _hashes(self.numbers(w), self.n) for i, w in self.items.items()}
         self.grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *grams.values()]))
         self.of_item = {i: np.searchsorted(self.grams, g) for i, g in grams.items()}
+        self.order = list(self.items)
+        held = [np.unique(g) for g in self.of_item.values()]
+        owner = np.repeat(np.arange(len(held)), [len(g) for g in held])
+        held = np.concatenate([np.zeros(0, np.int64), *held])
+        #: The items with the n-gram k, as places in ``order``, are holders[first[k] : first[k + 1]].
+        self.holders = owner[np.argsort(held, kind="stable")]
+        self.first = np.searchsorted(np.sort(held), np.arange(len(self.grams) + 1))
 
     def numbers(self, ws: list[str]) -> np.ndarray:
         get = self.vocabulary.get
@@ -62,7 +73,10 @@ class SeedIndex:
 
     def hits(self, ws: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a document of the n-grams that some item has, and their numbers."""
-        ids = self.numbers(ws)
+        return self.hits_of(self.numbers(ws))
+
+    def hits_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the numbers of the document's words."""
         known = np.concatenate([[0], np.cumsum(ids == 0)])
         if len(ids) < self.n or not len(self.grams):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -74,6 +88,11 @@ class SeedIndex:
         good = self.grams[k] == value
         return at[good], k[good]
 
+    def shared(self, grams: np.ndarray) -> np.ndarray:
+        """How many different ones of a document's n-grams each item of ``order`` has."""
+        held = [self.holders[self.first[g] : self.first[g + 1]] for g in np.unique(grams).tolist()]
+        return np.bincount(np.concatenate([np.zeros(0, np.int64), *held]), minlength=len(self.order))
+
     def seeds(self, documents_with: np.ndarray) -> dict[int, list[int]]:
         """Of each window of an item the rarest n-gram, as {n-gram: items}."""
         out: dict[int, set[int]] = {}
@@ -86,32 +105,84 @@ class SeedIndex:
         return {g: sorted(i) for g, i in out.items()}
 
 
-def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
-    """Local alignment of two sequences of word numbers: (score, longest run of equal words, first and last document word of the best alignment)."""
-    n = len(doc)
-    above, runs = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    begin = np.arange(n + 1)
-    slope = np.arange(n + 1) * -GAP
-    best, longest, span = 0, 0, (0, 0)
-    for word in item:
-        equal = doc == word
-        diagonal = above[:-1] + np.where(equal, MATCH, MISMATCH)
-        upper = above[1:] + GAP
-        cell = np.concatenate([[0], np.maximum(np.maximum(diagonal, upper), 0)])
-        start = np.concatenate([[0], np.where(cell[1:] == 0, np.arange(1, n + 1), np.where(cell[1:] == diagonal, begin[:-1], begin[1:]))])
-        lifted = np.maximum.accumulate(cell + slope)
+def align_many(items: list[np.ndarray], doc: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Local alignment of each of ``items`` with ``doc``, all sequences of word numbers: (score, longest run of equal words, first and last document word of the best alignment)."""
+    if not len(doc):
+        return [(0, 0, 0, 0)] * len(items)
+    m, n = len(items), len(doc)
+    # The filling is no word of any document, and what follows an item's end never scores more than its best.
+    table = np.full((m, max(map(len, items))), -1, np.int64)
+    for k, item in enumerate(items):
+        table[k, : len(item)] = item
+    above, runs = np.zeros((m, n + 1), np.int64), np.zeros((m, n + 1), np.int64)
+    places = np.arange(n + 1)
+    begin = np.tile(places, (m, 1))
+    slope = places * -GAP
+    best, longest, first, last = (np.zeros(m, np.int64) for _ in range(4))
+    for word in table.T:
+        equal = doc == word[:, None]
+        diagonal = above[:, :-1] + np.where(equal, MATCH, MISMATCH)
+        cell, start = np.zeros((m, n + 1), np.int64), np.zeros((m, n + 1), np.int64)
+        cell[:, 1:] = np.maximum(np.maximum(diagonal, above[:, 1:] + GAP), 0)
+        start[:, 1:] = np.where(cell[:, 1:] == 0, places[1:], np.where(cell[:, 1:] == diagonal, begin[:, :-1], begin[:, 1:]))
+        lifted = np.maximum.accumulate(cell + slope, axis=1)
         row = np.maximum(lifted - slope, 0)
         moved = row > cell
         if moved.any():
-            source = np.maximum.accumulate(np.where(cell + slope == lifted, np.arange(n + 1), 0))
-            start = np.where(moved, start[source], start)
-        runs = np.concatenate([[0], np.where(equal, runs[:-1] + 1, 0)])
+            source = np.maximum.accumulate(np.where(cell + slope == lifted, places, 0), axis=1)
+            start = np.where(moved, np.take_along_axis(start, source, 1), start)
+        runs[:, 1:] = np.where(equal, runs[:, :-1] + 1, 0)
         above, begin = row, start
-        k = int(row.argmax())
-        if row[k] > best:
-            best, span = int(row[k]), (int(begin[k]), k - 1)
-        longest = max(longest, int(runs.max()))
-    return best, longest, span[0], span[1]
+        k = row.argmax(axis=1)
+        top = row[np.arange(m), k]
+        better = top > best
+        best = np.where(better, top, best)
+        first, last = np.where(better, start[np.arange(m), k], first), np.where(better, k - 1, last)
+        longest = np.maximum(longest, runs.max(axis=1))
+    return list(zip(best.tolist(), longest.tolist(), first.tolist(), last.tolist()))
+
+
+def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
+    """``align_many`` of one item."""
+    return align_many([item], doc)[0]
+
+
+def _windows(places: list[int], reach: int, end: int) -> list[tuple[int, int]]:
+    """Stretches of a document around its seeds; seeds that lie within ``reach`` of a stretch share it."""
+    out: list[list[int]] = []
+    for p in sorted(places):
+        if out and p - reach <= out[-1][1]:
+            out[-1][1] = min(end, p + reach)
+        else:
+            out.append([max(0, p - reach), min(end, p + reach)])
+    return [(a, b) for a, b in out]
+
+
+def _rows(index: SeedIndex, key: object, ids: np.ndarray, places: dict[int, list[int]]) -> Iterator[tuple]:
+    """The row of each item with seeds at ``places`` of the document with the word numbers ``ids``."""
+    own = {item: index.numbers(index.items[item]) for item in places}
+    # Items that meet the same stretch, as all do in a short document, are aligned together.
+    meet: dict[tuple[int, int], list[int]] = {}
+    for item, ps in places.items():
+        for window in _windows(ps, 2 * len(own[item]), len(ids)):
+            meet.setdefault(window, []).append(item)
+    results: dict[int, list[tuple]] = {}
+    for (a, b), items in meet.items():
+        step = max(1, CELLS // (b - a))
+        for k in range(0, len(items), step):
+            part = items[k : k + step]
+            for item, r in zip(part, align_many([own[i] for i in part], ids[a:b])):
+                results.setdefault(item, []).append((*r, a))
+    for item, found in results.items():
+        best = max(found)
+        yield key, item, max(r[1] for r in found), best[0], best[0] / (MATCH * len(own[item])), best[4] + best[2], best[4] + best[3], len(places[item])
+
+
+COLUMNS = ["doc_id", "item_id", "longest_run", "score", "similarity", "first_word", "last_word", "seeds"]
+
+
+def _schema(kind: str, item_type: str) -> str:
+    return f"doc_id {kind}, item_id {item_type}, longest_run int, score int, similarity double, first_word int, last_word int, seeds int"
 
 
 def _block(documents: DataFrame, index: SeedIndex, doc_id: str, text: str, item_type: str) -> DataFrame:
@@ -143,42 +214,66 @@ def _block(documents: DataFrame, index: SeedIndex, doc_id: str, text: str, item_
                 for p, g in zip(at.tolist(), grams.tolist()):
                     for item in seeds.get(g, ()):
                         places.setdefault(item, []).append(p)
-                ids = index.numbers(ws) if places else None
-                for item, ps in places.items():
-                    own = index.numbers(index.items[item])
-                    # Seeds that lie within two item lengths of each other share a window.
-                    windows, reach = [], 2 * len(own)
-                    for p in sorted(ps):
-                        if windows and p - reach <= windows[-1][1]:
-                            windows[-1][1] = min(len(ws), p + reach)
-                        else:
-                            windows.append([max(0, p - reach), min(len(ws), p + reach)])
-                    results = [(*align(own, ids[a:b]), a) for a, b in windows]
-                    best = max(results)
-                    rows.append((key, item, max(r[1] for r in results), best[0], best[0] / (MATCH * len(own)), best[4] + best[2], best[4] + best[3], len(ps)))
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "longest_run", "score", "similarity", "first_word", "last_word", "seeds"])
-
-    schema = f"doc_id {kind}, item_id {item_type}, longest_run int, score int, similarity double, first_word int, last_word int, seeds int"
-    return found.mapInPandas(score, schema)
-
-
-def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
-    """Document and item pairs that share a seed, aligned: doc_id, item_id, longest_run, score, similarity, first_word, last_word, seeds.
+                if places:
+                    rows += _rows(index, key, index.numbers(ws), places)
+            yield pd.DataFrame(rows, columns=COLUMNS)
 
-    Every pair with at least ``min_words`` consecutive words in common is among them; ``longest_run`` tells the
-    exact number and ``similarity`` the alignment's score against that of a full copy. Items with fewer words, and
-    null or blank texts, give no row. Repeated deliveries of a document or an item count once; extra columns are
-    not carried. Items are taken ``block`` at a time, so that what the workers hold is bounded.
-    """
-    assert seed_words <= min_words
-    item_type = items.schema[item_id].dataType.simpleString()
+    return found.mapInPandas(score, _schema(kind, item_type))
+
+
+def _edited_block(documents: DataFrame, index: SeedIndex, short: SeedIndex, doc_id: str, text: str, item_type: str) -> DataFrame:
+    """Pairs with a common n-gram of ``index``, or as many different ones of ``short`` as a run of min_words words has."""
+    kind = documents.schema[doc_id].dataType.simpleString()
+    enough = index.min_words - short.n + 1
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, t in batch.itertuples(index=False):
+                ids = index.numbers(words(t))
+                _, grams = index.hits_of(ids)
+                at, shorts = short.hits_of(ids)
+                if len(grams) or len(shorts) >= enough:
+                    chosen = np.flatnonzero((index.shared(grams) > 0) | (short.shared(shorts) >= enough))
+                    # A common n-gram holds short ones, so these are all the places that count.
+                    places = {i: at[np.isin(shorts, short.of_item[i])].tolist() for i in (index.order[k] for k in chosen.tolist())}
+                    rows += _rows(index, key, ids, places)
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+    return spread(documents).select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(score, _schema(kind, item_type))
+
+
+def _items(items: DataFrame, item_id: str, item_text: str, block: int) -> list[list[tuple]]:
     rows = [(r[0], r[1]) for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).dropDuplicates([item_id]).toLocalIterator()]
     rows.sort()
-    blocks = [rows[i : i + block] for i in range(0, len(rows), block)] or [[]]
-    out = [_block(documents, SeedIndex(b, seed_words, min_words), doc_id, text, item_type) for b in blocks]
+    return [rows[i : i + block] for i in range(0, len(rows), block)] or [[]]
+
+
+def leaks(
+    documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK, short_words: int = SHORT_WORDS
+) -> DataFrame:
+    """Document and item pairs that share a seed, aligned: doc_id, item_id, longest_run, score, similarity, first_word, last_word, seeds.
+
+    Every pair with ``seed_words`` consecutive words in common is among them, and every pair with at least
+    ``min_words - short_words + 1`` different runs of ``short_words`` words in common: an item of n words that was
+    copied with e words changed, added or left out keeps n + 1 - short_words * (e + 1) of its runs. What other
+    documents hold has no part in it. ``longest_run`` tells the exact number of consecutive words, ``similarity``
+    the alignment's score against that of a full copy and ``seeds`` the document's places with a common short run.
+    Items with fewer than ``min_words`` words, and null or blank texts, give no row. Repeated deliveries of a
+    document or an item count once; extra columns are not carried. Items are taken ``block`` at a time, so that
+    what the workers hold is bounded.
+    """
+    assert short_words <= seed_words <= min_words
+    kind = items.schema[item_id].dataType.simpleString()
+    out = [_edited_block(documents, SeedIndex(b, seed_words, min_words), SeedIndex(b, short_words, min_words), doc_id, text, kind) for b in _items(items, item_id, item_text, block)]
     return reduce(DataFrame.union, out).dropDuplicates(["doc_id", "item_id"])
 
 
-def leaked(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, **names: str) -> DataFrame:
+def leaked(
+    documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK
+) -> DataFrame:
     """The pairs that share at least ``min_words`` consecutive words: doc_id, item_id."""
-    return leaks(documents, items, min_words, **names).where(F.col("longest_run") >= min_words).select("doc_id", "item_id")
+    assert seed_words <= min_words
+    kind = items.schema[item_id].dataType.simpleString()
+    out = [_block(documents, SeedIndex(b, seed_words, min_words), doc_id, text, kind) for b in _items(items, item_id, item_text, block)]
+    return reduce(DataFrame.union, out).dropDuplicates(["doc_id", "item_id"]).where(F.col("longest_run") >= min_words).select("doc_id", "item_id")

@@ -229,6 +229,35 @@ def test_edited_copies_score_high():
     assert leakage.align(item, np.full(30, 999)) == (0, 0, 0, 0)
 
 
+def test_edited_copies_are_aligned(spark):
+    import random
+
+    words = [f"w{i}" for i in range(60)]
+    nine, five = ([w if i % n else "changed" for i, w in enumerate(words)] for n in (10, 6))
+    docs = [(1, " ".join(nine)), (2, " ".join(["before"] * 500 + five + ["after"] * 500)), (3, " ".join(words[20:28])), (4, " ".join(words[20:27])), (5, " ".join(words[::-1])), (6, None)]
+    docs += [(k, " ".join(words[k : k + 8])) for k in range(10, 20)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "one two three")], "item_id long, text string")
+    rows = {r.doc_id: r for r in leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert sorted(rows) == [1, 2, 3, *range(10, 20)]
+    assert rows[1].longest_run == 9 and rows[1].score == 2 * 54 - 5 and rows[3].longest_run == 8
+    assert rows[2].longest_run == 5 and rows[2].score == 2 * 50 - 9 and (rows[2].first_word, rows[2].last_word) == (501, 559)
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcd", k=rng.randrange(13, 40))) for _ in range(20)]
+    df, it = (spark.createDataFrame(list(enumerate(texts[k::2])), f"{n} long, text string") for k, n in enumerate(("doc_id", "item_id")))
+    want = brute(list(enumerate(texts[::2])), list(enumerate(texts[1::2])), 8)
+    assert want <= {(r.doc_id, r.item_id) for r in leakage.leaks(df, it).collect()}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=12), min_size=1, max_size=5), st.lists(st.integers(0, 4), max_size=30))
+def test_items_are_aligned_alike_alone_and_together(items, doc):
+    import numpy as np
+
+    items, doc = [np.array(i) for i in items], np.array(doc, np.int64)
+    assert leakage.align_many(items, doc) == [leakage.align(i, doc) for i in items]
+
+
 # -- mixing ----------------------------------------------------------------------------------------------
 def test_highest_quotients():
     assert mixing.sainte_lague({"a": 53, "b": 24, "c": 23}, 7) == {"a": 3, "b": 2, "c": 2}
