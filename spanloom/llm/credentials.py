@@ -49,6 +49,7 @@ _ASSIGNED = re.compile(
 _FALLBACK = re.compile(r"[\"'`]?\]?\)?[ \t]*(?:\|\||\?\?|\bor\b)[ \t]*(?:\r?\n[ \t]*)?" + _LITERAL)
 _BARE = re.compile(r"(?P<s>=|[ \t]*:[ \t]+|[ \t]*=[ \t]*)(?P<v>[^\s\"'`,;(){}\[\]#|>&*!][^\s\"'`,;(){}\[\]]*)[ \t]*(?:#[^\n]*)?(?:\r?$)", re.M)
 _BARE_LEAD = re.compile(r"[ \t]*(?:-[ \t]+)?(?:export[ \t]+|set[ \t]+)?[\w.-]*$")
+_SCHEME = re.compile(r"(?i)bearer|basic|token")
 _BEARER = re.compile(r"(?i)(?:bearer|basic|token)[ \t]+(?P<v>[^\s\"'`<>]+)")
 _SPOKEN = re.compile(r"(?:[ \t]+(?:is|was|=))?[ \t]*[:=]?[ \t]*(?P<o>[`\"'(]?)(?P<v>[^\s`\"'(),]+)")
 _LOGIN = re.compile(r"\([ \t]*([\"'])[^\"'\n]*\1[ \t]*,[ \t]*(?P<q>[\"'])(?P<v>[^\"'\n]+)(?P=q)")
@@ -57,7 +58,8 @@ _PROSE_PATH = re.compile(r"\.(?:md|markdown|rst|txt|adoc|html?)$", re.I)
 _URL_USER = re.compile(r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s:/@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@")
 _DSN = re.compile(r"(?<![\w:/.-])[\w.-]++:(?P<v>[^\s:@/\"'`(){}<>]+)@(?:tcp|udp|unix)?\(")
 _QUERY = re.compile(r"[?&]" + QUERY_NAMES + r"=(?P<v>[^&\s\"'`<>)#\\]+)", re.I)
-_CURL = re.compile(r"\bcurl\b[^\n]{0,2000}?\s(?:-u|--user)[ \t]+[\"']?[\w.@-]+:(?P<v>[^\s\"']+)")
+_CURL = re.compile(r"\bcurl\b")
+_CURL_USER = re.compile(r"\s(?:-u|--user)[ \t]+[\"']?[\w.@-]+:(?P<v>[^\s\"']+)")
 _JWT = re.compile(r"(?<![\w.-])eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}")
 _PREFIXED = re.compile(r"(?<![\w./+=-])(?!(?:sha|md)\d)[a-z]{2,8}(?:[_-](?:[a-z]{2,8}[_-])?|\.)(?P<r>[A-Za-z0-9][A-Za-z0-9_-]{15,})(?![\w/+=])")
 _KNOWN = re.compile(r"(?<![\w])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\w])|(?<![\w])gh[pousr]_[A-Za-z0-9]{30,}|(?<![\w])xox[abprs]-[\w-]{10,}|(?<![\w])sk-[A-Za-z0-9_-]{20,}|(?<![\w])AIza[\w-]{35}")
@@ -96,9 +98,10 @@ def holds_secret(name: str) -> bool:
 
 def _classes(v: str) -> tuple[int, int, int]:
     """(kinds of characters, changes between kinds, groups of digits)."""
-    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in v]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    return len(set(kinds)), changes, sum(k == "d" and (i == 0 or kinds[i - 1] != "d") for i, k in enumerate(kinds))
+    kinds = v.translate({ord(c): "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in set(v)})
+    # Counted by pairs, as values may be long.
+    changes = {a + b: kinds.count(a + b) for a in "duls" for b in "duls" if a != b}
+    return len(set(kinds)), sum(changes.values()), kinds.startswith("d") + changes["ud"] + changes["ld"] + changes["sd"]
 
 
 def is_random(v: str) -> bool:
@@ -125,7 +128,7 @@ def is_placeholder(v: str) -> bool:
 
 def is_usable(v: str) -> bool:
     """Whether a literal given to a secret's name can be used as it stands."""
-    if is_placeholder(v) or re.match(r"(?i)(?:sha\d+|md5)[:-]", v) or re.match(r"[a-z][a-z0-9+.-]*://", v) or re.match(r"\.{0,2}/[\w./-]+$", v) or len(v) > 4096:
+    if is_placeholder(v) or re.match(r"(?i)(?:sha\d+|md5)[:-]", v) or re.match(r"[a-z][a-z0-9+.-]*://", v) or re.match(r"\.{0,2}/[\w./-]+$", v):
         return False
     if re.search(r"\s", v) and len(v.split()) > 3:
         return False
@@ -273,6 +276,18 @@ def _join_following(text: str, end: int) -> list[tuple[int, int]]:
     return out
 
 
+def _curl_users(text: str) -> Iterator[re.Match]:
+    """The users with passwords that are given to a curl before them on their line; each stretch of a line is searched once."""
+    at = 0
+    for m in _CURL_USER.finditer(text):
+        at = max(at, text.rfind("\n", at, m.start()) + 1)
+        if _CURL.search(text, at, m.start()):
+            yield m
+            at = m.end()
+        else:
+            at = m.start()
+
+
 def scan(text: str, path: str | None = None, depth: int = DEPTH) -> list[Finding]:
     """Every credential in ``text``, without overlaps, in order."""
     found: list[Finding] = []
@@ -305,7 +320,7 @@ def scan(text: str, path: str | None = None, depth: int = DEPTH) -> list[Finding
         if kinds >= 3 and digits >= 2 and changes >= 0.35 * len(r) and not is_placeholder(m[0]):
             add(Finding(m.start(), m.end(), "token"))
     if "curl" in text:
-        for m in _CURL.finditer(text):
+        for m in _curl_users(text):
             if is_usable(m["v"]):
                 add(Finding(m.start("v"), m.end("v"), "password"))
     _named(text, path, found)
@@ -367,8 +382,9 @@ def _named(text: str, path: str | None, found: list[Finding]) -> None:
         name = text[a:b]
         low = name.lower()
         if low in ("authorization", "bearer", "proxy-authorization"):
-            k = _BEARER.search(text, a, min(len(text), b + 400))
-            if k and "\n" not in text[b : k.start()] and (k.start() - b < 12):
+            # Only the scheme must be near; the value has no greatest length.
+            k = next((k for w in _SCHEME.finditer(text, a, b + 17) if w.start() - b < 12 and (k := _BEARER.match(text, w.start()))), None)
+            if k and "\n" not in text[b : k.start()]:
                 v = k["v"]
                 if text[k.start() : k.start() + 5].lower() == "basic":
                     pair = next((_readable(d) for _, d in decodings(v)), None)

@@ -93,6 +93,30 @@ def test_credentials_and_their_lines(spark):
     assert credentials.find(df.limit(0)).count() == 0
 
 
+def test_long_values_are_found_whole(spark):
+    token = "".join("aZ3-Qf7xK9_m"[(i * i + i // 5) % 12] for i in range(6000))
+    basic = base64.b64encode(b"user:" + token[:900].encode()).decode()
+    cases = [
+        ("a.http", "Authorization: Bearer @\n", token), ("b.sh", "curl -H 'Authorization: Bearer @' https://x.example\n", token[:500]), ("c.http", "Authorization: Basic @\n", basic),
+        ("d.http", "Authorization: Bearer" + " " * 500 + "@\n", token[:300]), ("e.py", 'api_token = "@"\n', token), ("f.env", "API_TOKEN=@\n", token), ("g.sh", "curl " + "-H 'x: y' " * 400 + "-u me:@ https://x.example\n", token[:40]),
+    ]
+    df = table(spark, [(p, t.replace("@", v), 1) for p, t, v in cases])
+    found = {r.fragment_id: (r.value_start, r.value_end) for r in credentials.find(df).collect()}
+    clean = {r.fragment_id: r.redacted_text for r in credentials.redacted(df).collect()}
+    for i, (p, t, v) in enumerate(cases):
+        assert found[f"f{i}"] == (t.index("@"), t.index("@") + len(v)) and clean[f"f{i}"] == t.replace("@", credentials.MARK), p
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["curl", "curls", " ", "\n", " -u a:b", " --user x:y", "-u c:d", "\t"]), max_size=30))
+def test_curl_users_against_one_pattern(parts):
+    import re
+
+    text = "".join(parts)
+    whole = re.compile(r"\bcurl\b[^\n]*?" + credentials._CURL_USER.pattern)
+    assert [m.span("v") for m in credentials._curl_users(text)] == [m.span("v") for m in whole.finditer(text)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from([t for _, t, _ in SECRETS if t] + ["x = 1\n", "\r\n", "ü", "İ", '"'])))
 def test_redaction_leaves_everything_else(parts):
