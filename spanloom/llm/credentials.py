@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from spanloom.session import spread
 
-#: Layers that are decoded inside one another.
-DEPTH = 4
 MARK = "REDACTED"
 
 # Words of names that hold secrets, words that make a name hold something about one, and literals that stand for none.
@@ -67,6 +65,8 @@ _ARMOUR = re.compile(r"-----BEGIN (?P<k>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)--
 _RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/=_-])")
 _ESCAPES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}){8,}+|(?:\\u[0-9A-Fa-f]{4}){8,}+")
 _PERCENT = re.compile(r"(?<![\w.~/:@-])(?:[\w.~/:@-]*+%[0-9A-Fa-f]{2}){3,}[\w.~/:@=-]*")
+#: Percent signs that were encoded so often that a layer would take off only one step of many; 16 of them are kept.
+_CHAIN = re.compile(r"%(?:25){17,}+")
 #: Bytes that an encoded run may hold stay, all others become spaces.
 _RUN_BYTES = bytes(b if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 32 for b in range(256))
 _KNOWN_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza")
@@ -200,7 +200,7 @@ def decodings(literal: str) -> Iterator[tuple[str, bytes]]:
     elif literal.startswith("\\u"):
         yield "escape", "".join(chr(int(x, 16)) for x in literal.split("\\u")[1:]).encode("utf-8", "replace")
     elif "%" in literal:
-        yield "percent", unquote_to_bytes(literal)
+        yield "percent", unquote_to_bytes(_CHAIN.sub("%" + "25" * 16, literal))
     else:
         if len(literal) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", literal):
             yield "hex", bytes.fromhex(literal)
@@ -215,8 +215,7 @@ def decodings(literal: str) -> Iterator[tuple[str, bytes]]:
 def _encoded(text: str) -> Iterator[re.Match]:
     """The runs of ``text`` that may be encoded."""
     data = text.encode("utf-8", "replace")
-    # A name has digits at its end at most; only runs that a name cannot be are worth a closer look.
-    if any(len(w) >= 24 and not w.strip(b"0123456789").isalpha() for w in data.translate(_RUN_BYTES).replace(b"_", b"").split()):
+    if any(len(w) >= 24 for w in data.translate(_RUN_BYTES).split()):
         yield from _RUN.finditer(text)
     if "\\x" in text or "\\u" in text:
         yield from _ESCAPES.finditer(text)
@@ -226,9 +225,6 @@ def _encoded(text: str) -> Iterator[re.Match]:
 
 def _readable(data: bytes) -> str | None:
     """``data`` as text if it is text."""
-    probe = data[:64]
-    if sum(32 <= b < 127 or b in (9, 10, 13) for b in probe) < 0.9 * len(probe):
-        return None
     try:
         text = data.decode("utf-8")
     except UnicodeDecodeError:
@@ -288,8 +284,24 @@ def _curl_users(text: str) -> Iterator[re.Match]:
             at = m.start()
 
 
-def scan(text: str, path: str | None = None, depth: int = DEPTH) -> list[Finding]:
-    """Every credential in ``text``, without overlaps, in order."""
+def scan(text: str, path: str | None = None) -> list[Finding]:
+    """Every credential in ``text`` and its layers, however deep, without overlaps, in order."""
+    # The layers wait on a list, as they may be deeper than calls can.
+    waiting, result = [_scan(text, path)], None
+    while waiting:
+        try:
+            inner = waiting[-1].send(result)
+        except StopIteration as done:
+            waiting.pop()
+            result = done.value
+        else:
+            waiting.append(_scan(inner, None))
+            result = None
+    return result
+
+
+def _scan(text: str, path: str | None) -> Generator[str, list[Finding], list[Finding]]:
+    """The findings of ``text``; each readable layer is yielded, and its findings are sent back."""
     found: list[Finding] = []
     add = found.append
     if "-----BEGIN " in text:
@@ -324,19 +336,18 @@ def scan(text: str, path: str | None = None, depth: int = DEPTH) -> list[Finding
             if is_usable(m["v"]):
                 add(Finding(m.start("v"), m.end("v"), "password"))
     _named(text, path, found)
-    if depth > 0:
-        for m in _encoded(text):
-            if any(f.start < m.end() and m.start() < f.end for f in found):
-                continue
-            for how, data in decodings(m[0]):
-                kind = container(data)
-                if kind:
-                    add(Finding(m.start(), m.end(), f"private key ({kind})", (how,)))
-                    break
-                inner = _readable(data)
-                if inner and (below := scan(inner, None, depth - 1)):
-                    add(Finding(m.start(), m.end(), below[0].kind, (how, *below[0].layers)))
-                    break
+    for m in _encoded(text):
+        if any(f.start < m.end() and m.start() < f.end for f in found):
+            continue
+        for how, data in decodings(m[0]):
+            kind = container(data)
+            if kind:
+                add(Finding(m.start(), m.end(), f"private key ({kind})", (how,)))
+                break
+            inner = _readable(data)
+            if inner and (below := (yield inner)):
+                add(Finding(m.start(), m.end(), below[0].kind, (how, *below[0].layers)))
+                break
     found.sort(key=lambda f: (f.start, -f.end))
     out: list[Finding] = []
     for f in found:

@@ -107,6 +107,22 @@ def test_long_values_are_found_whole(spark):
         assert found[f"f{i}"] == (t.index("@"), t.index("@") + len(v)) and clean[f"f{i}"] == t.replace("@", credentials.MARK), p
 
 
+def test_layers_of_any_depth_and_script(spark):
+    secret = 'api_token = "aB3dE5gH7jK9mN1p"\n'
+    deep = secret
+    for _ in range(9):
+        deep = base64.b64encode(deep.encode()).decode()
+    foreign = base64.b64encode(("数据库的配置文件，" * 8 + "\n" + secret).encode()).decode()
+    letters = next(e for n in range(100_000) if (e := base64.b64encode(f'pwd="Qw{n:05d}!zR8"\n'.encode()).decode()).strip("0123456789=").isalpha())
+    percent = "".join(f"%{'25' * 400}{ord(c):02x}" for c in "pwd='aB3dE5gH7jK9mN1p'")
+    texts = [deep, foreign, letters, percent]
+    df = table(spark, [("a.txt", f'x = "{t}"\n', 1) for t in texts])
+    rows = {r.fragment_id: r for r in credentials.find(df).collect()}
+    assert [(rows[f"f{i}"].value_start, rows[f"f{i}"].value_end) for i in range(4)] == [(5, 5 + len(t)) for t in texts]
+    assert rows["f0"].layers == ">".join(["base64"] * 9)
+    assert credentials.scan("%" + "25" * 100_000 + "%41%42%43") == []
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["curl", "curls", " ", "\n", " -u a:b", " --user x:y", "-u c:d", "\t"]), max_size=30))
 def test_curl_users_against_one_pattern(parts):
