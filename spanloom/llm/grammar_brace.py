@@ -44,7 +44,9 @@ def script_tokens(text: str) -> list[Token]:
         at = text.find("\n")
         at = n if at < 0 else at
     last = None
+    # Of each open parenthesis whether it is the head of a statement, behind which an operand may start.
     depth: list[bool] = []
+    head = False
     while True:
         m = _SPACE.match(text, at)
         if m:
@@ -59,7 +61,7 @@ def script_tokens(text: str) -> list[Token]:
             out.append(last := Token("template", "", nl, holes))
             at, nl = end, False
             continue
-        if c == "/" and (last is None or (last.kind == "mark" and last.text not in (")", "]", "}", "++", "--")) or (last.kind == "word" and last.text in _OPERAND_WORDS) or last.text == "}"):
+        if c == "/" and (last is None or (last.kind == "mark" and last.text not in (")", "]", "}", "++", "--")) or (last.kind == "word" and last.text in _OPERAND_WORDS) or last.text == "}" or (head and last.kind == "mark" and last.text == ")")):
             m = _REGEX.match(text, at)
             if m:
                 out.append(last := Token("regex", m[0], nl))
@@ -74,6 +76,11 @@ def script_tokens(text: str) -> list[Token]:
             raise SyntaxError(f"number at {at}")
         if kind == "name" and (t in RESERVED or t in ("await", "yield", "of", "let", "async")):
             kind = "word"
+        if t == "(":
+            k = -2 if out and out[-1].text == "await" else -1
+            depth.append(len(out) >= -k and out[k].kind == "word" and out[k].text in (("for",) if k == -2 else ("if", "while", "for", "with")) and not (len(out) > -k and out[k - 1].text in (".", "?.")))
+        elif t == ")":
+            head = bool(depth) and depth.pop()
         out.append(last := Token(kind, t, nl))
         at, nl = m.end(), False
 

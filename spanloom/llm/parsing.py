@@ -2,7 +2,8 @@
 
 Texts up to ``LARGE`` characters are decided where they lie. Larger ones are cut into chunks of lines that go to
 all tasks, each of which maps its chunks from every lexical state; the maps are composed in order, and only
-texts whose composition is neutral are read by the grammar.
+texts whose composition is neutral are read by the grammar, and all of JavaScript and TypeScript, where the scan
+may take a regular expression for a quote or bracket.
 """
 
 from __future__ import annotations
@@ -69,14 +70,15 @@ def invalid(df: DataFrame, key: str = "fragment_id", path: str = "path", text: s
 
     maps = parts.repartition("k", "n").mapInPandas(read, f"k {kind}, l string, n int, before string, after string, closes string, opens string, broken boolean")
     verdicts = maps.groupBy("k", "l").applyInPandas(fold, f"k {kind}, l string, neutral boolean")
-    unbalanced = verdicts.where(~F.col("neutral")).select("k", "l")
+    read_on = F.col("neutral") | F.col("l").isin(*syntax.CONFIRMED)
+    unbalanced = verdicts.where(~read_on).select("k", "l")
 
     def grammar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = [(k, l) for k, l, t in batch.itertuples(index=False) if not syntax.is_valid(t, l)]
             yield pd.DataFrame(out, columns=["k", "l"])
 
-    rest = rows.where(F.length("t") > large).join(verdicts.where("neutral").select("k"), "k", "left_semi")
+    rest = rows.where(F.length("t") > large).join(verdicts.where(read_on).select("k"), "k", "left_semi")
     return small.union(unbalanced).union(rest.mapInPandas(grammar, f"k {kind}, l string")).distinct().select(F.col("k").alias(key), F.col("l").alias("language"))
 
 

@@ -42,6 +42,8 @@ _SCAN = {
     "json": re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|[\[\]{}\"]"),
 }
 _SCAN["typescript"] = _SCAN["javascript"]
+#: Where a regular expression may stand is the grammar's matter, so an unbalanced scan of these languages is confirmed by it.
+CONFIRMED = ("javascript", "typescript")
 _PAIR = {")": "(", "]": "[", "}": "{"}
 _LONG = {"python": ('"""', "'''"), "toml": ('"""', "'''"), "javascript": ("/*", "`"), "typescript": ("/*", "`"), "go": ("/*", "`"), "json": ()}
 
@@ -255,7 +257,7 @@ def is_valid(text: str, language: str) -> bool:
     # The summaries of the chunks come first; balanced texts are then decided statement by statement, by its form,
     # once for all texts that hold the like; what does not stand alone is read as a whole.
     if not balanced(text, language):
-        return False
+        return language in CONFIRMED and _grammar(text, language)
     if _statements(text, language):
         return True
     if language != "go":

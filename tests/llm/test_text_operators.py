@@ -222,6 +222,15 @@ def test_invalid_files_and_rates(spark):
     assert parsing.invalid(df.limit(0)).count() == 0
 
 
+def test_regular_expressions_wherever_an_operand_starts(spark):
+    valid = ["x = [\n /['\"]/,\n /[(]/,\n];\n", "if (a) /'/.test(b);\n", "x = [\n /[(]/,\n];\n" + "f(1);\n" * 40]
+    broken = ["x = [\n /['\"]/,\n /[(]/,\n;\n", "if (a /'/.test(b);\n", "f('a);\n", "f((1);\n", "f(1));\n", "a = `b\n", "/* a\n"]
+    df = table(spark, [(f"a.{e}", t, 1) for e in ("js", "ts") for t in valid + broken])
+    want = {f"f{i}" for i in range(2 * len(valid + broken)) if i % len(valid + broken) >= len(valid)}
+    for large in (4_000_000, 10):
+        assert {r.fragment_id for r in parsing.invalid(df, large=large, chunk=20).collect()} == want
+
+
 # -- leakage --------------------------------------------------------------------------------------------
 def brute(docs, items, n=13):
     out = set()
