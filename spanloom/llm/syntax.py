@@ -42,8 +42,9 @@ _SCAN = {
     "json": re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|[\[\]{}\"]"),
 }
 _SCAN["typescript"] = _SCAN["javascript"]
-#: Where a regular expression may stand is the grammar's matter, so an unbalanced scan of these languages is confirmed by it.
-CONFIRMED = ("javascript", "typescript")
+#: Where a regular expression may stand is the grammar's matter, so an unbalanced scan of these languages is confirmed by it;
+#: JSON and TOML are decided by their readers alone, at every size.
+CONFIRMED = ("javascript", "typescript", "json", "toml")
 _PAIR = {")": "(", "]": "[", "}": "{"}
 _LONG = {"python": ('"""', "'''"), "toml": ('"""', "'''"), "javascript": ("/*", "`"), "typescript": ("/*", "`"), "go": ("/*", "`"), "json": ()}
 

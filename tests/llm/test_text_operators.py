@@ -231,6 +231,13 @@ def test_regular_expressions_wherever_an_operand_starts(spark):
         assert {r.fragment_id for r in parsing.invalid(df, large=large, chunk=20).collect()} == want
 
 
+def test_toml_has_one_verdict_at_every_size(spark):
+    texts = ['a = """b""""\n', 'a = """b"\n', "[t]\na = 1\n"]
+    df = table(spark, [("a.toml", t, 1) for t in texts])
+    for large in (4_000_000, 5):
+        assert [r.fragment_id for r in parsing.invalid(df, large=large, chunk=5).collect()] == ["f1"]
+
+
 # -- leakage --------------------------------------------------------------------------------------------
 def brute(docs, items, n=13):
     out = set()
