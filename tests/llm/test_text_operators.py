@@ -337,6 +337,20 @@ def test_mix_reaches_its_shares(spark):
     assert abs(told["big"].share - 0.7 / 0.9) < 0.02 and abs(told["small"].share - 0.2 / 0.9) < 0.02 and told["gone"].n_tokens == 0
     assert {r.doc_id: r.uses for r in mixing.mix(df.repartition(7), targets)[0].collect()} == {k: r.uses for k, r in rows.items()}
     assert mixing.mix(df.limit(0), targets)[0].count() == 0
+    few = {r.source: r for r in mixing.mix(df, targets, total_tokens=900, blocks=30)[1].collect()}
+    assert abs(few["big"].n_tokens - 630) <= 15 and abs(few["small"].n_tokens - 180) <= 15
+
+
+def test_token_counts_agree(spark):
+    import os
+    from pathlib import Path
+
+    names = (mixing.VOCABULARY, mixing.VOCABULARY.replace(".tiktoken", ".json"))
+    if not all(map(os.path.exists, names)):
+        pytest.skip("no vocabulary file")
+    texts = ["", "plain words, 123 and don't\n\n  x", "Größe 検証 🙂 <|endoftext|>", " " * 30_000 + "end", "=" * 3_000, "a\u2028b\tc\r\n"]
+    one, two = (mixing._counter(n, Path(n).read_bytes())(texts) for n in names)
+    assert one == two
 
 
 # -- keyword stuffing ------------------------------------------------------------------------------------
