@@ -1,15 +1,14 @@
 """Cutting oversized texts into overlapping pieces at natural boundaries (problem 5).
 
-A text is read as a tree of its own structure: headings in markup, declarations and blocks elsewhere. A node
-that fits stays whole and is merged with the siblings before it up to the limit; only a node that does not fit
-is descended into. The tree is kept as one strength for each line start: a node's children are what lies
-between its strongest inner boundaries.
+A text is read as a tree of its own structure: sections by headings, then paragraphs and items in markup; blocks by
+indentation and blank lines elsewhere, a declaration together with the comments and decorators above it. A node that
+fits is never cut. The parts of a node that does not fit are packed first, then siblings are merged from the front up
+to the limit, level by level from the leaves to the root.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,16 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LIMIT, OVERLAP_LINES = 6144, 3
-#: A piece that ends at a stronger boundary must still use this share of the room; else the next weaker one is taken.
-LEAST_FILL = 0.25
+#: Indentations that are told apart; deeper ones are one level.
+LEVELS = 64
 
 _MARKUP = re.compile(r"\.(?:md|markdown|mdx|rst|txt|adoc)$", re.I)
 _HEADING = re.compile(r"(#{1,6})\s|<h([1-6])\b", re.I)
 _ITEM = re.compile(r"\s*(?:[-*+]|\d+[.)])\s")
-_OPENS = re.compile(
-    r"(?:export |default |public |private |protected |static |async |abstract |final |pub )*(?:def|class|func|function|type|interface|enum|struct|impl|trait|const|let|var|module|namespace|package|import|from|@\w)\b"
-    r"|@\w|\[{1,2}[\w.\"-]+\]{1,2}\s*$|[\w\"'.-]+\s*:\s*$"
-)
+#: Lines that belong to what follows them: decorators and comments.
+_LEADS = re.compile(r"@\w|//|/\*|\*|#|--")
 _CLOSES = re.compile(r"\s*(?:[)\]}]|else\b|elif\b|except\b|finally\b|catch\b|</|end\b|\"\"\"|''')")
 #: Inside a line the later of these is preferred: ends of statements, then of items, then of words.
 _INSIDE = (re.compile(r"[;}\]>]|[.!?。](?=\s)"), re.compile(r"[,:|&)]"), re.compile(r"\s"))
@@ -38,36 +35,40 @@ PIECES = T.StructType([
 ])
 
 
-def strengths(lines: list[str], path: str | None) -> list[int]:
-    """How natural a cut before each line is, 0 to 9."""
-    markup, fence, blank, out = bool(path and _MARKUP.search(path)), False, True, []
+def ranks(lines: list[str], path: str | None) -> list[int]:
+    """Rank of the boundary before each line; a node's children lie between its inner boundaries of highest rank."""
+    markup, fence, blank, lead, out = bool(path and _MARKUP.search(path)), False, True, False, []
     widths = sorted({len(x) - len(x.lstrip(" \t")) for x in lines if x.strip()})
-    level = {w: i for i, w in enumerate(widths)}
+    level = {w: min(i, LEVELS) for i, w in enumerate(widths)}
     for x in lines:
         body = x.lstrip(" \t")
         if not body.strip():
-            out.append(0 if blank else 1)
+            # A blank line belongs to what is before it.
+            out.append(0)
             blank = True
             continue
         if markup:
             fenced = body.startswith(("```", "~~~"))
             if fence:
-                s = 0
+                rank = 0
             elif heading := _HEADING.match(body):
-                s = 10 - int(len(heading[1]) if heading[1] else heading[2])
+                rank = 10 - (len(heading[1]) if heading[1] else int(heading[2]))
             else:
-                s = 3 if blank else 2 if _ITEM.match(x) else 1
+                rank = 3 if blank else 2 if _ITEM.match(x) else 1
             fence ^= fenced
-        elif _CLOSES.match(x):
-            s = 0
+        elif _CLOSES.match(x) or lead and not blank:
+            rank = 0
         else:
-            depth = level[len(x) - len(body)]
-            s = max(1, 6 - 2 * depth + 2 * blank + bool(_OPENS.match(body)))
-        out.append(min(s, 9))
-        blank = False
+            rank = 1 + 2 * (LEVELS - level[len(x) - len(body)]) + blank
+        out.append(rank)
+        blank, lead = False, not markup and bool(_LEADS.match(body))
     return out
 
 
+def _bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogatepass"))
+
+
 def _inside(line: str, room: int) -> int:
     """Characters of ``line`` to take into ``room`` bytes, cut at a natural place in the last quarter if there is one."""
     most = len(line.encode("utf-8", "surrogatepass")[:room].decode("utf-8", "ignore"))
@@ -80,58 +81,70 @@ def _inside(line: str, room: int) -> int:
     return max(1, most - (line[most - 1 : most + 1] == "\r\n"))
 
 
+def children(rank: list[int], first: int, end: int) -> list[tuple[int, int]]:
+    """The parts of the node of rows ``first`` to ``end`` between its strongest inner boundaries."""
+    strongest = max(rank[first + 1 : end])
+    cuts = [first, *(k for k in range(first + 1, end) if rank[k] == strongest), end]
+    return list(zip(cuts, cuts[1:]))
+
+
+def pack(rank: list[int], upto: list[int], reserve: list[int], limit: int) -> list[tuple[int, int]]:
+    """Runs of rows, none beyond the limit but single rows: fitting nodes whole, siblings merged where the rows before them fit as well."""
+
+    def merged(units: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for a, b in units:
+            if out and upto[b] - upto[out[-1][0]] + reserve[out[-1][0]] <= limit:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+        return out
+
+    # Nodes wait on a list with what their parts have given so far, so that depth is no matter of calls.
+    done: list[list[tuple[int, int]]] = [[]]
+    waiting: list[tuple[int, int] | None] = [(0, len(rank))]
+    while waiting:
+        node = waiting.pop()
+        if node is None:
+            units = merged(done.pop())
+            done[-1] += units
+        elif upto[node[1]] - upto[node[0]] <= limit or node[1] - node[0] == 1:
+            done[-1].append(node)
+        else:
+            waiting += [None, *reversed(children(rank, *node))]
+            done.append([])
+    return done[0]
+
+
 def split_text(text: str, path: str | None = None, limit: int = LIMIT, overlap: int = OVERLAP_LINES) -> list[tuple[int, int, str, str]]:
     """Pieces of ``text`` as (line offset of the first line, repeated lines, repeated text, new text).
 
-    No piece has more than ``limit`` UTF-8 bytes. The new texts joined give the text. Each piece after the first
-    begins with the last ``overlap`` lines of the one before, or with as many of them as leave room for the line
-    that follows (for half the limit if that line is longer). A line longer than the room is cut inside.
+    No piece has more than ``limit`` UTF-8 bytes. The new texts joined give the text. Each piece after the first begins
+    with the last ``overlap`` lines of the one before, or with as many of them as leave room for a node that is kept
+    whole. A line longer than the limit is cut inside, and its parts count as lines.
     """
-    if len(text.encode("utf-8", "surrogatepass")) <= limit:
+    if _bytes(text) <= limit:
         return [(0, 0, "", text)]
     lines = re.findall(r"[^\n]*\n|[^\n]+", text)
-    size = [len(x.encode("utf-8", "surrogatepass")) for x in lines]
+    rows: list[tuple[int, str]] = []
+    rank: list[int] = []
+    for number, (line, r) in enumerate(zip(lines, ranks(lines, path))):
+        at = 0
+        while at < len(line):
+            # No more than ``limit`` characters can fit.
+            n = _inside(line[at : at + limit + 1], limit)
+            rows.append((number, line[at : at + n]))
+            rank.append(0 if at else r)
+            at += n
     upto = [0]
-    for n in size:
-        upto.append(upto[-1] + n)
-    strong = strengths(lines, path)
-    out: list[tuple[int, int, str, str]] = []
-    tail: list[tuple[int, str]] = []  # what the piece before ends with: (line, text), no more than ``overlap``
-    at, within = 0, 0  # next line, characters of it that are out already
-    while at < len(lines):
-        rest = lines[at][within:]
-        follows = len(rest.encode("utf-8", "surrogatepass"))
-        most = limit - min(follows, limit // 2)
-        repeated: list[tuple[int, str]] = []
-        used = 0
-        for number, line in reversed(tail):
-            n = len(line.encode("utf-8", "surrogatepass"))
-            if used + n > most:
-                break
-            repeated.insert(0, (number, line))
-            used += n
-        room = limit - used
-        begin = at
-        if follows > room:
-            n = _inside(rest, room)
-            fresh = [(at, rest[:n])]
-            within += n
-            if within >= len(lines[at]):
-                at, within = at + 1, 0
-        else:
-            done = upto[at + 1] - follows
-            end = bisect_right(upto, done + room) - 1  # lines at..end fit
-            if end < len(lines):
-                least = bisect_right(upto, done + int(room * LEAST_FILL))
-                choices = range(max(at + 1, least), end + 1)
-                if choices:
-                    best = max(strong[k] for k in choices)
-                    end = max(k for k in choices if strong[k] == best)
-            fresh = [(at, rest), *((k, lines[k]) for k in range(at + 1, end))]
-            at, within = end, 0
-        first = repeated[0][0] if repeated else begin
-        out.append((first, len(repeated), "".join(x for _, x in repeated), "".join(x for _, x in fresh)))
-        tail = (repeated + fresh)[-overlap:] if overlap else []
+    for _, x in rows:
+        upto.append(upto[-1] + _bytes(x))
+    # Room that is kept for repeated lines while siblings are merged.
+    reserve = [max((upto[a] - upto[k] for k in range(max(0, a - overlap), a) if upto[a] - upto[k] <= limit // 2), default=0) for a in range(len(rows))]
+    out = []
+    for a, b in pack(rank, upto, reserve, limit):
+        before = next(k for k in range(max(0, a - overlap), a + 1) if upto[b] - upto[k] <= limit) if a else a
+        out.append((rows[before][0], a - before, "".join(x for _, x in rows[before:a]), "".join(x for _, x in rows[a:b])))
     return out
 
 

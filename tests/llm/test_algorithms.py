@@ -133,6 +133,40 @@ def test_three_lines_repeat_where_they_fit():
     assert all(p[3].startswith("# H") for p in splitting.split_text(markup, "a.md", 600, 0))
 
 
+@settings(max_examples=250, deadline=None)
+@given(PIECE, st.sampled_from(["a.md", "a.py"]), st.integers(60, 200))
+def test_a_node_that_fits_is_never_cut(text, path, limit):
+    lines = text.splitlines(keepends=True)
+    rank, size = splitting.ranks(lines, path), [len(x.encode()) for x in lines]
+    upto = [sum(size[:k]) for k in range(len(lines) + 1)]
+    starts, at = set(), 0
+    for _, _, _, new in splitting.split_text(text, path, limit):
+        starts.add(at)
+        at += new.count("\n") if new.endswith("\n") else len(lines)
+    pieces = [*sorted(starts), len(lines)]
+
+    def walk(a, b):
+        if upto[b] - upto[a] <= limit:
+            assert not any(a < s < b for s in starts), (a, b, starts)
+        elif b - a > 1:
+            for c in splitting.children(rank, a, b):
+                walk(*c)
+
+    if text.endswith("\n") and max(size) <= limit:
+        walk(0, len(lines))
+        # Neighbours that fit together, with the lines before them, are one piece.
+        for a, b in zip(pieces, pieces[2:]):
+            kept = max((upto[a] - upto[k] for k in range(max(0, a - 3), a) if upto[a] - upto[k] <= limit // 2), default=0)
+            assert upto[b] - upto[a] + kept > limit
+
+
+def test_sections_stay_whole():
+    small, large = "# A\n" + "some words\n" * 12, "# B\n" + "and other words\n" * 48
+    assert [p[3] for p in splitting.split_text(small + large, "a.md", 850)] == [small, large]
+    code = "".join(f"# what f{k} does\n@cached\ndef f{k}():\n    x = {k}\n\n    return x\n\n" for k in range(40))
+    assert all(p[3].startswith("# what") and p[3].endswith("return x\n\n") for p in splitting.split_text(code, "a.py", 300))
+
+
 def test_rows_of_pieces(spark):
     rows = [("a", "a.py", "x = 1\n" * 3000, 7, 1), ("a", "a.py", "x = 1\n" * 3000, 7, 1), ("b", None, "é" * 9000, None, 1), ("c", "c", "x" * 6144, 1, 1), ("d", "d", None, 1, 1), ("e", "e", "", 1, 1)]
     df = spark.createDataFrame(rows, "fragment_id string, path string, text string, start_line int, piece int")
