@@ -118,6 +118,15 @@ def _template(text: str, at: int) -> tuple[int, tuple[str, ...]]:
     raise SyntaxError("template")
 
 
+class Place(NamedTuple):
+    """Whether a statement lies in a function, in a loop and in a switch of it, and below which labels."""
+
+    function: bool = False
+    loop: bool = False
+    switch: bool = False
+    labels: tuple[str, ...] = ()
+
+
 class ScriptParser:
     """Accepts a program, or raises SyntaxError."""
 
@@ -126,6 +135,7 @@ class ScriptParser:
         self.i = 0
         self.typed = typed
         self.no_in = False
+        self.place = Place()
         #: Marks that were taken apart, to be put together again where an attempt fails.
         self.cut: list[tuple[int, Token]] = []
 
@@ -180,17 +190,23 @@ class ScriptParser:
         self.fail()
 
     def attempt(self, rule) -> bool:
-        i, n, no_in = self.i, len(self.cut), self.no_in
+        i, n, no_in, place = self.i, len(self.cut), self.no_in, self.place
         try:
             rule()
             return True
         except (SyntaxError, IndexError):
-            self.i, self.no_in = i, no_in
+            self.i, self.no_in, self.place = i, no_in, place
             while len(self.cut) > n:
                 at, token = self.cut.pop()
                 self.t[at] = token
             return False
 
+    def within(self, place: Place, rule) -> None:
+        """Read a rule at another place; a failed attempt puts the place back itself."""
+        saved, self.place = self.place, place
+        rule()
+        self.place = saved
+
     # -- statements -------------------------------------------------------------------------------
     def parse(self) -> None:
         while self.t[self.i].kind != "end":
@@ -235,7 +251,7 @@ class ScriptParser:
                     return None
             if self.look().text == ":" and self.look().kind == "mark" and (t.kind == "name" or x not in RESERVED):
                 self.i += 2
-                return self.statement()
+                return self.within(self.place._replace(labels=(*self.place.labels, x)), self.statement)
         self.expression()
         self.semicolon()
         return None
@@ -323,7 +339,7 @@ class ScriptParser:
             self.type(predicate=True)
         if self.typed and not self.at("{"):
             return self.semicolon()
-        return self.block()
+        return self.within(Place(function=True), self.block)
 
     def parameters(self) -> None:
         self.need("(")
@@ -379,7 +395,7 @@ class ScriptParser:
             self.decorators()
         if self.at("static") and self.look().text == "{":
             self.i += 1
-            return self.block()
+            return self.within(Place(), self.block)
         modifiers = {"static", "async", "get", "set", "accessor"} | ({"public", "private", "protected", "readonly", "abstract", "override", "declare"} if self.typed else set())
         while self.t[self.i].text in modifiers and self.t[self.i].kind in ("name", "word") and (self.look().kind in ("name", "word", "string", "number") or self.look().text in ("[", "*", "{") and self.look().text != "{") and not (self.look().nl and self.t[self.i].text not in ("public", "private", "protected", "readonly", "static", "abstract")):
             self.i += 1
@@ -420,16 +436,22 @@ class ScriptParser:
         if self.take("else"):
             self.statement()
 
+    def loop(self) -> None:
+        self.within(self.place._replace(loop=True), self.statement)
+
     def _while(self) -> None:
         self.i += 1
         self.condition()
-        self.statement()
+        self.loop()
 
-    _with = _while
+    def _with(self) -> None:
+        self.i += 1
+        self.condition()
+        self.statement()
 
     def _do(self) -> None:
         self.i += 1
-        self.statement()
+        self.loop()
         self.need("while")
         self.condition()
         self.take(";")
@@ -459,11 +481,14 @@ class ScriptParser:
             if not self.at(")"):
                 self.expression()
         self.need(")")
-        self.statement()
+        self.loop()
 
     def _switch(self) -> None:
         self.i += 1
         self.condition()
+        self.within(self.place._replace(switch=True), self.cases)
+
+    def cases(self) -> None:
         self.need("{")
         while not self.take("}"):
             if self.take("case"):
@@ -502,18 +527,28 @@ class ScriptParser:
         self.semicolon()
 
     def _return(self) -> None:
+        if not self.place.function:
+            self.fail()
         self.i += 1
         if not (self.at(";", "}") or self.t[self.i].nl or self.t[self.i].kind == "end"):
             self.expression()
         self.semicolon()
 
-    def _break(self) -> None:
+    def leave(self, allowed: bool) -> None:
         self.i += 1
-        if self.t[self.i].kind == "name" and not self.t[self.i].nl:
+        t = self.t[self.i]
+        if t.kind == "name" and not t.nl:
+            allowed = t.text in self.place.labels
             self.i += 1
+        if not allowed:
+            self.fail()
         self.semicolon()
 
-    _continue = _break
+    def _break(self) -> None:
+        self.leave(self.place.loop or self.place.switch)
+
+    def _continue(self) -> None:
+        self.leave(self.place.loop)
 
     def _debugger(self) -> None:
         self.i += 1
@@ -707,15 +742,26 @@ class ScriptParser:
             self.postfix_type()
 
     def postfix_type(self) -> None:
+        inferred = False
         while self.at("keyof", "readonly", "unique", "infer") and (self.look().kind in ("name", "word", "string", "template") or self.look().text in ("(", "[", "{")) and not self.look().nl:
+            inferred = self.at("infer")
             self.i += 1
         self.primary_type()
+        if inferred and self.at("extends"):
+            self.attempt(self.bound)
         while self.at("[") and not self.t[self.i].nl:
             self.i += 1
             if not self.take("]"):
                 self.type()
                 self.need("]")
 
+    def bound(self) -> None:
+        """The bound of an inferred name; before a question mark ``extends`` begins a condition instead."""
+        self.i += 1
+        self.union_type()
+        if self.at("?"):
+            self.fail()
+
     def primary_type(self) -> None:
         t = self.t[self.i]
         if self.at("new", "abstract") and self.look().text in ("(", "<", "new"):
@@ -894,7 +940,7 @@ class ScriptParser:
     def arrow_body(self) -> None:
         if self.at("{"):
             saved, self.no_in = self.no_in, False
-            self.block()
+            self.within(Place(function=True), self.block)
             self.no_in = saved
         else:
             self.assignment()

@@ -11,6 +11,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+import sys
 import tomllib
 import warnings
 from dataclasses import dataclass
@@ -155,7 +156,8 @@ _GO_WORDS = "break case chan const continue default defer else fallthrough for f
 
 
 def _names(words: str, letters: str) -> re.Pattern[str]:
-    return re.compile(rf"(?<![\w$])(?!(?:{'|'.join(words.split())})(?![\w$]))[{letters}][\w$]*+")
+    # A dollar sign before a brace opens a hole of a template and is no part of a name.
+    return re.compile(rf"(?<![\w$])(?!(?:{'|'.join(words.split())})(?![\w$])|\$\{{)[{letters}](?:\w|\$(?!\{{))*+")
 
 
 _NAMES = {"python": _names(_PYTHON_WORDS, "A-Za-z_"), "javascript": _names(_SCRIPT_WORDS, "A-Za-z_$"), "go": _names(_GO_WORDS, "A-Za-z_")}
@@ -183,6 +185,23 @@ _SEEN: dict[tuple[str, str], bool] = {}
 _SEEN_LIMIT = 100_000
 
 
+#: Calls that a grammar may be deep in a nested text; the interpreter's own limit is for other programs.
+DEEPEST = 1_000_000
+
+
+def _deep(rule, *args) -> object:
+    """The rule's result, with room for nested texts if the usual depth of calls does not do."""
+    try:
+        return rule(*args)
+    except RecursionError:
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(DEEPEST)
+        try:
+            return rule(*args)
+        finally:
+            sys.setrecursionlimit(limit)
+
+
 def _grammar(text: str, language: str) -> bool:
     """Whether the local grammar accepts a text as a list of statements."""
     try:
@@ -191,14 +210,61 @@ def _grammar(text: str, language: str) -> bool:
                 warnings.simplefilter("ignore")
                 ast.parse(text)
         elif language == "go":
-            GoParser(text).parse_part()
+            _deep(lambda: GoParser(text).parse_part())
         else:
-            ScriptParser(text, typed=language == "typescript").parse()
+            _deep(lambda: ScriptParser(text, typed=language == "typescript").parse())
     except (SyntaxError, ValueError, RecursionError, MemoryError, IndexError):
         return False
     return True
 
 
+def _symbols_ok(text: str) -> bool:
+    """Whether a Python text whose statements are accepted also keeps the rules of names and of where a statement may stand."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(text, "text", "exec", dont_inherit=True)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
+_JSON_TOKEN = re.compile(r"[ \t\r\n]*(?:(?P<mark>[\[\]{},:])|(?P<string>\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*+\")|(?P<plain>true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?))")
+
+
+def _deep_json(text: str) -> bool:
+    """Whether a text that is nested beyond the reader's depth is JSON: one pass with a stack."""
+    stack: list[str] = []
+    # What may come next: a value, a value or the end of an array, a key, a key or the end of an object, or what follows a value.
+    state, at = "value", 0
+    while m := _JSON_TOKEN.match(text, at):
+        at, mark = m.end(), m["mark"]
+        if mark is None or mark in "[{":
+            if state in ("key", "first key"):
+                if m["string"] is None or not (colon := re.compile(r"[ \t\r\n]*:").match(text, at)):
+                    return False
+                at, state = colon.end(), "value"
+                continue
+            if state == "after":
+                return False
+            if mark is None:
+                state = "after"
+            else:
+                stack.append(mark)
+                state = "first value" if mark == "[" else "first key"
+        elif mark in "]}":
+            if not stack or (stack.pop() == "[") != (mark == "]") or state not in ("after", "first value" if mark == "]" else "first key"):
+                return False
+            state = "after"
+        elif mark == ",":
+            if state != "after" or not stack:
+                return False
+            state = "value" if stack[-1] == "[" else "key"
+        else:
+            return False
+    return state == "after" and not stack and not text[at:].strip(" \t\r\n")
+
+
 def _form(part: str, language: str) -> str:
     """A statement with names, plain strings and counts made alike, which no grammar tells apart."""
     part = _NOTE[language].sub("", _PLAIN_STRING[language].sub('"s"', part))
@@ -242,29 +308,34 @@ def is_valid(text: str, language: str) -> bool:
             return False
         try:
             json.loads(text, parse_constant=_no_constant)
-        except (ValueError, RecursionError):
+        except RecursionError:
+            return _deep_json(text)
+        except ValueError:
             return False
         return True
     if language == "toml":
         try:
-            tomllib.loads(text)
+            _deep(tomllib.loads, text)
         except (ValueError, RecursionError):
             return False
         return True
     if language == "yaml":
-        return yaml_error(text) is None
+        return _deep(yaml_error, text) is None
     if "\0" in text:
         return False
     # The summaries of the chunks come first; balanced texts are then decided statement by statement, by its form,
     # once for all texts that hold the like; what does not stand alone is read as a whole.
     if not balanced(text, language):
         return language in CONFIRMED and _grammar(text, language)
+    if language == "python":
+        # Names and places are the whole text's matter, so accepted statements are only half of it.
+        return (_statements(text, language) or _grammar(text, language)) and _symbols_ok(text)
     if _statements(text, language):
         return True
     if language != "go":
         return _grammar(text, language)
     try:
-        GoParser(text).parse()
+        _deep(lambda: GoParser(text).parse())
     except (SyntaxError, RecursionError, IndexError):
         return False
     return True

@@ -238,6 +238,22 @@ def test_toml_has_one_verdict_at_every_size(spark):
         assert [r.fragment_id for r in parsing.invalid(df, large=large, chunk=5).collect()] == ["f1"]
 
 
+RULES = [
+    ("javascript", "const a = `x ${c ? `(${d}` : ''} y`;", True), ("javascript", "if (x) /[(]/.test(y);", True), ("javascript", "typeof /[(]/;", True), ("javascript", "const a = `x ${b +} y`;", False),
+    ("javascript", "return 1;", False), ("javascript", "break;", False), ("javascript", "a: for (;;) { for (;;) { continue a; } }", True), ("javascript", "switch (a) { case 1: continue; }", False),
+    ("javascript", "for (const x of y) { z(() => { break; }); }", False), ("javascript", "class A { static { return; } }", False), ("javascript", "const f = () => { return 1; };", True),
+    ("typescript", "type A<T> = T extends Array<infer R extends string> ? R : never;", True), ("typescript", "type A<T> = T extends (infer R extends B ? C : D) ? R : never;", True),
+    ("python", "return 1\n", False), ("python", "def f(a, a):\n    pass\n", False), ("python", "break\n", False), ("python", "f(a=1, a=2)\n", False), ("python", "def f():\n    nonlocal x\n", False),
+    ("python", "while 1:\n    break\n", True), ("python", "x = 1\nfrom __future__ import annotations\n", False), ("python", "def f():\n    await x\n", False), ("python", "for x in y:\n    def f():\n        continue\n", False),
+    ("toml", 'a = """x""""\n', True), ("json", "[" * 50_000 + "]" * 50_000, True), ("json", "[" * 50_000 + "1," + "]" * 50_000, False), ("javascript", "f(" * 5_000 + "1" + ")" * 5_000, True), ("go", "package a\nvar x = " + "(" * 5_000 + "1" + ")" * 5_000 + "\n", True),
+]
+
+
+@pytest.mark.parametrize("language, text, valid", RULES, ids=range(len(RULES)))
+def test_places_names_holes_and_depth(language, text, valid):
+    assert syntax.is_valid(text, language) == valid
+
+
 # -- leakage --------------------------------------------------------------------------------------------
 def brute(docs, items, n=13):
     out = set()
