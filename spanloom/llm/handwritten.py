@@ -9,6 +9,8 @@ further down, or of one inside a string, is not one.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,37 +18,46 @@ from pyspark.sql import functions as F
 
 from spanloom.session import spread
 
-#: Thresholds by language family. max_line and mean_line count characters; the rest are shares of the
-#: text or counts a line. A family without a threshold never reports that reason.
+#: Thresholds by language family. max_line and mean_line count characters; the rest are shares of the text or counts.
+#: A file is minified from max_line, mean_line and alnum on, up to white, or from four times mean_line on up to twice
+#: white, which prose in strings is above; a dump of numbers from digits and
+#: numbers on; a dump of bytes from encoded and dense (also of letters and digits) on; generated from numbered on, up to shapes.
 THRESHOLDS = {
-    "script": {"max_line": 180, "mean_line": 90, "white": 0.08, "digits": 0.30, "numbers": 60, "encoded": 0.50, "shapes": 0.30, "numbered": 0.20},
-    "style": {"max_line": 180, "mean_line": 90, "white": 0.06},
-    "typed": {"max_line": 180, "mean_line": 90, "white": 0.08, "digits": 0.30, "numbers": 60, "encoded": 0.50, "shapes": 0.30, "numbered": 0.20},
-    "indented": {"digits": 0.30, "numbers": 60, "encoded": 0.50, "shapes": 0.30, "numbered": 0.36},
-    "config": {"integrity": 2},
+    "script": {"max_line": 180, "mean_line": 90, "white": 0.08, "alnum": 0.30, "digits": 0.30, "numbers": 60, "encoded": 0.50, "dense": 0.60, "shapes": 0.30, "numbered": 0.20},
+    "style": {"max_line": 180, "mean_line": 90, "white": 0.06, "alnum": 0.30, "encoded": 0.50, "dense": 0.60},
+    "typed": {"max_line": 180, "mean_line": 90, "white": 0.08, "alnum": 0.30, "digits": 0.30, "numbers": 60, "encoded": 0.50, "dense": 0.60, "shapes": 0.30, "numbered": 0.20},
+    "indented": {"digits": 0.30, "numbers": 60, "encoded": 0.50, "dense": 0.60, "shapes": 0.30, "numbered": 0.36},
+    "config": {"digits": 0.45, "numbers": 200, "encoded": 0.70, "dense": 0.75, "integrity": 2},
+    "other": {"max_line": 500, "mean_line": 250, "white": 0.06, "alnum": 0.30, "digits": 0.45, "numbers": 100, "encoded": 0.70, "dense": 0.75},
 }
-#: Family of each extension; any other extension is judged by its path and its leading comment only.
+#: Family of each extension; any other extension, and none, is ``other``. Armoured keys have no thresholds.
 FAMILIES = {
-    "js": "script", "mjs": "script", "cjs": "script", "jsx": "script", "ts": "script", "tsx": "script",
-    "css": "style", "scss": "style", "less": "style",
-    "go": "typed", "java": "typed", "c": "typed", "h": "typed", "cc": "typed", "cpp": "typed", "rs": "typed",
-    "py": "indented", "rb": "indented",
-    "json": "config", "yaml": "config", "yml": "config", "toml": "config", "lock": "config",
+    "js": "script", "mjs": "script", "cjs": "script", "jsx": "script", "ts": "script", "tsx": "script", "php": "script", "vue": "script", "svelte": "script",
+    "css": "style", "scss": "style", "less": "style", "sass": "style",
+    "go": "typed", "java": "typed", "c": "typed", "h": "typed", "cc": "typed", "cpp": "typed", "hpp": "typed", "rs": "typed", "kt": "typed", "kts": "typed", "cs": "typed", "swift": "typed", "scala": "typed", "dart": "typed", "m": "typed",
+    "py": "indented", "rb": "indented", "pl": "indented", "lua": "indented", "sh": "indented", "bash": "indented", "r": "indented", "jl": "indented", "ex": "indented", "hs": "indented",
+    "json": "config", "yaml": "config", "yml": "config", "toml": "config", "lock": "config", "ini": "config", "xml": "config",
+    "pem": "armour", "crt": "armour", "cer": "armour", "key": "armour", "pub": "armour", "asc": "armour",
 }
 #: Data files need this many characters of encoded runs and generated ones this many lines.
 MIN_ENCODED, MIN_LINES = 600, 10
 
-_LEAD = r"\A\ufeff?(?:[ \t]*(?:(?://|#|/\*|\*|<!--|--|;|%)[^\n]*)?\r?\n){0,30}?[ \t]*(?://|#|/\*|\*|<!--|--|;|%)[/*!#\s-]*"
-#: A leading comment whose text begins with a statement that a tool wrote the file.
-GENERATED = (
-    r"(?i)" + _LEAD + r"(?:code generated\b|@generated\b|<?auto-?generated\b(?!\s*(?:or|and|files? are)\b)|generated (?:by|from|with|automatically|code|file)\b"
+#: A line of the leading comment block, which is as long as it is; block comments go on until they are closed.
+_COMMENT = re.compile(r"[ \t]*(?P<mark>//|#|/\*|\*|<!--|--|;|%)?(?P<rest>[^\n]*)(?:\n|\Z)")
+_MARKS = re.compile(r"[/*!#\s;%<-]*")
+#: A comment line whose text begins with a statement that a tool wrote the file.
+GENERATED = re.compile(
+    r"code generated\b|@generated\b|<?auto-?generated\b(?!\s*(?:or|and|files? are)\b)|generated (?:by|from|with|automatically|code|file)\b"
     r"|this (?:file|code|module) (?:was|is|has been) (?:auto-?matically |auto-?|machine[- ])?(?:created|generated|produced|written|built) (?:automatically|by)\b"
-    r"|machine[- ](?:made|generated|written|produced)\b|do not edit\b)"
+    r"|machine[- ](?:made|generated|written|produced)\b|do not edit\b",
+    re.I,
 )
-#: A leading comment that states another party's origin: a source address, an upstream, a bundled copy or its authors.
-VENDORED = (
-    r"(?i)" + _LEAD + r"(?:imported from https?://|licen[cs]e: [^\n]*\bupstream\b|upstream (?:revision|commit|version|source)\b|vendored from\b"
-    r"|[\w.@/-]+ v?\d+\.\d+(?:\.\d+)?\b[^\n]*\b(?:bundled|third-party|vendored)\b|\(c\) [\w-]+ authors\b|copied from https?://)"
+#: One that states another party's origin: where a copy is from, an upstream, a bundled release or its authors.
+VENDORED = re.compile(
+    r"(?:this (?:file|code|module) (?:was|is|has been) )?(?:copied|imported|vendored|taken|borrowed|extracted|mirrored)(?: verbatim| unchanged| as is)? from\b"
+    r"|licen[cs]e: [^\n]*\bupstream\b|upstream (?:revision|commit|version|source|release|tag)\b|(?:bundled|third[- ]party|vendored) (?:copy|code|source|release|version|library)\b"
+    r"|[\w.@/-]+ v?\d+\.\d+(?:\.\d+)?\b[^\n]*\b(?:bundled|third-party|vendored)\b|\(c\) [\w-]+ authors\b",
+    re.I,
 )
 VENDOR_PATH = (
     r"(?i)(?:^|/)(?:_?vendor|_?vendored|node_modules|bower_components|third[_-]?party|3rdparty|site-packages|godeps|external)/[^/]+/"
@@ -72,13 +83,33 @@ _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint
 #: An encoded run needs this many characters.
 _RUN = 48
 
-MEASURES = "struct<chars long, lines long, max_line long, mean_line double, white double, alnum double, digits double, numbers long, encoded long, shapes double, numbered double>"
+MEASURES = "struct<chars long, lines long, max_line long, mean_line double, white double, alnum double, digits double, numbers long, encoded long, shapes double, numbered double, stated int>"
 
 
 #: Bytes measured at a time, unless one text has more; intermediate arrays take some hundred bytes for each.
 PORTION = 1 << 20
 
 
+def stated(text: str | None) -> int:
+    """What the leading comment block says of the file's origin: 1 that a tool wrote it, 2 that it is another party's, 3 both, 0 nothing."""
+    if not text:
+        return 0
+    at, out, until = text.startswith("\ufeff") * 1, 0, None
+    while at < len(text):
+        m = _COMMENT.match(text, at)
+        rest = m["rest"]
+        if until is None and m["mark"] is None and rest.strip():
+            break
+        body = rest[_MARKS.match(rest).end() :]
+        out |= bool(GENERATED.match(body)) + 2 * bool(VENDORED.match(body))
+        close = {"/*": "*/", "<!--": "-->"}.get(m["mark"]) if until is None else until
+        if close:
+            end = text.find(close, m.end("mark") if m["mark"] and until is None else at)
+            until = close if end < 0 or end >= m.end("rest") else None
+        at = m.end()
+    return out
+
+
 def measure(texts: pd.Series) -> pd.DataFrame:
     """Layout statistics of each text, some MB at a time; null counts as empty. See ``_portion`` for their meaning."""
     parts, held, size = [], [], 0
@@ -99,7 +130,7 @@ def _portion(texts: list[str | None]) -> pd.DataFrame:
     chars and line lengths are UTF-8 bytes. lines counts lines that are not blank, shapes is the share of
     distinct lines among them once every run of letters, digits, underscores and spaces is one symbol, numbered
     the share of lines holding a word that ends in digits, encoded the bytes in long base64 or hex runs and
-    in series of byte escapes.
+    in series of byte escapes; stated is what ``stated`` reads.
     """
     raw = [t.encode("utf-8", "replace") + b"\n" if isinstance(t, str) else b"\n" for t in texts]
     if not raw:
@@ -157,13 +188,13 @@ def _portion(texts: list[str | None]) -> pd.DataFrame:
     n, m = np.maximum(sizes - 1, 1), np.maximum(lines, 1)
     return pd.DataFrame({
         "chars": sizes - 1, "lines": lines, "max_line": max_line, "mean_line": (sizes - 1) / m, "white": (total(white) - 1) / n, "alnum": total(letter | digit) / n,
-        "digits": total(digit) / n, "numbers": numbers, "encoded": encoded, "shapes": np.where(lines > 0, distinct / m, 1.0), "numbered": with_number / m,
+        "digits": total(digit) / n, "numbers": numbers, "encoded": encoded, "shapes": np.where(lines > 0, distinct / m, 1.0), "numbered": with_number / m, "stated": [stated(t) for t in texts],
     })
 
 
 def layout(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """Add the layout statistics of each text, and its language family, as struct column ``layout``."""
-    family = F.lit(None).cast("string")
+    family = F.lit("other")
     ext = extension(F.coalesce(F.col(path), F.lit("")))
     for name in dict.fromkeys(FAMILIES.values()):
         family = F.when(ext.isin([e for e, f in FAMILIES.items() if f == name]), F.lit(name)).otherwise(family)
@@ -188,18 +219,18 @@ def classify(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame
                 out = F.when(s["family"] == family, F.lit(float(values[name]))).otherwise(out)
         return out
 
-    lead = t.rlike(r"^\ufeff?\s*(?://|#|/\*|<!--|--|;|%|\*)")
-    long_lines = (s["max_line"] >= limit("max_line")) & (s["mean_line"] >= limit("mean_line")) & (s["white"] <= limit("white"))
+    tight = (s["white"] <= limit("white")) | (s["mean_line"] >= 4 * limit("mean_line")) & (s["white"] <= F.least(2 * limit("white"), F.lit(0.12)))
+    long_lines = (s["max_line"] >= limit("max_line")) & (s["mean_line"] >= limit("mean_line")) & tight & (s["alnum"] >= limit("alnum"))
     numeric = (s["digits"] >= limit("digits")) & (s["numbers"] >= limit("numbers"))
-    encoded = (s["encoded"] / F.greatest(F.length(t), F.lit(1)) >= limit("encoded")) & (s["encoded"] >= MIN_ENCODED)
+    encoded = (s["encoded"] / F.greatest(F.length(t), F.lit(1)) >= limit("encoded")) & (s["encoded"] >= MIN_ENCODED) & (s["alnum"] >= limit("dense"))
     data = F.coalesce(numeric, F.lit(False)) | F.coalesce(encoded, F.lit(False))
     minified = F.coalesce(long_lines, F.lit(False)) & ~data
     repeated = (s["lines"] >= MIN_LINES) & (s["shapes"] <= limit("shapes")) & (s["numbered"] >= limit("numbered")) & ~data & ~minified
     reasons = {
-        "generated": (lead & t.rlike(GENERATED)) | repeated,
+        "generated": (s["stated"].bitwiseAND(1) > 0) | repeated,
         "lock": p.rlike(LOCK_NAME) | (t.contains('"lockfileVersion"') & (F.regexp_count(t, F.lit(r'"integrity"|"resolved"')) >= limit("integrity"))),
         "minified": minified,
-        "vendored": p.rlike(VENDOR_PATH) | (lead & t.rlike(VENDORED)),
+        "vendored": p.rlike(VENDOR_PATH) | (s["stated"].bitwiseAND(2) > 0),
         "data": data,
     }
     marks = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in reasons.items()]), lambda x: x.isNotNull())
