@@ -63,14 +63,32 @@ _PREFIXED = re.compile(r"(?<![\w./+=-])(?!(?:sha|md)\d)[a-z]{2,8}(?:[_-](?:[a-z]
 _KNOWN = re.compile(r"(?<![\w])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\w])|(?<![\w])gh[pousr]_[A-Za-z0-9]{30,}|(?<![\w])xox[abprs]-[\w-]{10,}|(?<![\w])sk-[A-Za-z0-9_-]{20,}|(?<![\w])AIza[\w-]{35}")
 _ARMOUR = re.compile(r"-----BEGIN (?P<k>(?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----(?P<b>(?:(?!-----BEGIN).)*?)(?:-----END (?P=k)-----|\Z)", re.S)
 _RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/=_-])")
+_SHORT_RUN = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{12,23}+={0,2}(?![A-Za-z0-9+/=_-])")
 _ESCAPES = re.compile(r"(?:\\x[0-9A-Fa-f]{2}){8,}+|(?:\\u[0-9A-Fa-f]{4}){8,}+")
-_PERCENT = re.compile(r"(?<![\w.~/:@-])(?:[\w.~/:@-]*+%[0-9A-Fa-f]{2}){3,}[\w.~/:@=-]*")
+_PERCENT = re.compile(r"(?<![\w.~/:@!*()+&-])(?:[\w.~/:@!*()+&=-]*+%[0-9A-Fa-f]{2}){3,}[\w.~/:@!*()+&=-]*")
+#: Text inside of a binary layer.
+_INNER_TEXT = re.compile(rb"[\t\r\n\x20-\x7e]{8,}+")
+_PUTTY = re.compile(r"PuTTY-User-Key-File-\d:[^\n]*\n(?:(?!Private-Lines:)[^\n]*\n)*?Private-Lines:[ \t]*\d+\r?\n(?P<v>(?:[A-Za-z0-9+/=]+\r?(?:\n|\Z))+)")
 #: Percent signs that were encoded so often that a layer would take off only one step of many; 16 of them are kept.
 _CHAIN = re.compile(r"%(?:25){17,}+")
 #: Bytes that an encoded run may hold stay, all others become spaces.
 _RUN_BYTES = bytes(b if chr(b).isalnum() and b < 128 or chr(b) in "+/_-" else 32 for b in range(256))
+def _base64_cores(words: tuple[str, ...]) -> tuple[str, ...]:
+    """What base64 makes of words wherever they stand, without the letters that depend on what is around them."""
+    out = set()
+    for word in {f(w) for w in words for f in (str.lower, str.upper, str.capitalize)}:
+        for ahead in range(3):
+            coded = base64.b64encode(b"\0" * ahead + word.encode()).decode().rstrip("=")
+            whole = len(word) + ahead
+            out.add(coded[-(-ahead * 8 // 6) : whole * 8 // 6])
+    return tuple(sorted(out))
+
+
+#: Short runs are decoded where they can hold one of these words.
+_CORES = _base64_cores(("passw", "secret", "token", "api_key", "apikey", "pwd="))
 _KNOWN_MARKS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "sk-", "AIza")
 _STRINGS = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`")
+_JOINED_WORDS = re.compile(r"[A-Z]{0,5}[a-z]+(?:[A-Z]{1,5}[a-z]{3,})*[A-Z]{0,5}")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _SAID_SECRET = re.compile(r"(?i)\b(?:password|passwd|passphrase|secret|token|credential|(?:api|access|signing|private)[ _-]?key)\b(?!\s+(?:comes?|is read|is kept|lives?|stays?|from|is in|not)\b)")
 
@@ -137,7 +155,10 @@ def is_usable(v: str) -> bool:
         return True
     if re.fullmatch(r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+(?:\(\))?", v) and digits < 2:
         return False
-    if re.fullmatch(r"[a-z]+(?:[-_. ][a-z]+)*", v) or re.fullmatch(r"[A-Za-z]+", v) and changes < 5:
+    if v.isascii() and v.isalpha():
+        # Letters alone are drawn if they change case where no name of joined words does.
+        return len(v) >= 10 and changes >= 4 and not _JOINED_WORDS.fullmatch(v)
+    if re.fullmatch(r"[a-z]+(?:[-_. ][a-z]+)*", v):
         return False
     return digits >= 1 and kinds >= 2 or kinds >= 3 and changes >= 3
 
@@ -163,8 +184,44 @@ def _elements(data: bytes, start: int, end: int) -> list[tuple[int, int, int]]:
     return out if start == end else []
 
 
+def _key_store(data: bytes) -> str | None:
+    """Whether a Java key store holds a private or secret key: its entries are walked to the first one."""
+    if len(data) < 12 or int.from_bytes(data[4:8], "big") not in (1, 2):
+        return None
+    version, entries, at = data[7], int.from_bytes(data[8:12], "big"), 12
+
+    def skip(at: int, width: int) -> int:
+        return at + width + int.from_bytes(data[at : at + width], "big")
+
+    for _ in range(entries):
+        tag, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        at = skip(at, 2) + 8
+        if at >= len(data):
+            return None
+        if tag in (1, 3):
+            return "jks"
+        if tag != 2:
+            return None
+        at = skip(skip(at, 2) if version == 2 else at, 4)
+    return None
+
+
+def _secret_packet(data: bytes) -> bool:
+    """Whether ``data`` begins with an OpenPGP secret key or subkey packet of a known version and algorithm."""
+    if data[0] & 0x40:
+        tag = data[0] & 0x3F
+        if len(data) < 3:
+            return False
+        n = data[1]
+        length, at = (n, 2) if n < 192 else ((n - 192 << 8) + data[2] + 192, 3) if n < 224 else (int.from_bytes(data[2:6], "big"), 6) if n == 255 else (1 << n - 224, 2)
+    else:
+        tag, width = data[0] >> 2 & 0x0F, (1, 2, 4, 0)[data[0] & 3]
+        length, at = (int.from_bytes(data[1 : 1 + width], "big"), 1 + width) if width else (len(data) - 1, 1)
+    return tag in (5, 7) and 20 <= length <= len(data) - at and data[at] in (3, 4, 5, 6) and data[at + 5] in (1, 2, 3, 16, 17, 18, 19, 22, 25, 26, 27, 28)
+
+
 def container(data: bytes) -> str | None:
-    """The kind of private key container that ``data`` is, by its grammar: PKCS#1, PKCS#8 plain or encrypted, SEC1, PKCS#12 or OpenSSH."""
+    """The kind of private key container that ``data`` is, by its grammar: PKCS#1, PKCS#8 plain or encrypted, SEC1, PKCS#12, OpenSSH, Java key store or OpenPGP."""
     if data.startswith(b"openssh-key-v1\0"):
         at = 15
         for _ in range(3):
@@ -172,6 +229,10 @@ def container(data: bytes) -> str | None:
                 return None
             at += 4 + int.from_bytes(data[at : at + 4], "big")
         return "openssh" if at + 4 <= len(data) else None
+    if data[:4] in (bytes.fromhex("feedfeed"), bytes.fromhex("cececece")):
+        return _key_store(data)
+    if data and data[0] & 0x80 and _secret_packet(data):
+        return "pgp"
     outer = _der(data)
     if not outer or outer[0] != 0x30 or outer[2] != len(data):
         return None
@@ -217,6 +278,8 @@ def _encoded(text: str) -> Iterator[re.Match]:
     data = text.encode("utf-8", "replace")
     if any(len(w) >= 24 for w in data.translate(_RUN_BYTES).split()):
         yield from _RUN.finditer(text)
+    if any(core in text for core in _CORES):
+        yield from (m for m in _SHORT_RUN.finditer(text) if any(core in m[0] for core in _CORES))
     if "\\x" in text or "\\u" in text:
         yield from _ESCAPES.finditer(text)
     if "%" in text:
@@ -224,12 +287,14 @@ def _encoded(text: str) -> Iterator[re.Match]:
 
 
 def _readable(data: bytes) -> str | None:
-    """``data`` as text if it is text."""
+    """``data`` as text if it is text, else the runs of text in it, a line each."""
     try:
         text = data.decode("utf-8")
+        if sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.97 * len(text):
+            return text
     except UnicodeDecodeError:
-        return None
-    return text if sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.97 * len(text) else None
+        pass
+    return "\n".join(m[0].decode("ascii") for m in _INNER_TEXT.finditer(data)) or None
 
 
 def _armour_body(body: str) -> str:
@@ -309,6 +374,9 @@ def _scan(text: str, path: str | None) -> Generator[str, list[Finding], list[Fin
             body = _armour_body(m["b"])
             if len(body) >= 40 and re.match(r"[A-Za-z0-9+/=]{40}", body):
                 add(Finding(m.start(), m.end(), "private key"))
+    if "PuTTY-User-Key-File" in text:
+        for m in _PUTTY.finditer(text):
+            add(Finding(m.start("v"), m.end("v"), "private key"))
     if "@" in text:
         for rule in (_URL_USER, _DSN):
             for m in rule.finditer(text):

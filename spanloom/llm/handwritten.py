@@ -106,6 +106,9 @@ def stated(text: str | None) -> int:
         if close:
             end = text.find(close, m.end("mark") if m["mark"] and until is None else at)
             until = close if end < 0 or end >= m.end("rest") else None
+            after = text[end + len(close) : m.end("rest")].strip() if until is None else ""
+            if after and not _COMMENT.match(after)["mark"]:
+                break
         at = m.end()
     return out
 

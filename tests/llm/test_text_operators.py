@@ -73,6 +73,12 @@ SECRETS = [
     ("m.py", 'blob = "' + base64.b64encode(b"password = 'Silent*record7692'").decode() + '"\n', [1]), ("n.py", 'b = "' + base64.b64encode(base64.b64encode(b"api_key = 'Kj39dkQpw02LxMw83hd'")).decode() + '"\n', [1]),
     ("o.py", 'h = "' + b"password = 'Silent*record7692'".hex() + '"\n', [1]), ("p.py", 'x = "' + "".join(f"\\x{c:02x}" for c in b"secret = 'Silent*record7692'") + '"\n', [1]),
     ("q.py", 'd = "' + base64.b64encode(PKCS8).decode() + '"\n', [1]), ("r.py", 'basic = {"Authorization": "Basic ' + base64.b64encode(b"user:Hidden77word").decode() + '"}\n', [1]),
+    ("r1.toml", 'api_key = "orbitigdLOdFcQS"\n', [1]), ("r2.py", 'k = (\n    "EYZsfHbygztyyPKojWIofktxid"\n)  # signing secret\n', [2]), ("r3.py", "password = 'getUserAccountName'\n", []),
+    ("r4.py", 'b = "' + base64.b64encode(bytes(range(128, 200)) + b"\npassword = 'Silent*record7692'").decode() + '"\n', [1]), ("r5.py", 'b = "' + base64.b64encode(b"password=hunter2").decode() + '"\n', [1]),
+    ("r6.py", 'q = "%70%61%73%73%77%6f%72%64%20%3d%20%22Silent*record7692%22"\n', [1]), ("r7.py", 'b = "' + base64.b64encode("Пароль: здесь\npassword = 'Silent*record7692'".encode()).decode() + '"\n', [1]),
+    ("r8.ppk", "PuTTY-User-Key-File-2: ssh-rsa\nEncryption: none\nComment: x\nPublic-Lines: 1\nAAAAB3NzaC1yc2EAAAABJQAAAQEAhM\nPrivate-Lines: 1\nAAABAQCYN8ycPXMb9ZyK1C6pYQpV8AAAABcdefg\nPrivate-MAC: 12\n", [7]),
+    ("r9.py", 'b = "' + base64.b64encode(bytes.fromhex("feedfeed000000020000000200000002000161") + bytes(8) + bytes.fromhex("0005582e353039000000020102") + bytes.fromhex("00000001000162") + bytes(60)).decode() + '"\n', [1]),
+    ("ra.py", 'b = "' + base64.b64encode(bytes.fromhex("9428045e000000010101") + bytes(40)).decode() + '"\n', [1]), ("rb.py", 'b = "' + base64.b64encode(bytes.fromhex("feedfeed000000020000000100000002000161") + bytes(8) + bytes.fromhex("0005582e353039000000020102") + bytes(20)).decode() + '"\n', []),
     ("s.py", "password = os.environ['DB_PASSWORD']\npassword = '${API_KEY}'\npassword = '<your-token-here>'\ntoken = make(3)  # secret comes from the keyring\nreturn a.password == password\n", []),
     ("t.toml", 'token_env = "WEBHOOK_SECRET"\nhash = "sha256:82258253f8bfd207aef8a14d5fb1c8f3d2ec9a24a553a5317fab45bf35978466"\npass = ""\n', []), ("u.py", 'digest = "e2bd0919a29c5fc5f2022f383ce8a4009151c3a255b7f99f28cb46b8c4ffcf80"\ndef reset(token, password=None): pass\n', []),
     ("v.pem", "-----BEGIN CERTIFICATE-----\nMIIEvQIBADANBgkqhkiG9w0BAQEFAASC\n-----END CERTIFICATE-----\n", []), ("w.json", '{"integrity": "sha512-76CRd/rSyu8zzZ8Z8YIRpTwbNWW9Ekcrik6AELhuNfuCtckAexTfcyBto2ob5IBy", "password": "REPLACE_ME"}', []), ("x.py", None, []), ("y.py", "", []),
