@@ -376,7 +376,8 @@ def _scan(text: str, path: str | None) -> Generator[str, list[Finding], list[Fin
                 add(Finding(m.start(), m.end(), "private key"))
     if "PuTTY-User-Key-File" in text:
         for m in _PUTTY.finditer(text):
-            add(Finding(m.start("v"), m.end("v"), "private key"))
+            if len(m["v"]) >= 32:
+                add(Finding(m.start("v"), m.end("v"), "private key"))
     if "@" in text:
         for rule in (_URL_USER, _DSN):
             for m in rule.finditer(text):
