@@ -40,7 +40,8 @@ def p3_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = shared_spans.shared_pairs(_fragments(spark, sf))
+    # The query is defined over records, so the classes are expanded here.
+    pairs = shared_spans.expand(*shared_spans.shared_classes(_fragments(spark, sf)))
     return pairs.select(F.col("first").alias("fragment_a"), F.col("second").alias("fragment_b"))
 
 

@@ -5,7 +5,8 @@ A corpus is never compared with a broadcast of itself. Minimizers route it inste
 every stretch of ``least`` characters holds an anchor wherever it stands. Only texts that share an anchor with
 another group are looked at further. Each such text is a reference shard: a suffix automaton of its shared
 neighbourhoods is built, and the texts that meet it stream through it for their matching statistics, which
-give the maximal spans, exactly. Equal texts are one class and meet others once.
+give the maximal spans, exactly. Equal texts are one class and meet others once. What many texts have in common is
+told by two hashes of all its characters instead, and their pairs meet in parts.
 
 Positions and lengths are in code points, line ends included.
 """
@@ -23,10 +24,10 @@ from pyspark.sql.window import Window
 from spanloom.session import materialize, spread
 
 LEAST, ANCHOR = 240, 120
-#: An anchor of more classes than this is replaced by all hashes of ``least`` characters around it.
+#: An anchor at more places than this is replaced by all hashes of ``least`` characters around it, and so many classes meet in one part.
 HOT = 200
-#: Characters hashed at a time, and the most rows that a join may broadcast.
-BATCH, BROADCAST_ROWS = 1 << 20, 1_000_000
+#: Characters hashed at a time.
+BATCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TOP = np.uint64(2**64 - 1)
 _INVERSE = np.cumprod(np.concatenate([[np.uint64(1)], np.full(BATCH, np.uint64(pow(_BASE, -1, 2**64)))]), dtype=np.uint64)
@@ -203,11 +204,6 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def members(df: DataFrame, key: str, group: str, text: str, least: int) -> DataFrame:
     """Each record once with its class: member, of (its group), class, low and high (least and greatest group of the class).
 
@@ -217,63 +213,90 @@ def members(df: DataFrame, key: str, group: str, text: str, least: int) -> DataF
         F.col(key).alias("member"), F.col(group).alias("of"), F.xxhash64(F.col(text)).alias("_x"), F.xxhash64(F.lit(1), F.col(text), F.length(F.col(text))).alias("_y")
     )
     one = materialize(one.groupBy("member").agg(F.min("of").alias("of"), F.min("_x").alias("_x"), F.min("_y").alias("_y")), "spans-members")
-    classes = one.groupBy("_x", "_y").agg(F.min("member").alias("class"), F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("copies"))
+    classes = one.groupBy("_x", "_y").agg(F.min("member").alias("class"), F.min("of").alias("low"), F.max("of").alias("high"))
     return materialize(one.join(classes, ["_x", "_y"]).drop("_x", "_y"), "spans-classes")
 
 
-def _class_pairs(df: DataFrame, people: DataFrame, key: str, group: str, text: str, least: int, size: int, both: bool) -> DataFrame:
-    """Class pairs that share a stretch: a, b (a < b), spans of b's text in a's, and with ``both`` of a's in b's."""
+def _met(rows: DataFrame, *hashes: str) -> DataFrame:
+    """The hashes that records of several groups have; rows have low and high, the least and greatest group of theirs."""
+    return rows.groupBy(*hashes).agg(F.min("low").alias("_lo"), F.max("high").alias("_hi")).where("_lo <> _hi").select(*hashes)
+
+
+def _shared_anchors(df: DataFrame, people: DataFrame, key: str, group: str, text: str, least: int, size: int) -> DataFrame:
+    """The anchors of classes that other groups have too: class, low, high, at, h and before, the shared anchor ahead of it (0 for none)."""
     kind = df.schema[key].dataType.simpleString()
     of = df.schema[group].dataType.simpleString()
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n, at, h = anchors(batch["t"].tolist(), least, size)
-            before = np.where(np.concatenate([[-1], n[:-1]]) == n, np.concatenate([[0], h[:-1]]).astype(np.uint64), 0).astype(np.uint64)
-            yield pd.DataFrame({"k": batch["k"].to_numpy()[n], "of": batch["of"].to_numpy()[n], "at": at.astype(np.int32), "h": h.view(np.int64), "before": before.view(np.int64)})
+            yield pd.DataFrame({"k": batch["k"].to_numpy()[n], "low": batch["of"].to_numpy()[n], "at": at.astype(np.int32), "h": h.view(np.int64)})
 
     texts = spread(df).where((F.length(F.col(text)) >= least) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("of"), F.col(text).alias("t"))
-    rows = materialize(texts.mapInPandas(find, f"k {kind}, of {of}, at int, h long, before long"), "spans-anchors")
-    met = rows.groupBy("h").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where(~F.col("lo").eqNullSafe(F.col("hi"))).select("h")
-    met = materialize(met, "spans-met")
-    shared = rows.join(_small(met), "h").select("k", "at", "h", "before")
-    person = people.select(F.col("member").alias("k"), "class", "low", "high")
-    shared = materialize(shared.join(person, "k").where(F.col("k") == F.col("class")).select("class", "low", "high", "at", "h", "before").distinct(), "spans-shared")
-    return _verified(df, shared, key, text, least, size, both, kind)
+    rows = materialize(texts.mapInPandas(find, f"k {kind}, low {of}, at int, h long"), "spans-anchors")
+    met = _met(rows.withColumn("high", F.col("low")), "h")
+    person = people.where(F.col("member") == F.col("class")).select("class", "low", "high")
+    shared = rows.select(F.col("k").alias("class"), "at", "h").join(met, "h").join(person, "class")
+    # Repeated deliveries of a record lie side by side here and count once.
+    along = Window.partitionBy("class").orderBy("at", "h")
+    marked = shared.withColumns({"_at": F.lag("at").over(along), "before": F.coalesce(F.lag("h").over(along), F.lit(0))})
+    return materialize(marked.where(F.col("_at").isNull() | (F.col("_at") != F.col("at"))).select("class", "low", "high", "at", "h", "before"), "spans-shared")
 
 
-def _verified(df: DataFrame, shared: DataFrame, key: str, text: str, least: int, size: int, both: bool, kind: str) -> DataFrame:
-    crowd = shared.groupBy("h").agg(F.countDistinct("class").alias("n"))
-    hot = materialize(crowd.where(F.col("n") > HOT).select("h"), "spans-hot")
-    wanted = shared.groupBy("class").agg(F.collect_list("at").alias("places"))
-    texts = materialize(df.select(F.col(key).alias("class"), F.col(text).alias("t")).join(_small(materialize(wanted, "spans-wanted")), "class").dropDuplicates(["class"]), "spans-texts")
-    seeds = shared
-    if not hot.isEmpty():
-        around = shared.join(hot, "h").groupBy("class", "low", "high").agg(F.collect_list("at").alias("hot")).join(texts.select("class", "t"), "class")
-
-        def closer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                parts = []
-                for c, low, high, at, t in batch[["class", "low", "high", "hot", "t"]].itertuples(index=False):
-                    for a, b in neighbourhoods(len(t), list(at), least, size):
-                        for begin in range(a, max(a + 1, b - least + 1), BATCH - least + 1):
-                            codes = np.frombuffer(t[begin : min(b, begin + BATCH)].encode("utf-32-le", "surrogatepass"), np.uint32)
-                            if len(codes) >= least:
-                                h = gram_hashes(codes, least)
-                                parts.append(pd.DataFrame({"class": c, "low": low, "high": high, "at": begin + np.arange(len(h)), "h": h.view(np.int64), "before": np.concatenate([[0], h[:-1]]).astype(np.uint64).view(np.int64)}))
-                yield pd.concat(parts) if parts else pd.DataFrame({n: [] for n in ("class", "low", "high", "at", "h", "before")})
-
-        exact = around.mapInPandas(closer, shared.schema)
-        # What follows a hot anchor must meet by itself, since the hot one no longer names the pair.
-        after = hot.select(F.col("h").alias("before"), F.lit(True).alias("_hot"))
-        cool = shared.join(hot, "h", "left_anti").join(after, "before", "left")
-        cool = cool.withColumn("before", F.when(F.col("_hot"), F.lit(0)).otherwise(F.col("before"))).drop("_hot")
-        seeds = cool.unionByName(exact)
-    a, b = (seeds.select(F.col("class").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"), "h", F.col("before").alias(f"{x}_before")) for x in "ab")
-    # A pair meets at the first anchor of each run that both have; the others would only name it again.
+def _exact(around: DataFrame, like: DataFrame, least: int, size: int) -> DataFrame:
+    """Both hashes of every stretch of ``least`` characters around hot anchors: class, low, high, at, h, g, before (h of the stretch one ahead)."""
+    names = ["class", "low", "high", "at", "h", "g", "before"]
+
+    def closer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c, low, high, at, t in batch[["class", "low", "high", "hot", "t"]].itertuples(index=False):
+                for a, b in neighbourhoods(len(t), list(at), least, size):
+                    for begin in range(a, max(a + 1, b - least + 1), BATCH - least + 1):
+                        codes = np.frombuffer(t[begin : min(b, begin + BATCH)].encode("utf-32-le", "surrogatepass"), np.uint32)
+                        if len(codes) >= least:
+                            h, g = gram_hashes(codes, least), gram_hashes(codes ^ np.uint32(0x5BD1E995), least)
+                            before = np.concatenate([[0], h[:-1]]).astype(np.uint64)
+                            yield pd.DataFrame({"class": c, "low": low, "high": high, "at": begin + np.arange(len(h)), "h": h.view(np.int64), "g": g.view(np.int64), "before": before.view(np.int64)})[names]
+
+    kinds = {n: like.schema[n].dataType.simpleString() for n in names if n != "g"} | {"g": "long"}
+    return around.mapInPandas(closer, ", ".join(f"{n} {kinds[n]}" for n in names))
+
+
+def _meeting(rows: DataFrame, *hashes: str) -> DataFrame:
+    """Pairs a < b of classes of different groups with a common hash, met at the first of a run of common ones.
+
+    A hash of many classes is met in parts: each part of one side, of HOT classes or so, with the whole other side.
+    """
+    crowd = rows.groupBy(*hashes).agg(F.ceil(F.count("*") / HOT).cast("int").alias("_parts")).where("_parts > 1")
+    salted = rows.join(crowd, list(hashes), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    a = salted.withColumn("_part", F.pmod(F.xxhash64("class"), F.col("_parts")).cast("int"))
+    b = salted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    a, b = (side.select(F.col("class").alias(x), F.col("low").alias(f"{x}_low"), F.col("high").alias(f"{x}_high"), *hashes, "_part", F.col("before").alias(f"{x}_before")) for side, x in ((a, "a"), (b, "b")))
     apart = ~((F.col("a_low") == F.col("a_high")) & (F.col("b_low") == F.col("b_high")) & (F.col("a_low") == F.col("b_low")))
     begins = (F.col("a_before") != F.col("b_before")) | (F.col("a_before") == 0)
-    pairs = a.join(b, "h").where((F.col("a") < F.col("b")) & apart & begins).select("a", "b").distinct()
+    return a.join(b, [*hashes, "_part"]).where((F.col("a") < F.col("b")) & apart & begins).select("a", "b").distinct()
+
+
+def _parts(df: DataFrame, shared: DataFrame, key: str, text: str, least: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(texts of the classes with the places of their shared anchors, anchors that few classes have, exact stretches around the others or None)."""
+    crowd = shared.groupBy("h").agg(F.count("*").alias("n"))
+    hot = materialize(crowd.where(F.col("n") > HOT).select("h"), "spans-hot")
+    wanted = shared.groupBy("class").agg(F.collect_list("at").alias("places"))
+    texts = materialize(df.select(F.col(key).alias("class"), F.col(text).alias("t")).join(wanted, "class").dropDuplicates(["class"]), "spans-texts")
+    if hot.isEmpty():
+        return texts, shared, None
+    around = shared.join(hot, "h").groupBy("class", "low", "high").agg(F.collect_list("at").alias("hot")).join(texts.select("class", "t"), "class")
+    exact = _exact(around, shared, least, size)
+    exact = materialize(exact.join(_met(exact, "h", "g"), ["h", "g"]), "spans-exact")
+    # What follows a hot anchor must meet by itself, since the hot one no longer names the pair.
+    after = hot.select(F.col("h").alias("before"), F.lit(True).alias("_hot"))
+    cool = shared.join(hot, "h", "left_anti").join(after, "before", "left")
+    cool = cool.withColumn("before", F.when(F.col("_hot"), F.lit(0)).otherwise(F.col("before"))).select(*shared.columns)
+    return texts, cool, exact
+
+
+def _streamed(pairs: DataFrame, texts: DataFrame, kind: str, least: int, size: int, both: bool) -> DataFrame:
+    """The pairs that share a stretch: a, b, the spans of b's text that stand in a's (in_b), and with ``both`` of a's in b's (in_a)."""
     left = texts.select(F.col("class").alias("a"), F.col("t").alias("a_text"), F.col("places").alias("a_places"))
     right = texts.select(F.col("class").alias("b"), F.col("t").alias("b_text"), F.col("places").alias("b_places"))
     # The second join leaves each shard's documents side by side; a crowded shard is split by the skew join.
@@ -305,43 +328,58 @@ def _verified(df: DataFrame, shared: DataFrame, key: str, text: str, least: int,
     return joined.mapInPandas(stream, f"a {kind}, b {kind}, in_a {spans}, in_b {spans}")
 
 
-def shared_pairs(df: DataFrame, least: int = LEAST, key: str = "fragment_id", group: str = "snapshot_id", text: str = "text", size: int = ANCHOR) -> DataFrame:
-    """Pairs of records of different groups with at least ``least`` consecutive characters in common: first, second (first < second).
+def shared_classes(df: DataFrame, least: int = LEAST, key: str = "fragment_id", group: str = "snapshot_id", text: str = "text", size: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """(pairs, membership) of records of different groups with at least ``least`` consecutive characters in common.
 
-    Repeated deliveries of a key count once. Null texts and keys, and texts shorter than ``least``, are in no pair; records
-    whose group is null are in no group and so in no pair. Other columns are not carried. The rows are exact and distinct.
+    membership: member, of (its group), class, low, high; one row a record, equal texts being one class. pairs: a, b
+    (a < b, classes by their least member), and a = b for a class whose copies lie in several groups. Null texts and
+    keys, texts shorter than ``least`` and records of a null group are in neither. The rows are exact and distinct.
     """
     size = min(size, max(1, least // 2))
     known = df.where(F.col(group).isNotNull())
     people = members(known, key, group, text, least)
-    pairs = _class_pairs(known, people, key, group, text, least, size, False).select("a", "b")
+    shared = _shared_anchors(known, people, key, group, text, least, size)
+    texts, cool, exact = _parts(known, shared, key, text, least, size)
+    pairs = _streamed(_meeting(cool, "h"), texts, df.schema[key].dataType.simpleString(), least, size, False).select("a", "b")
+    if exact is not None:
+        # Two hashes of all ``least`` characters agree: these pairs need no reading.
+        pairs = pairs.union(_meeting(exact, "h", "g")).distinct()
     copies = people.where((F.col("low") != F.col("high")) & (F.col("member") == F.col("class"))).select(F.col("class").alias("a"), F.col("class").alias("b"))
-    one = people.select(F.col("class").alias("a"), F.col("member").alias("x"), F.col("of").alias("x_of"))
-    two = people.select(F.col("class").alias("b"), F.col("member").alias("y"), F.col("of").alias("y_of"))
-    both = pairs.union(copies).join(one, "a").join(two, "b").where((F.col("x_of") != F.col("y_of")) & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))))
+    return pairs.union(copies), people
+
+
+def expand(pairs: DataFrame, membership: DataFrame) -> DataFrame:
+    """The pairs of records of ``shared_classes``: first, second (first < second, of different groups)."""
+    one = membership.select(F.col("class").alias("a"), F.col("member").alias("x"), F.col("of").alias("x_of"))
+    two = membership.select(F.col("class").alias("b"), F.col("member").alias("y"), F.col("of").alias("y_of"))
+    both = pairs.join(one, "a").join(two, "b").where((F.col("x_of") != F.col("y_of")) & ((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))))
     return both.select(F.least("x", "y").alias("first"), F.greatest("x", "y").alias("second"))
 
 
 def shared_extent(df: DataFrame, least: int = LEAST, key: str = "fragment_id", group: str = "snapshot_id", text: str = "text", size: int = ANCHOR) -> DataFrame:
-    """Of each record how many characters lie in stretches of ``least`` or more that other groups have too: key, n_chars, shared_chars, partner_classes.
+    """Of each record how many characters lie in stretches of ``least`` or more that other groups have too: key, n_chars, shared_chars.
 
-    One row a key that is not null, 0 for null, short and unshared texts. ``partner_classes`` counts the different
-    texts, besides its own, of other groups that it shares a stretch with. Records of a null group share nothing.
+    One row a key that is not null, 0 for null, short and unshared texts. Records of a null group share nothing. What
+    many classes have is told by its hashes, so that no pair of a crowd is looked at.
     """
     size = min(size, max(1, least // 2))
     known = df.where(F.col(group).isNotNull())
     people = members(known, key, group, text, least)
-    pairs = materialize(_class_pairs(known, people, key, group, text, least, size, True), "spans-pairs")
+    shared = _shared_anchors(known, people, key, group, text, least, size)
+    texts, cool, exact = _parts(known, shared, key, text, least, size)
+    pairs = materialize(_streamed(_meeting(cool, "h"), texts, df.schema[key].dataType.simpleString(), least, size, True), "spans-pairs")
+    # A class of several groups is shared as a whole; the spans of the others are shared if the other side has another group.
+    groups = people.where(F.col("member") == F.col("class")).select("class", "low", "high")
     sides = pairs.select(F.col("a").alias("class"), F.col("b").alias("other"), F.col("in_a").alias("spans")).union(pairs.select("b", "a", "in_b"))
-    others = people.where(F.col("member") == F.col("class")).select(F.col("class").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
-    own = people.select("member", "of", "class")
-    met = sides.join(others, "other").join(own, "class").where(~((F.col("other_low") == F.col("of")) & (F.col("other_high") == F.col("of"))))
-    # The union of intervals of one member: a gap opens where a span begins beyond all that came before.
-    flat = met.select("member", "other", F.explode("spans").alias("p")).select("member", "other", "p.s", "p.e")
-    before = Window.partitionBy("member").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
+    met = sides.join(groups.select("class", "low").where("low = high"), "class").join(groups.select(F.col("class").alias("other"), F.col("low").alias("_l"), F.col("high").alias("_h")), "other")
+    flat = met.where((F.col("_l") != F.col("low")) | (F.col("_h") != F.col("low"))).select("class", F.explode("spans").alias("p")).select("class", "p.s", "p.e")
+    if exact is not None:
+        flat = flat.union(exact.where("low = high").select("class", F.col("at").alias("s"), (F.col("at") + least).alias("e")))
+    # The union of intervals of one class: a gap opens where a span begins beyond all that came before.
+    before = Window.partitionBy("class").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("e") - F.greatest(F.col("s"), F.coalesce(F.max("e").over(before), F.lit(0))))
-    covered = flat.withColumn("_new", fresh).groupBy("member").agg(F.sum("_new").cast("int").alias("_covered"), F.countDistinct("other").cast("int").alias("_partners"))
-    copied = people.select("member", ((F.col("low") != F.col("of")) | (F.col("high") != F.col("of"))).alias("_copied"))
+    covered = flat.withColumn("_new", fresh).groupBy("class").agg(F.sum("_new").cast("int").alias("_covered"))
+    told = people.join(covered, "class", "left").select("member", (F.col("low") != F.col("high")).alias("_copied"), "_covered")
     base = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("member")).agg(F.max(F.coalesce(F.length(F.col(text)), F.lit(0))).alias("n_chars"))
-    shared = F.when(F.coalesce(F.col("_copied"), F.lit(False)), F.col("n_chars")).otherwise(F.coalesce(F.col("_covered"), F.lit(0)))
-    return base.join(copied, "member", "left").join(covered, "member", "left").select(F.col("member").alias(key), "n_chars", shared.alias("shared_chars"), F.coalesce(F.col("_partners"), F.lit(0)).alias("partner_classes"))
+    shared_chars = F.when(F.coalesce(F.col("_copied"), F.lit(False)), F.col("n_chars")).otherwise(F.coalesce(F.col("_covered"), F.lit(0)))
+    return base.join(told, "member", "left").select(F.col("member").alias(key), "n_chars", shared_chars.alias("shared_chars"))

@@ -59,11 +59,11 @@ def corpus():
     return rows + rows[:7]
 
 
-@pytest.mark.parametrize("hot", [200, 1])
+@pytest.mark.parametrize("hot", [200, 3, 1])
 def test_pairs_and_extents_against_brute_force(spark, corpus, monkeypatch, hot):
     monkeypatch.setattr(shared_spans, "HOT", hot)
     df = spark.createDataFrame(corpus, "fragment_id string, snapshot_id int, text string").withColumns({"class": F.lit("clash"), "h": F.lit(1)})
-    got = [(r["first"], r["second"]) for r in shared_spans.shared_pairs(df, 24).collect()]
+    got = [(r["first"], r["second"]) for r in shared_spans.expand(*shared_spans.shared_classes(df, 24)).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_pairs(corpus, 24)
     want = brute_extent(corpus, 24)
     rows = {r.fragment_id: r for r in shared_spans.shared_extent(df, 24).collect()}
@@ -72,7 +72,7 @@ def test_pairs_and_extents_against_brute_force(spark, corpus, monkeypatch, hot):
 
 def test_empty_tables_share_nothing(spark):
     df = spark.createDataFrame([], "fragment_id string, snapshot_id int, text string")
-    assert shared_spans.shared_pairs(df).count() == 0 and shared_spans.shared_extent(df).count() == 0
+    assert shared_spans.expand(*shared_spans.shared_classes(df)).count() == 0 and shared_spans.shared_extent(df).count() == 0
 
 
 @settings(max_examples=80, deadline=None)
