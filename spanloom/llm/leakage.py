@@ -13,7 +13,7 @@ Words are maximal runs of letters or digits, compared in lower case.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from spanloom.session import materialize, spread
 
 MIN_WORDS, SEED_WORDS, SHORT_WORDS = 13, 8, 4
-#: Items whose n-grams are held by one pass over the documents; more items take more passes.
-BLOCK = 20_000
+#: Characters of items whose n-grams are held by one pass over the documents, unless one item has more; more items take
+#: more passes. This bounds what the driver holds at a time and what each task is sent.
+BLOCK = 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the alignments that are scored at once.
 CELLS = 1 << 18
@@ -243,10 +244,28 @@ def _edited_block(documents: DataFrame, index: SeedIndex, short: SeedIndex, doc_
     return spread(documents).select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(score, _schema(kind, item_type))
 
 
-def _items(items: DataFrame, item_id: str, item_text: str, block: int) -> list[list[tuple]]:
-    rows = [(r[0], r[1]) for r in items.select(item_id, item_text).where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).dropDuplicates([item_id]).toLocalIterator()]
-    rows.sort()
-    return [rows[i : i + block] for i in range(0, len(rows), block)] or [[]]
+def _blocks(items: DataFrame, item_id: str, item_text: str, block: int) -> Iterator[list[tuple]]:
+    """The items, each once, about ``block`` characters at a time; the driver holds one block and a part of the table."""
+    rows = items.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
+    held: list[tuple] = []
+    size = 0
+    for r in rows.groupBy("i").agg(F.min("t").alias("t")).orderBy("i").toLocalIterator():
+        if held and size + len(r["t"]) > block:
+            yield held
+            held, size = [], 0
+        held.append((r["i"], r["t"]))
+        size += len(r["t"])
+    yield held
+
+
+def _passes(items: DataFrame, item_id: str, item_text: str, block: int, one_pass: Callable[[list[tuple]], DataFrame]) -> DataFrame:
+    """The rows of a pass over the documents for each block of items; all but the last are written before the next is read."""
+    out: list[DataFrame] = []
+    for held in _blocks(items, item_id, item_text, block):
+        if out:
+            out[-1] = materialize(out[-1], "leak-pass")
+        out.append(one_pass(held))
+    return reduce(DataFrame.unionByName, out)
 
 
 def leaks(
@@ -260,13 +279,13 @@ def leaks(
     documents hold has no part in it. ``longest_run`` tells the exact number of consecutive words, ``similarity``
     the alignment's score against that of a full copy and ``seeds`` the document's places with a common short run.
     Items with fewer than ``min_words`` words, and null or blank texts, give no row. Repeated deliveries of a
-    document or an item count once; extra columns are not carried. Items are taken ``block`` at a time, so that
-    what the workers hold is bounded.
+    document or an item count once; extra columns are not carried. Items are taken ``block`` characters at a time, so
+    that what the driver and the workers hold is bounded.
     """
     assert short_words <= seed_words <= min_words
     kind = items.schema[item_id].dataType.simpleString()
-    out = [_edited_block(documents, SeedIndex(b, seed_words, min_words), SeedIndex(b, short_words, min_words), doc_id, text, kind) for b in _items(items, item_id, item_text, block)]
-    return reduce(DataFrame.union, out).dropDuplicates(["doc_id", "item_id"])
+    rows = _passes(items, item_id, item_text, block, lambda held: _edited_block(documents, SeedIndex(held, seed_words, min_words), SeedIndex(held, short_words, min_words), doc_id, text, kind))
+    return rows.dropDuplicates(["doc_id", "item_id"])
 
 
 def leaked(
@@ -275,5 +294,5 @@ def leaked(
     """The pairs that share at least ``min_words`` consecutive words: doc_id, item_id."""
     assert seed_words <= min_words
     kind = items.schema[item_id].dataType.simpleString()
-    out = [_block(documents, SeedIndex(b, seed_words, min_words), doc_id, text, kind) for b in _items(items, item_id, item_text, block)]
-    return reduce(DataFrame.union, out).dropDuplicates(["doc_id", "item_id"]).where(F.col("longest_run") >= min_words).select("doc_id", "item_id")
+    rows = _passes(items, item_id, item_text, block, lambda held: _block(documents, SeedIndex(held, seed_words, min_words), doc_id, text, kind))
+    return rows.dropDuplicates(["doc_id", "item_id"]).where(F.col("longest_run") >= min_words).select("doc_id", "item_id")

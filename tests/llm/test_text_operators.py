@@ -293,7 +293,7 @@ def test_leaks_are_exact(spark):
     df = spark.createDataFrame(docs + docs[:10], "doc_id long, text string").withColumn("score", F.lit("clash"))
     it = spark.createDataFrame(items + items[:3], "item_id long, text string")
     want = brute([(d, t) for d, t in docs if t], [(i, t) for i, t in items if t])
-    for block in (1000, 7):
+    for block in (100_000, 1_500):
         got = leakage.leaks(df, it, block=block).collect()
         assert {(r.doc_id, r.item_id) for r in got if r.longest_run >= 13} == want
         assert len(got) == len({(r.doc_id, r.item_id) for r in got})
