@@ -27,6 +27,8 @@ MIN_WORDS, SEED_WORDS, SHORT_WORDS = 13, 8, 4
 #: Characters of items whose n-grams are held by one pass over the documents, unless one item has more; more items take
 #: more passes. This bounds what the driver holds at a time and what each task is sent.
 BLOCK = 4_000_000
+#: Of an item's short n-grams one in so many, and so many at least, must be in a document to have it aligned.
+SHORT_PART, LEAST_SHORT = 5, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the alignments that are scored at once.
 CELLS = 1 << 18
@@ -112,35 +114,39 @@ def align_many(items: list[np.ndarray], doc: np.ndarray) -> list[tuple[int, int,
         return [(0, 0, 0, 0)] * len(items)
     m, n = len(items), len(doc)
     # The filling is no word of any document, and what follows an item's end never scores more than its best.
-    table = np.full((m, max(map(len, items))), -1, np.int64)
+    table = np.full((m, max(map(len, items))), -1, np.int32)
     for k, item in enumerate(items):
         table[k, : len(item)] = item
-    above, runs = np.zeros((m, n + 1), np.int64), np.zeros((m, n + 1), np.int64)
-    places = np.arange(n + 1)
-    begin = np.tile(places, (m, 1))
-    slope = places * -GAP
-    best, longest, first, last = (np.zeros(m, np.int64) for _ in range(4))
+    doc = doc.astype(np.int32)
+    # A cell is its score and, below it, the place where its alignment begins, so that one maximum moves both; of equal
+    # scores the later begin stands.
+    shift = n + 1
+    places = np.arange(n + 1, dtype=np.int64)
+    slope = places * (-GAP * shift)
+    above, runs = np.tile(places, (m, 1)), np.zeros((m, n + 1), np.int32)
+    best, longest = np.zeros(m, np.int64), np.zeros(m, np.int32)
+    last = np.zeros(m, np.int64)
     for word in table.T:
         equal = doc == word[:, None]
-        diagonal = above[:, :-1] + np.where(equal, MATCH, MISMATCH)
-        cell, start = np.zeros((m, n + 1), np.int64), np.zeros((m, n + 1), np.int64)
-        cell[:, 1:] = np.maximum(np.maximum(diagonal, above[:, 1:] + GAP), 0)
-        start[:, 1:] = np.where(cell[:, 1:] == 0, places[1:], np.where(cell[:, 1:] == diagonal, begin[:, :-1], begin[:, 1:]))
-        lifted = np.maximum.accumulate(cell + slope, axis=1)
-        row = np.maximum(lifted - slope, 0)
-        moved = row > cell
-        if moved.any():
-            source = np.maximum.accumulate(np.where(cell + slope == lifted, places, 0), axis=1)
-            start = np.where(moved, np.take_along_axis(start, source, 1), start)
+        cell = np.empty((m, n + 1), np.int64)
+        cell[:, 0] = 0
+        np.add(above[:, :-1], np.where(equal, MATCH * shift, MISMATCH * shift), out=cell[:, 1:])
+        np.maximum(cell[:, 1:], above[:, 1:] + GAP * shift, out=cell[:, 1:])
+        np.maximum(cell, places, out=cell)
+        cell += slope
+        np.maximum.accumulate(cell, axis=1, out=cell)
+        cell -= slope
+        np.maximum(cell, places, out=cell)
         runs[:, 1:] = np.where(equal, runs[:, :-1] + 1, 0)
-        above, begin = row, start
-        k = row.argmax(axis=1)
-        top = row[np.arange(m), k]
-        better = top > best
-        best = np.where(better, top, best)
-        first, last = np.where(better, start[np.arange(m), k], first), np.where(better, k - 1, last)
+        above = cell
+        # Of equal scores the first place stands.
+        k = (cell // shift).argmax(axis=1)
+        top = cell[np.arange(m), k]
+        better = top // shift > best // shift
+        best, last = np.where(better, top, best), np.where(better, k - 1, last)
         longest = np.maximum(longest, runs.max(axis=1))
-    return list(zip(best.tolist(), longest.tolist(), first.tolist(), last.tolist()))
+    score = best // shift
+    return list(zip(score.tolist(), longest.tolist(), np.where(score > 0, best % shift, 0).tolist(), last.tolist()))
 
 
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
@@ -223,9 +229,12 @@ def _block(documents: DataFrame, index: SeedIndex, doc_id: str, text: str, item_
 
 
 def _edited_block(documents: DataFrame, index: SeedIndex, short: SeedIndex, doc_id: str, text: str, item_type: str) -> DataFrame:
-    """Pairs with a common n-gram of ``index``, or as many different ones of ``short`` as a run of min_words words has."""
+    """Pairs with a common n-gram of ``index``, or with enough different ones of ``short``: a part of the item's, or as many as a run of min_words words has."""
     kind = documents.schema[doc_id].dataType.simpleString()
-    enough = index.min_words - short.n + 1
+    lengths = np.array([len(short.items[i]) for i in short.order], np.int64)
+    most = index.min_words - short.n + 1
+    enough = np.minimum(most, np.maximum(min(LEAST_SHORT, most), -(-(lengths - short.n + 1) // SHORT_PART)))
+    least = int(enough.min()) if len(enough) else 0
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -234,7 +243,7 @@ def _edited_block(documents: DataFrame, index: SeedIndex, short: SeedIndex, doc_
                 ids = index.numbers(words(t))
                 _, grams = index.hits_of(ids)
                 at, shorts = short.hits_of(ids)
-                if len(grams) or len(shorts) >= enough:
+                if len(grams) or len(shorts) and len(shorts) >= least:
                     chosen = np.flatnonzero((index.shared(grams) > 0) | (short.shared(shorts) >= enough))
                     # A common n-gram holds short ones, so these are all the places that count.
                     places = {i: at[np.isin(shorts, short.of_item[i])].tolist() for i in (index.order[k] for k in chosen.tolist())}
@@ -273,9 +282,10 @@ def leaks(
 ) -> DataFrame:
     """Document and item pairs that share a seed, aligned: doc_id, item_id, longest_run, score, similarity, first_word, last_word, seeds.
 
-    Every pair with ``seed_words`` consecutive words in common is among them, and every pair with at least
-    ``min_words - short_words + 1`` different runs of ``short_words`` words in common: an item of n words that was
-    copied with e words changed, added or left out keeps n + 1 - short_words * (e + 1) of its runs. What other
+    Every pair with ``seed_words`` consecutive words in common is among them, and every pair with a fifth of the item's
+    different runs of ``short_words`` words in common (but no fewer than 4, and never more than the ``min_words -
+    short_words + 1`` that an exact run of ``min_words`` has). An item of n words that was copied with e words changed,
+    added or left out keeps n + 1 - short_words * (e + 1) of its runs or more. What other
     documents hold has no part in it. ``longest_run`` tells the exact number of consecutive words, ``similarity``
     the alignment's score against that of a full copy and ``seeds`` the document's places with a common short run.
     Items with fewer than ``min_words`` words, and null or blank texts, give no row. Repeated deliveries of a

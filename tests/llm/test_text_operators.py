@@ -330,6 +330,26 @@ def test_edited_copies_are_aligned(spark):
     assert want <= {(r.doc_id, r.item_id) for r in leakage.leaks(df, it).collect()}
 
 
+def test_edited_copies_are_recalled(spark):
+    import random
+
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, rng.choices(vocabulary, k=rng.randrange(19, 70))) for i in range(60)]
+    docs, want = [(1000, " ".join(items[0][1][:6] + ["x"] + items[0][1][6:12] + ["y"] + items[0][1][12:18] + ["z"] + items[0][1][18:]))], {(1000, 0)}
+    for d in range(600):
+        i, words = rng.choice(items)
+        out = []
+        for w in words:
+            r = rng.random()
+            out += [] if r < 0.04 else [w, rng.choice(vocabulary)] if r < 0.08 else [rng.choice(vocabulary)] if r < 0.12 else [w]
+        docs.append((d, " ".join(rng.choices(vocabulary, k=80) + out + rng.choices(vocabulary, k=80))))
+        want.add((d, i))
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string"))
+    close = {(r.doc_id, r.item_id) for r in got.collect() if r.similarity >= 0.4}
+    assert (1000, 0) in close and len(close & want) >= 0.95 * len(want) and close <= want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=12), min_size=1, max_size=5), st.lists(st.integers(0, 4), max_size=30))
 def test_items_are_aligned_alike_alone_and_together(items, doc):
