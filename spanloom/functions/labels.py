@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,11 +38,44 @@ UNAVAILABLE = {
 PARTIAL = "Only part of the {0} file is supplied."
 UNPARSED = "The {0} Python source could not be parsed."
 TEXT_ONLY = "The {0} source is text-only; Python parsing is not available."
+REMOVED_FROM = "Definition {0} was removed from the supplied file {1}. "
+ADDED_TO = "Definition {0} was added to the supplied file {1}. "
+ABSENT_HEAD = "The base file is fully supplied and parsed. The file is confirmed absent at the head revision."
+ABSENT_BASE = "The file is confirmed absent at the base revision. The head file is fully supplied and parsed."
+BOTH_PARSED = "Both file versions are fully supplied and parsed. No counterpart was matched."
+ELSEWHERE = " This result does not establish whether the definition or its behavior exists elsewhere in the repository."
+UNRESOLVED = "Definition {0} is present in the supplied {1} source for {2}. {3} from this file is unresolved: {4}."
+BOTH_PATHS = " Base path: {0}. Head path: {1}."
+INTENT = "Follow {0} in {1}."
+INTENT_MOVE = "Follow the relocation of {0}, pairing the old and new definitions instead of reading deletion and addition separately."
+INTENT_TESTS = "Read the assertions as executable design claims. Their presence is evidence of test intent, not a passing run."
+INTENT_WIRING = "Trace how this module resolves its imports after the implementation changes."
+QUESTION = "Are observable outputs, exceptions and calling conventions preserved or intentionally changed?"
+QUESTION_SAME = "Do imported globals, relative imports, initialization order or serialization depend on the previous module location?"
+QUESTION_RENAMED = "Are imports, reflective lookups, doctests and references to the old name updated?"
+QUESTION_WIRING = "Are old import paths intentionally retired or still needed by callers outside these changed files?"
+QUESTION_TESTS = "Do these assertions exercise the changed behavior, including negative and boundary cases?"
+INVARIANT = "Check the expected inputs, outputs and failure cases against both revisions."
+INVARIANT_SAME = "The compared ASTs are identical, including literals, signatures and decorators."
+INVARIANT_RENAMED = "The rename match preserves internal identifiers and literals; declaration name and leading docstring are excluded only for this explicitly labeled match."
+INVARIANT_WIRING = "Each imported symbol must resolve at the new module path in the deployed build."
+INVARIANT_TESTS = "Assertions should express the intended contract, not merely repeat the implementation."
+NO_BASE = "No base definition in this unit"
+NO_HEAD = "No head definition in this unit"
+TAKEAWAY = "You have inspected {0} change unit(s) concerning {1}{2}."
+RELATED = " and related symbols"
+PROVENANCE = "deterministic evidence template"
 REMAINS = "A definition with the same name and type remains in the other file version, but the matcher did not form one pair."
 NOT_RUN = "referenced, not run"
 AMBIGUOUS = "Ambiguous static binding"
 
 
+def fill(sentence: str, *values: Column) -> Column:
+    """A fixed sentence with its numbered places filled."""
+    parts = [F.lit(p) if i % 2 == 0 else values[int(p)].cast("string") for i, p in enumerate(re.split(r"\{(\d)\}", sentence)) if i % 2 or p]
+    return F.concat(*parts)
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """The value of ``key`` in a small fixed table, or null."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

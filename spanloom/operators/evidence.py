@@ -38,7 +38,7 @@ def file_coverage(file_evidence: DataFrame, fragments: DataFrame) -> DataFrame:
 
 
 def definition_evidence(unmatched: DataFrame, symbols: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Kind and blockers of every unmatched definition.
+    """Kind, blockers and basis, in words, of every unmatched definition.
 
     It is added or removed only if its own file is whole and parsed, the counterpart is absent or whole and parsed, and no
     definition of its name and type remains there; else it is only observed on its side.
@@ -63,13 +63,12 @@ def definition_evidence(unmatched: DataFrame, symbols: DataFrame, coverage: Data
     none = F.array().cast("array<string>")
     reasons = F.concat(F.coalesce(blockers("base"), none), F.coalesce(blockers("head"), none), F.when(remains, F.array(kept)).otherwise(none))
     reason = F.array_join(F.transform(reasons, lambda x: F.regexp_replace(x, r"\.$", "")), " ")
-    unresolved = F.concat(
-        F.lit("Definition "), F.col("name"), F.lit(" is present in the supplied "), F.col("side"), F.lit(" source for "), F.col("path"), F.lit(". "),
-        F.when(F.col("side") == "base", "Removal").otherwise("Addition"), F.lit(" from this file is unresolved: "), reason, F.lit("."),
-    )
-    stated = F.concat(
-        F.lit("Definition "), F.col("name"), F.when(F.col("side") == "base", " was removed from").otherwise(" was added to"), F.lit(" the supplied file "), F.col("path"),
-        F.when(F.col("other.absent"), ". The other revision's file is confirmed absent.").otherwise(". Both file versions are fully supplied and parsed; no counterpart was matched."),
-        F.lit(" This does not establish whether it exists elsewhere in the repository."),
-    )
-    return joined.select(*unmatched.columns, "counterpart_path", remains.alias("declaration_remains"), kind.alias("kind"), F.when(confirmed, F.array().cast("array<string>")).otherwise(reasons).alias("blockers"), F.when(confirmed, stated).otherwise(unresolved).alias("basis"))
+    base = F.col("side") == "base"
+    removal = F.when(base, "Removal").otherwise("Addition")
+    unresolved = labels.fill(labels.UNRESOLVED, F.col("name"), F.col("side"), F.col("path"), removal, reason)
+    opening = F.when(base, labels.fill(labels.REMOVED_FROM, F.col("name"), F.col("path"))).otherwise(labels.fill(labels.ADDED_TO, F.col("name"), F.col("path")))
+    sources = F.when(~F.col("other.absent"), labels.BOTH_PARSED).when(base, labels.ABSENT_HEAD).otherwise(labels.ABSENT_BASE)
+    stated = F.concat(opening, sources, F.lit(labels.ELSEWHERE))
+    paths = [F.when(base, F.col("path")).otherwise(F.col("counterpart_path")), F.when(base, F.col("counterpart_path")).otherwise(F.col("path"))]
+    both = F.when(F.col("path") != F.col("counterpart_path"), labels.fill(labels.BOTH_PATHS, *paths)).otherwise("")
+    return joined.select(*unmatched.columns, "counterpart_path", remains.alias("declaration_remains"), kind.alias("kind"), F.when(confirmed, F.array().cast("array<string>")).otherwise(reasons).alias("blockers"), F.concat(F.when(confirmed, stated).otherwise(unresolved), both).alias("basis"))

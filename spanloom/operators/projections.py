@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import labels
 from spanloom.functions import text as X
 
 
@@ -99,29 +100,41 @@ def group_names(changes: DataFrame, members: DataFrame) -> DataFrame:
     return names.withColumn("summary", named(F.col("names")))
 
 
-def narrative(kinds: Column, theme: Column, signature_changed: Column) -> Column:
-    """Questions a reader of a group may start from, by its kinds and theme."""
-    has = lambda k: F.array_contains(kinds, k)
-    parts = [
-        F.when(has("moved") & (F.size(F.array_distinct(kinds)) == 1), "The syntax trees are identical; check what the new place changes for importers."),
-        F.when(has("renamed") | has("moved_renamed"), "A name changed while its statements match; check every caller."),
-        F.when(has("modified") | has("moved_modified"), "Statements differ; check which behavior was meant to change."),
-        F.when(has("added"), "A definition is new in its file; check what needs it."),
-        F.when(has("removed"), "A definition left its file; check that nothing needs it."),
-        F.when(has("observed_base") | has("observed_head"), "Only one side could be inspected; absence is not shown."),
-        F.when(has("wiring"), "Imports changed; follow them to their definitions."),
-        F.when(has("text") | has("source_only"), "Source text differs outside what the syntax tree shows."),
-        F.when(F.coalesce(signature_changed, F.lit(False)), "A signature changed; check its callers' arguments."),
-        F.when(theme == "tests", "These tests refer to the code; no run is recorded."),
-    ]
-    return F.filter(F.array(*parts), lambda x: x.isNotNull())
-
-
-def group_narratives(groups: DataFrame, changes: DataFrame) -> DataFrame:
-    """Questions of every group."""
-    held = changes.groupBy("snapshot_id", "group_id").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.bool_or(F.coalesce("signature_changed", F.lit(False))).alias("signature"))
-    joined = groups.join(held, ["snapshot_id", "group_id"])
-    return joined.select("snapshot_id", "group_id", narrative(F.col("kinds"), F.col("theme"), F.col("signature")).alias("questions"))
+def narrative(kinds: Column, theme: Column, path: Column, names: Column, n_changes: Column, befores: Column, afters: Column) -> Column:
+    """What a reader of a group is told: intent, before, after, takeaway, invariants, questions and provenance.
+
+    ``kinds`` are the group's kinds, ``names`` those of its changes in order, ``befores`` and ``afters`` their distinct paths.
+    """
+    some = lambda *of: F.arrays_overlap(kinds, F.array(*map(F.lit, of)))
+    only = lambda *of: F.size(F.array_except(kinds, F.array(*map(F.lit, of)))) == 0
+    by_theme = lambda tests, wiring, else_: F.when(theme == "tests", tests).when(theme == "wiring", wiring).otherwise(else_)
+    renamed = some("moved_renamed", "renamed")
+
+    def points(same: str, usual: str, alike: str) -> Column:
+        first = F.when(only("moved", "source_only"), same).otherwise(usual)
+        return F.when(renamed, F.array(first, F.lit(alike))).otherwise(F.array(first))
+
+    moved = F.when(some("moved", "moved_renamed", "moved_modified"), labels.fill(labels.INTENT_MOVE, theme)).otherwise(labels.fill(labels.INTENT, theme, F.element_at(F.split(path, "/"), -1)))
+    more = F.when(n_changes > 4, labels.RELATED).otherwise("")
+    return F.struct(
+        by_theme(F.lit(labels.INTENT_TESTS), F.lit(labels.INTENT_WIRING), moved).alias("intent"),
+        F.array_join(F.sort_array(befores), "; ").alias("before"), F.array_join(F.sort_array(afters), "; ").alias("after"),
+        labels.fill(labels.TAKEAWAY, n_changes, F.array_join(F.slice(names, 1, 4), ", "), more).alias("takeaway"),
+        by_theme(F.array(F.lit(labels.INVARIANT_TESTS)), F.array(F.lit(labels.INVARIANT_WIRING)), points(labels.INVARIANT_SAME, labels.INVARIANT, labels.INVARIANT_RENAMED)).alias("invariants"),
+        by_theme(F.array(F.lit(labels.QUESTION_TESTS)), F.array(F.lit(labels.QUESTION_WIRING)), points(labels.QUESTION_SAME, labels.QUESTION, labels.QUESTION_RENAMED)).alias("questions"),
+        F.lit(labels.PROVENANCE).alias("provenance"),
+    )
+
+
+def group_narratives(groups: DataFrame, changes: DataFrame, members: DataFrame) -> DataFrame:
+    """snapshot_id, group_id and the narrative of every group; ``members`` has the place of each change in its group as ``number``."""
+    place = members.select("snapshot_id", "group_id", "change_id", "number")
+    held = changes.select("snapshot_id", "change_id", "kind", F.coalesce("after.name", "before.name", F.lit("file context")).alias("name"), F.coalesce("before.path", F.lit(labels.NO_BASE)).alias("b"), F.coalesce("after.path", F.lit(labels.NO_HEAD)).alias("a"))
+    told = held.join(place, ["snapshot_id", "change_id"]).groupBy("snapshot_id", "group_id").agg(
+        F.collect_set("kind").alias("kinds"), F.transform(F.sort_array(F.collect_list(F.struct("number", "name"))), lambda x: x["name"]).alias("names"), F.count("*").alias("n"), F.collect_set("b").alias("befores"), F.collect_set("a").alias("afters")
+    )
+    joined = groups.select("snapshot_id", "group_id", "theme", "path").join(told, ["snapshot_id", "group_id"])
+    return joined.select("snapshot_id", "group_id", narrative(F.col("kinds"), F.col("theme"), F.col("path"), F.col("names"), F.col("n"), F.col("befores"), F.col("afters")).alias("n")).select("snapshot_id", "group_id", "n.*")
 
 
 def editor_projection(passages: DataFrame, tests: DataFrame) -> DataFrame:

@@ -156,8 +156,9 @@ def order_groups(groups: DataFrame, edges: DataFrame, imports: DataFrame) -> Dat
     """Groups in reading order: number, next_id, prerequisites (sorted), component and in_cycle."""
     counts = imports.where("side = 'head'").groupBy("snapshot_id", "path").agg(F.count("*").alias("n_imports"))
     keyed = groups.join(counts, ["snapshot_id", "path"], "left")
-    weight = F.when(F.col("theme") == "wiring", 100_000 - F.least(F.coalesce("n_imports", F.lit(0)), F.lit(100_000))).otherwise(100_000)
-    key = F.array(F.lpad(labels.theme_rank(F.col("theme")).cast("string"), 2, "0"), F.lpad(weight.cast("string"), 6, "0"), F.col("path"))
+    # Files of more imports come first among the wiring; the numbers are padded to the width of any count.
+    weight = F.lit(10**18) - F.when(F.col("theme") == "wiring", F.coalesce("n_imports", F.lit(0))).otherwise(0)
+    key = F.array(F.lpad(labels.theme_rank(F.col("theme")).cast("string"), 2, "0"), F.lpad(weight.cast("string"), 19, "0"), F.col("path"))
     nodes = keyed.select("snapshot_id", F.col("group_id").alias("node"), key.alias("key"))
     needs = edges.select("snapshot_id", F.col("consumer").alias("node"), F.col("provider").alias("needs")).distinct()
     placed = graph.order_nodes(nodes, needs).withColumnRenamed("node", "group_id")

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import json
 import os
 import tempfile
+import threading
 import time
-from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, as_completed
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from pathlib import Path
 
-MOST_ATTEMPTS, ATTEMPTS_A_KEY, SLOTS, SECONDS, MOST_SECONDS = 12, 2, 4, 240, 2_160
+MOST_ATTEMPTS, ATTEMPTS_A_KEY, SLOTS, SECONDS, MOST_SECONDS, MOST_REPLY_BYTES = 12, 2, 4, 240, 2_160, 1 << 20
 VERSION = "run.v1"
 
 
@@ -36,18 +39,27 @@ class Run:
     seconds: int = SECONDS
     clock: Callable[[], float] = time.time
     state: dict = field(init=False)
+    _guard: threading.Lock = field(init=False, default_factory=threading.Lock, repr=False)
 
     def __post_init__(self) -> None:
-        fresh = {"version": VERSION, "identity": self.identity, "deadline": self.clock() + min(self.seconds, MOST_SECONDS), "attempts": {}, "done": {}}
-        if self.ledger.exists():
-            old = json.loads(self.ledger.read_text(encoding="utf-8"))
-            if old.get("version") != VERSION or old.get("identity") != self.identity:
-                raise ValueError("the ledger is of another run")
-            if any(n > ATTEMPTS_A_KEY for n in old["attempts"].values()) or sum(old["attempts"].values()) > MOST_ATTEMPTS:
-                raise ValueError("the ledger exceeds its limits")
-            fresh = old
-        self.state = fresh
-        self._keep()
+        self.state = {"version": VERSION, "identity": self.identity, "deadline": self.clock() + min(self.seconds, MOST_SECONDS), "attempts": {}, "done": {}}
+        with self._held():
+            self._keep()
+
+    @contextmanager
+    def _held(self) -> Iterator[None]:
+        """The ledger as it stands, for this thread and process alone."""
+        self.ledger.parent.mkdir(parents=True, exist_ok=True)
+        with self._guard, self.ledger.with_name(self.ledger.name + ".lock").open("a") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if self.ledger.exists():
+                kept = json.loads(self.ledger.read_text(encoding="utf-8"))
+                if kept.get("version") != VERSION or kept.get("identity") != self.identity:
+                    raise ValueError("the ledger is of another run")
+                if any(n > ATTEMPTS_A_KEY for n in kept["attempts"].values()) or sum(kept["attempts"].values()) > MOST_ATTEMPTS:
+                    raise ValueError("the ledger exceeds its limits")
+                self.state = kept
+            yield
 
     def _keep(self) -> None:
         replace_file(self.ledger, json.dumps(self.state, sort_keys=True))
@@ -59,34 +71,55 @@ class Run:
     def call(self, request: str, send: Callable[[str], str], validate: Callable[[str], object]) -> str:
         """The validated reply to a request: stored, or sent for while attempts and time last."""
         key = self.key(request)
-        if key in self.state["done"]:
-            return self.state["done"][key]
         error: Exception | None = None
-        while self.state["attempts"].get(key, 0) < ATTEMPTS_A_KEY:
-            if sum(self.state["attempts"].values()) >= MOST_ATTEMPTS:
-                raise RuntimeError("no attempt is left in this run")
-            if self.clock() >= self.state["deadline"]:
-                raise TimeoutError("the run's time is over")
-            self.state["attempts"][key] = self.state["attempts"].get(key, 0) + 1
-            self._keep()
+        while (stored := self._reserve(key, error)) is None:
             try:
                 reply = send(request)
+                if len(reply.encode()) > MOST_REPLY_BYTES:
+                    raise ValueError("the reply exceeds its size")
                 validate(reply)
             except (ValueError, ConnectionError) as e:
                 error = e
                 continue
-            self.state["done"][key] = reply
-            self._keep()
+            with self._held():
+                self.state["done"][key] = reply
+                self._keep()
             return reply
-        raise error or RuntimeError("no attempt is left for this request")
+        return stored
+
+    def _reserve(self, key: str, error: Exception | None) -> str | None:
+        """The stored reply, or None once an attempt is counted and kept, which comes before anything is sent."""
+        with self._held():
+            if key in self.state["done"]:
+                return self.state["done"][key]
+            attempts = self.state["attempts"]
+            if attempts.get(key, 0) >= ATTEMPTS_A_KEY:
+                raise error or RuntimeError("no attempt is left for this request")
+            if sum(attempts.values()) >= MOST_ATTEMPTS:
+                raise RuntimeError("no attempt is left in this run")
+            if self.clock() >= self.state["deadline"]:
+                raise TimeoutError("the run's time is over")
+            attempts[key] = attempts.get(key, 0) + 1
+            self._keep()
+            return None
 
     def parallel(self, requests: list[str], send: Callable[[str], str], validate: Callable[[str], object]) -> list[str]:
-        """Replies in the order of the requests, over at most four slots; the first failure ends the run."""
-        import threading
+        """Replies in the order of the requests, over at most four slots; equal requests are sent once, the first failure ends the run.
 
-        lock = threading.Lock()
-        todo = [r for r in requests if self.key(r) not in self.state["done"]]
+        More requests than the run has attempts left are refused before any is sent.
+        """
+        distinct = list(dict.fromkeys(requests))
+        with self._held():
+            missing = sum(self.key(r) not in self.state["done"] for r in distinct)
+            if missing > MOST_ATTEMPTS - sum(self.state["attempts"].values()):
+                raise RuntimeError("no attempt is left in this run")
+        replies: dict[str, str] = {}
         with ThreadPoolExecutor(max_workers=SLOTS) as pool:
-            replies = dict(zip(todo, pool.map(send, todo)))
-        with lock:
-            return [self.call(r, lambda x: replies.pop(x) if x in replies else send(x), validate) for r in requests]
+            waiting = {pool.submit(self.call, r, send, validate): r for r in distinct}
+            try:
+                for done in as_completed(waiting):
+                    replies[waiting[done]] = done.result()
+            except BaseException:
+                pool.shutdown(cancel_futures=True)
+                raise
+        return [replies[r] for r in requests]

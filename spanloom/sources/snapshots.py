@@ -7,16 +7,18 @@ import difflib
 import hashlib
 import json
 import subprocess
+import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import schemas
 from spanloom.functions import text as X
+from spanloom.session import materialize
 
 REASONS = ("not_supplied", "size_limit", "binary_or_non_utf8", "unsupported_object", "invalid_content_size", "unsupported_encoding", "read_failed")
-MAX_FILES, MAX_PATCH_BYTES, GIT_SECONDS = 500, 64_000_000, 90
+MAX_FILES, MAX_SNAPSHOT_BYTES, GIT_SECONDS = 500, 64_000_000, 90
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
@@ -58,14 +60,19 @@ def write_json(documents: DataFrame, path: str, most_bytes: int = 256_000_000) -
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write several tables and, last, a manifest of them: the manifest's presence says that all of them are whole."""
-    rows = []
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        rows.append((name, df.sparkSession.read.parquet(f"{folder}/{name}").count()))
+    """Write several tables and, last, a manifest of them: the manifest's presence says that all of them are whole.
+
+    Each writing has its own folder below ``folder``, and the manifest names it, so that readers never see tables of two
+    writings. Rows are counted while they are written.
+    """
     spark = next(iter(tables.values())).sparkSession
-    manifest = spark.createDataFrame(rows, "name string, n_rows long")
-    manifest.write.mode("overwrite").json(f"{folder}/manifest")
+    version, rows = uuid.uuid4().hex, []
+    for name, df in tables.items():
+        counted = Observation()
+        df.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/{version}/{name}")
+        rows.append((name, version, counted.get["n"]))
+    manifest = spark.createDataFrame(rows, "name string, version string, n_rows long")
+    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/manifest")
     return manifest
 
 
@@ -127,11 +134,30 @@ def _git(repository: str, *args: str) -> bytes:
     return subprocess.run(["git", "-C", repository, *args], check=True, capture_output=True, timeout=GIT_SECONDS).stdout
 
 
-def read_git(spark: SparkSession, repository: str, base: str, head: str, two_dot: bool = False, include_tests: bool = False, most_files: int = MAX_FILES) -> dict[str, DataFrame]:
+PLAIN = ("100644", "100755")
+
+
+def _git_sizes(repository: str, objects: list[str]) -> dict[str, int]:
+    """Bytes of each object, before any is read."""
+    wanted = sorted(set(objects) - {"0" * 40})
+    told = subprocess.run(["git", "-C", repository, "cat-file", "--batch-check=%(objectname) %(objectsize)"], input="\n".join(wanted).encode(), check=True, capture_output=True, timeout=GIT_SECONDS).stdout.decode()
+    return {oid: int(n) for oid, n in (line.split(" ") for line in told.splitlines())}
+
+
+def _text(data: bytes) -> str | None:
+    """Bytes as text if they are UTF-8 without NUL."""
+    try:
+        return data.decode("utf-8") if b"\0" not in data else None
+    except UnicodeDecodeError:
+        return None
+
+
+def read_git(spark: SparkSession, repository: str, base: str, head: str, two_dot: bool = False, include_tests: bool = False, most_files: int = MAX_FILES, most_bytes: int = MAX_SNAPSHOT_BYTES) -> dict[str, DataFrame]:
     """The tables of one snapshot of a local repository: listing on the driver, contents read by tasks in chunks of paths.
 
-    Renames appear as a removal and an addition. A side that is too large or is no text is unavailable, with its reason;
-    a patch is captured only where both sides can be read. Only commits are read, never the working tree.
+    Renames appear as a removal and an addition. A side that is too large or is no text is unavailable, with its reason
+    and a warning; a patch is captured, as it is, only where both sides can be read. Only commits are read, never the
+    working tree. Sources or patches beyond ``most_bytes`` in all fail the read.
     """
     base_sha, head_sha = (_git(repository, "rev-parse", "--verify", f"{r}^{{commit}}").decode().strip() for r in (base, head))
     if not two_dot:
@@ -143,6 +169,9 @@ def read_git(spark: SparkSession, repository: str, base: str, head: str, two_dot
         rows.append((len(rows), path, old_mode, new_mode, old, new))
     if len(rows) > most_files:
         raise ValueError("too many changed files")
+    sizes = _git_sizes(repository, [oid for r in rows for mode, oid in ((r[2], r[4]), (r[3], r[5])) if mode in PLAIN])
+    if sum(n for n in sizes.values() if n <= X.MAX_SOURCE_BYTES) > most_bytes:
+        raise ValueError("the sources exceed their bytes")
     listed = spark.createDataFrame(rows, "rec_idx int, path string, old_mode string, new_mode string, old string, new string")
     if not include_tests:
         listed = listed.where(~X.is_test_path(F.col("path")))
@@ -156,42 +185,42 @@ def read_git(spark: SparkSession, repository: str, base: str, head: str, two_dot
                     state, reason, text = "supplied", None, None
                     if set(oid) == {"0"}:
                         state = "absent"
-                    elif mode not in ("100644", "100755"):
+                    elif mode not in PLAIN:
                         state, reason = "unavailable", "unsupported_object"
+                    elif sizes[oid] > X.MAX_SOURCE_BYTES:
+                        state, reason = "unavailable", "size_limit"
                     else:
-                        data = _git(repository, "cat-file", "blob", oid)
-                        if len(data) > X.MAX_SOURCE_BYTES:
-                            state, reason = "unavailable", "size_limit"
-                        else:
-                            try:
-                                text = data.decode("utf-8")
-                                if "\0" in text:
-                                    raise UnicodeDecodeError("utf-8", data, 0, 1, "NUL")
-                            except UnicodeDecodeError:
-                                state, reason, text = "unavailable", "binary_or_non_utf8", None
+                        text = _text(_git(repository, "cat-file", "blob", oid))
+                        if text is None:
+                            state, reason = "unavailable", "binary_or_non_utf8"
                     sides[side] = {"path": r.path, "state": state, "coverage": "full" if state == "supplied" else None, "reason": reason}
                     texts[side] = text
                 patch = None
                 if all(s["state"] != "unavailable" for s in sides.values()):
-                    whole = _git(repository, "diff", "--no-renames", "--no-color", "--no-ext-diff", base_sha, head_sha, "--", r.path).decode("utf-8", "replace")
-                    at = whole.find("\n@@ ")
-                    patch = whole[at + 1 :] if at >= 0 else ""
+                    patch = _git(repository, "diff", "--no-renames", "--no-color", "--no-ext-diff", "--no-textconv", base_sha, head_sha, "--", r.path).decode("utf-8")
                 out.append((r.rec_idx, r.path, sides["base"], sides["head"], texts["base"], texts["head"], patch))
             import pandas as pd
 
             yield pd.DataFrame(out, columns=["rec_idx", "path", "base", "head", "base_text", "head_text", "patch"])
 
     raw = listed.repartition(4).mapInPandas(read, f"rec_idx int, path string, base {schemas.SIDE}, head {schemas.SIDE}, base_text string, head_text string, patch string")
+    raw = materialize(raw, "git-files")
+    if (raw.agg(F.sum(F.octet_length("patch"))).first()[0] or 0) > most_bytes:
+        raise ValueError("the patches exceed their bytes")
     snapshot = F.lit(int(hashlib.sha256(f"{base_sha}{head_sha}".encode()).hexdigest()[:15], 16)).cast("long").alias("snapshot_id")
     sides = raw.select(snapshot, "rec_idx", "path", F.explode(F.array(F.struct(F.lit("base").alias("side"), F.col("base_text").alias("text")), F.struct(F.lit("head").alias("side"), F.col("head_text").alias("text")))).alias("s")).where("s.text is not null")
     idx = F.col("rec_idx") * 2 + F.when(F.col("s.side") == "head", 1).otherwise(0)
     fragments = sides.select("snapshot_id", idx.alias("idx"), F.lit(None).cast("string").alias("repository"), "s.side", "path", "s.text", F.lit(1).alias("start_line"), F.lit("full").alias("scope"), F.lit(None).cast("string").alias("region"), F.lit(None).cast("string").alias("syntax"), F.lit(None).cast("timestamp").alias("ingested_at"))
-    meta = spark.range(1).select(snapshot, F.lit(base_sha).alias("base_sha"), F.lit(head_sha).alias("head_sha"), F.lit("full").alias("scope"), F.lit(None).cast("string").alias("repository"), F.lit(len(rows)).alias("changed_files"))
+    meta = spark.range(1).select(snapshot, F.lit(base_sha).alias("base_sha"), F.lit(head_sha).alias("head_sha"), F.lit("full").alias("scope"), F.lit(None).cast("string").alias("repository"), F.lit(len(rows)).alias("changed_files"), F.lit(sum(n for n in sizes.values() if n <= X.MAX_SOURCE_BYTES)).cast("long").alias("source_bytes"))
+    side = F.struct(F.lit("base").alias("side"), F.col("base.reason").alias("reason")), F.struct(F.lit("head").alias("side"), F.col("head.reason").alias("reason"))
+    skipped = raw.select(snapshot, "rec_idx", "path", F.posexplode(F.array(*side)).alias("ord", "s")).where("s.reason is not null")
+    skipped = skipped.select("snapshot_id", (F.col("rec_idx") * 2 + F.col("ord")).alias("ord"), F.concat(F.lit("Skipped "), "s.side", F.lit(" "), "path", F.lit(": "), "s.reason").alias("warning"))
     return {
         "meta": meta,
         "fragments": fragments.withColumn("fragment_id", X.stable_id(F.col("side"), F.col("path"), F.col("start_line"), F.col("idx"))),
         "file_evidence": raw.select(snapshot, "rec_idx", "base", "head"),
         "patches": raw.select(snapshot, "path", F.lit("git").alias("origin"), "patch"),
+        "warnings": skipped,
     }
 
 
@@ -296,10 +325,10 @@ def render_html(report: dict, title: str) -> str:
 
 def read_reports(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The tables that ``write_tables`` wrote, once their manifest says that they are whole and their rows are all there."""
-    manifest = {r["name"]: r["n_rows"] for r in spark.read.schema("name string, n_rows long").json(f"{folder}/manifest").collect()}
-    out = {name: spark.read.parquet(f"{folder}/{name}") for name in manifest}
+    manifest = {r["name"]: r for r in spark.read.schema("name string, version string, n_rows long").json(f"{folder}/manifest").collect()}
+    out = {name: spark.read.parquet(f"{folder}/{r['version']}/{name}") for name, r in manifest.items()}
     for name, df in out.items():
-        if df.count() != manifest[name]:
+        if df.count() != manifest[name]["n_rows"]:
             raise ValueError(f"table {name} is not whole")
     return out
 

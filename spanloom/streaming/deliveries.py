@@ -25,9 +25,9 @@ def upsert_first(batch: DataFrame, folder: str, key: str = "fragment_id") -> Non
     """``foreachBatch`` sink that adds the records a table does not have yet; a batch that comes again adds nothing."""
     spark = batch.sparkSession
     fresh = batch.dropDuplicates([key])
-    try:
-        known = spark.read.parquet(folder).select(key)
-        fresh = fresh.join(known, key, "left_anti")
-    except Exception:  # noqa: BLE001  the table does not exist before its first batch
-        pass
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Only a folder without a table is a table without rows; any failure to read one that is there is a failure.
+    if system.exists(path) and system.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+        fresh = fresh.join(spark.read.schema(batch.select(key).schema).parquet(folder), key, "left_anti")
     fresh.write.mode("append").parquet(folder)

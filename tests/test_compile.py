@@ -98,6 +98,8 @@ def test_extraction_cases():
     assert f["local_bindings"] == ["x", "y"] and f["assertions"] == ["assert y"] and f["raises"]
     assert (n["name"], p["name"]) == ("N", "P, Q")
     assert [(i["local"], i["module"], i["name"], i["level"], i["top_level"]) for i in ok["imports"]] == [("a", "a.b", None, 0, True), ("d", "", "c", 1, True)]
+    nested = extract.read_source("try:\n    pass\nexcept E:\n    import a\nelse:\n    if x:\n        import b\nfinally:\n    import c\n", "m.py", None, 1)["imports"]
+    assert [i["local"] for i in nested] == ["c", "a", "b"] and not any(i["top_level"] for i in nested)
     assert extract.read_source("x = 1\ry = 2\n", "m.py", None, 1)["status"] == "text_only"
     assert extract.read_source("x", "m.js", None, 1)["status"] == extract.read_source("x", "m.py", "text", 1)["status"] == "text_only"
     bad = extract.read_source("def (", "m.py", None, 1)

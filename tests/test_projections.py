@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from spanloom.functions import labels
 from spanloom.operators import diff, integrity, packet, projections
 from spanloom.plans import compile as plan
 from spanloom.sources import snapshots
@@ -54,7 +55,15 @@ def test_projections_of_a_report(spark, demo):
     assert "app/core\\.py" in terms.pattern and terms.pattern.index("tests/test_core") < terms.pattern.index("|load")
     assert projections.item_sizes(c.groups, "group_id").where("n_bytes <= 0").count() == 0
     assert any("load" in r.summary for r in projections.group_names(c.changes, c.members).collect())
-    assert all(r.questions for r in projections.group_narratives(c.groups, c.changes).collect())
+    told = {r.group_id: r for r in projections.group_narratives(c.groups, c.changes, c.members).collect()}
+    themes = {r.group_id: r.theme for r in c.groups.collect()}
+    assert set(told) == set(themes)
+    for k, r in told.items():
+        if themes[k] == "tests":
+            assert r.questions == [labels.QUESTION_TESTS] and r.intent == labels.INTENT_TESTS
+        if themes[k] == "wiring":
+            assert r.invariants == [labels.INVARIANT_WIRING] and r.intent == labels.INTENT_WIRING
+        assert r.takeaway.startswith("You have inspected ") and r.provenance == labels.PROVENANCE and r.before and r.after
     (manual,) = projections.manual_packet(c.groups, c.changes, c.test_links).collect()
     assert [g.number for g in manual.groups] == list(range(1, len(manual.groups) + 1)) and manual.tests
     assert c.raw_files.select(F.size(projections.bare_hunks(F.col("residual.hunks"))).alias("n")).where("n > 0").count() == c.raw_files.count()

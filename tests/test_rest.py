@@ -37,6 +37,9 @@ def test_git_source_reads_commits_only(spark, tmp_path):
     texts = {(r.side, r.path): r.text for r in t["fragments"].collect()}
     assert texts["head", "a.py"] == "x = 2\r\ny = 'ü'"
     patches = {r.path: r.patch for r in t["patches"].collect()}
+    assert patches["a.py"].startswith("diff --git a/a.py") and {r.warning for r in t["warnings"].collect()} == {f"Skipped {s} b.bin: binary_or_non_utf8" for s in ("base", "head")}
+    with pytest.raises(ValueError, match="bytes"):
+        snapshots.read_git(spark, str(tmp_path), "HEAD~1", "HEAD", most_bytes=10)
     assert patches["b.bin"] is None and diff.bind_patch(patches["a.py"], texts["base", "a.py"], texts["head", "a.py"])
     c = plan.compile_snapshots(t["fragments"], t["file_evidence"], t["patches"])
     assert {r.residual.patch_status for r in c.raw_files.collect()} == {"captured"}
@@ -191,11 +194,33 @@ def test_runs_keep_their_budget(tmp_path):
     assert calls.count("bad") == 2
     with pytest.raises(ValueError, match="another run"):
         runs.Run(tmp_path / "l.json", "other")
-    late = runs.Run(tmp_path / "late.json", "id", clock=lambda: time.time())
-    late.state["deadline"] = 0
+    now = [time.time()]
+    late = runs.Run(tmp_path / "late.json", "id", clock=lambda: now[0])
+    now[0] += runs.MOST_SECONDS
     with pytest.raises(TimeoutError):
         late.call("x", send, str)
-    assert runs.Run(tmp_path / "p.json", "id").parallel(["x", "y"], send, str) == ["X", "Y"]
+    with pytest.raises(ValueError, match="size"):
+        runs.Run(tmp_path / "long.json", "id").call("x", lambda x: "x" * (runs.MOST_REPLY_BYTES + 1), str)
+
+
+def test_parallel_requests_stay_within_the_budget(tmp_path):
+    calls = []
+
+    def send(x):
+        calls.append(x)
+        return x.upper()
+
+    assert runs.Run(tmp_path / "p.json", "id").parallel(["x", "y", "x"], send, str) == ["X", "Y", "X"] and sorted(calls) == ["x", "y"]
+    calls.clear()
+    many = runs.Run(tmp_path / "many.json", "id")
+    with pytest.raises(RuntimeError, match="attempt"):
+        many.parallel([f"r{i}" for i in range(20)], send, str)
+    assert calls == []
+    # A second run on the ledger shares its budget.
+    assert len(many.parallel([f"r{i}" for i in range(8)], send, str)) == 8
+    with pytest.raises(RuntimeError, match="attempt"):
+        runs.Run(tmp_path / "many.json", "id").parallel([f"s{i}" for i in range(5)], send, str)
+    assert len(calls) == 8
 
 
 def test_streams_drop_redeliveries(spark, tmp_path):
