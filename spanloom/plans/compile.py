@@ -36,7 +36,7 @@ class Compiled:
 
 def symbol_changes(symbols: DataFrame, pairs: DataFrame, coverage: DataFrame) -> DataFrame:
     """Changes of matched and of unmatched declarations; a pair of one path and equal source is none."""
-    record = F.struct("symbol_id", "path", "name", "node_type", "start", "end", "source", F.sha2("fingerprint", 256).alias("fingerprint"), F.sha2("rename_fingerprint", 256).alias("rename_fingerprint"), "doc", "signature", "is_test", "fragment_id")
+    record = F.struct("symbol_id", "path", "name", "node_type", "start", "end", "source", "fingerprint", "rename_fingerprint", "doc", "signature", "is_test", "fragment_id")
     once = symbols.dropDuplicates(["snapshot_id", "side", "symbol_id"])
     old = once.where("side = 'base'").select("snapshot_id", F.col("symbol_id").alias("before_id"), record.alias("before"))
     new = once.where("side = 'head'").select("snapshot_id", F.col("symbol_id").alias("after_id"), record.alias("after"))
@@ -202,7 +202,7 @@ def compile_snapshots(fragments: DataFrame, file_evidence: DataFrame, patches: D
     symbols = materialize(extract.symbols(parsed), "compile-symbols")
     imports = extract.imports(parsed)
     coverage = materialize(evidence.file_coverage(file_evidence, parsed.select("snapshot_id", "fragment_id", "idx", "side", "path", F.col("extraction.status").alias("status"))), "compile-coverage")
-    pairs = materialize(match.match_symbols(symbols), "compile-pairs")
+    pairs = materialize(match.match_symbols(symbols, parsed), "compile-pairs")
     declared = materialize(symbol_changes(symbols, pairs, coverage), "compile-declared")
     raw = materialize(raw_changes(parsed, file_evidence, patches, coverage, declared), "compile-raw")
     changes = materialize(declared.unionByName(residual_changes(raw, declared)).dropDuplicates(["snapshot_id", "change_id"]), "compile-changes")

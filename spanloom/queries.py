@@ -101,15 +101,6 @@ def patch_bytes(spark: SparkSession, sf: str) -> DataFrame:
     return tables.patch_bytes(table(spark, sf, "patches"))
 
 
-@query(f"""WITH d AS (SELECT fragment_id, sha256(text) AS digest FROM demo), listed AS (SELECT DISTINCT * FROM d), now AS (SELECT fragment_id, min(digest) AS digest FROM d GROUP BY 1)
- SELECT coalesce(l.fragment_id, n.fragment_id) AS path, CASE WHEN n.digest IS NULL THEN 'missing' WHEN l.digest IS NULL THEN 'unlisted' ELSE 'changed' END AS fault
- FROM listed l FULL JOIN now n ON l.fragment_id = n.fragment_id WHERE l.digest IS DISTINCT FROM n.digest""")
-def manifest_faults(spark: SparkSession, sf: str) -> DataFrame:
-    """Fragments whose deliveries differ in content: none."""
-    d = table(spark, sf, "demo").select(F.col("fragment_id").alias("path"), X.digest(F.col("text")).alias("digest"))
-    return snapshots.verify_manifest(d.distinct(), d.groupBy("path").agg(F.min("digest").alias("digest")))
-
-
 # -- scalar functions ------------------------------------------------------------------------------
 @query(f"SELECT fragment_id, sha256(text) AS digest FROM {ONCE}")
 def content_digests(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,11 +182,6 @@ def evidence_sides(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.evidence_sides(table(spark, sf, "file_evidence"))
 
 
-@query("SELECT base.state AS base_state, head.state AS head_state, count(*) AS n FROM file_evidence GROUP BY ALL")
-def evidence_states(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "file_evidence").groupBy(F.col("base.state").alias("base_state"), F.col("head.state").alias("head_state")).agg(F.count("*").alias("n"))
-
-
 @query(f"""SELECT s.snapshot_id, s.side, s.path, CAST(coalesce(f.n, 0) AS BIGINT) AS n_fragments, s.state = 'absent' AS absent, coalesce(s.state = 'supplied' AND s.coverage = 'full', false) AS full_source
  FROM {SIDES} s LEFT JOIN (SELECT snapshot_id, side, path, count(*) AS n FROM {ONCE} GROUP BY ALL) f ON s.snapshot_id = f.snapshot_id AND s.side = f.side AND s.path = f.path""")
 def file_coverage(spark: SparkSession, sf: str) -> DataFrame:
@@ -232,7 +218,7 @@ def unmatched_files(spark: SparkSession, sf: str) -> DataFrame:
     return match.without(rows, match.unique_pairs(rows, [F.col("path")])).groupBy("side").agg(F.count("*").alias("n"))
 
 
-_PATCH_ROWS = """(WITH l AS (SELECT snapshot_id, path, i, string_split(patch, chr(10))[i] AS raw FROM (SELECT snapshot_id, path, patch, unnest(range(1, len(string_split(patch, chr(10))) + 1)) AS i FROM patches WHERE patch IS NOT NULL)),
+patch_rows_sql = """(WITH l AS (SELECT snapshot_id, path, i, string_split(patch, chr(10))[i] AS raw FROM (SELECT snapshot_id, path, patch, unnest(range(1, len(string_split(patch, chr(10))) + 1)) AS i FROM patches WHERE patch IS NOT NULL)),
  h AS (SELECT *, regexp_matches(regexp_replace(raw, '\\r$', ''), '^@@ -(\\d+)(?:,\\d+)? \\+(\\d+)(?:,\\d+)? @@') AS head FROM l),
  n AS (SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY snapshot_id, path ORDER BY i) AS hunk FROM h),
  k AS (SELECT *, CASE WHEN head THEN NULL WHEN raw[1] = '+' THEN 'add' WHEN raw[1] = '-' THEN 'delete' ELSE 'context' END AS tag FROM n WHERE hunk > 0 AND (head OR raw[1] IN (' ', '+', '-'))),
@@ -241,20 +227,20 @@ _PATCH_ROWS = """(WITH l AS (SELECT snapshot_id, path, i, string_split(patch, ch
  FROM s WINDOW w AS (PARTITION BY snapshot_id, path, hunk ORDER BY i) QUALIFY tag IS NOT NULL)"""
 
 
-@query(f"SELECT snapshot_id, path, hunk, tag, CAST(old AS INT) AS old, CAST(new AS INT) AS new, sha256(raw[2:]) AS text FROM {_PATCH_ROWS}")
+@query(f"SELECT snapshot_id, path, hunk, tag, CAST(old AS INT) AS old, CAST(new AS INT) AS new, sha256(raw[2:]) AS text FROM {patch_rows_sql}")
 def patch_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of all patches with line numbers, by windows alone."""
     return diff.patch_lines(table(spark, sf, "patches").select("snapshot_id", "path", "patch")).select("snapshot_id", "path", "hunk", "tag", "old", "new", F.sha2("text", 256).alias("text"))
 
 
-@query(f"SELECT snapshot_id, count(*) FILTER (tag = 'add') AS additions, count(*) FILTER (tag = 'delete') AS deletions FROM {_PATCH_ROWS} GROUP BY 1")
+@query(f"SELECT snapshot_id, count(*) FILTER (tag = 'add') AS additions, count(*) FILTER (tag = 'delete') AS deletions FROM {patch_rows_sql} GROUP BY 1")
 def patch_counts(spark: SparkSession, sf: str) -> DataFrame:
     rows = diff.patch_lines(table(spark, sf, "patches").select("snapshot_id", "path", "patch"))
     return rows.groupBy("snapshot_id").agg(F.count_if(F.col("tag") == "add").alias("additions"), F.count_if(F.col("tag") == "delete").alias("deletions"))
 
 
 _RUNS = f"""(SELECT snapshot_id, path, side, min(line) AS start, max(line) AS "end" FROM (SELECT *, line - row_number() OVER (PARTITION BY snapshot_id, path, side ORDER BY line) AS g FROM
- (SELECT DISTINCT snapshot_id, path, tag AS side, CASE WHEN tag = 'delete' THEN old ELSE new END AS line FROM {_PATCH_ROWS} WHERE tag <> 'context')) GROUP BY snapshot_id, path, side, g)"""
+ (SELECT DISTINCT snapshot_id, path, tag AS side, CASE WHEN tag = 'delete' THEN old ELSE new END AS line FROM {patch_rows_sql} WHERE tag <> 'context')) GROUP BY snapshot_id, path, side, g)"""
 
 
 @query(f'SELECT snapshot_id, path, side, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end" FROM {_RUNS}')
@@ -289,30 +275,12 @@ def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return packet.overlapping(spans.withColumnRenamed("o_orderkey", "a"), spans.withColumnRenamed("o_orderkey", "b"), ["custkey"]).where("a < b").select("custkey", "a", "b")
 
 
-@query("SELECT p_brand, arg_max(p_type, (n, p_type)) AS p_type FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) GROUP BY 1")
-def argmax_parent(spark: SparkSession, sf: str) -> DataFrame:
-    """The commonest type of each brand, ties by name: the engine's choice of a parent group."""
-    counted = table(spark, sf, "part").groupBy("p_brand", "p_type").agg(F.count("*").alias("n"))
-    return counted.groupBy("p_brand").agg(F.max_by("p_type", F.struct("n", "p_type")).alias("p_type"))
-
-
 @query("SELECT user_id, array_to_string(list(event_type ORDER BY t, event_type), ',') AS items FROM (SELECT user_id, event_type, min(event_id) AS t FROM events GROUP BY 1, 2) GROUP BY 1")
 def ordered_distinct(spark: SparkSession, sf: str) -> DataFrame:
     out = packet.ordered_distinct(table(spark, sf, "events"), ["user_id"], "event_type", "event_id")
     return out.select("user_id", F.array_join("items", ",").alias("items"))
 
 
-@query("SELECT event_type AS kind, count(*) AS n FROM events GROUP BY 1")
-def kind_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT user_id, event_id, CAST(row_number() OVER w AS INT) AS number, lead(event_id) OVER w AS next_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-def next_pointers(spark: SparkSession, sf: str) -> DataFrame:
-    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf, "events").select("user_id", "event_id", F.row_number().over(along).alias("number"), F.lead("event_id").over(along).alias("next_id"))
-
-
 @query("""WITH e AS (SELECT c.c_nationkey AS a, s.s_nationkey AS b, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE c.c_nationkey <> s.s_nationkey GROUP BY 1, 2),
  g AS (SELECT x.a, x.b FROM e x LEFT JOIN e y ON x.a = y.b AND x.b = y.a WHERE x.n > coalesce(y.n, 0)),
  r AS (SELECT DISTINCT a, b FROM (WITH RECURSIVE t(a, b) AS (SELECT a, b FROM g UNION SELECT t.a, g.b FROM t JOIN g ON t.b = g.a) SELECT * FROM t))
@@ -330,12 +298,6 @@ def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select(F.col("node").cast("int").alias("nation"), F.col("component").cast("int").alias("component"))
 
 
-@query(f"""SELECT snapshot_id, side, path, fragment_id FROM (SELECT *, max("end") OVER (PARTITION BY snapshot_id, side, path ORDER BY start, "end", fragment_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM
- (SELECT snapshot_id, side, path, fragment_id, start_line AS start, start_line + len({LINES.format('text')}) - 1 AS "end" FROM {ONCE} WHERE text <> '')) WHERE reached >= start""")
-def overlap_violations(spark: SparkSession, sf: str) -> DataFrame:
-    return integrity.overlapping_ranges(fragments(spark, sf)).select("snapshot_id", "side", "path", "fragment_id")
-
-
 @query(f"""WITH f AS (SELECT snapshot_id, side, path, count(*) AS n, min(start_line) AS first, max(CASE WHEN coalesce(scope, 'full') NOT IN ('full', 'complete') THEN scope END) AS excerpt FROM {ONCE} GROUP BY 1, 2, 3),
  b AS (SELECT coalesce(s.snapshot_id, f.snapshot_id) AS snapshot_id, coalesce(s.side, f.side) || ' ' || coalesce(s.path, f.path) AS item, s.state, s.coverage, coalesce(f.n, 0) AS n, f.first, f.excerpt FROM {SIDES} s FULL JOIN f ON s.snapshot_id = f.snapshot_id AND s.side = f.side AND s.path = f.path)
  SELECT rule, count(*) AS n FROM (SELECT 'supplied side has a fragment' AS rule FROM b WHERE state = 'supplied' AND n = 0 UNION ALL SELECT 'whole file in one fragment' FROM b WHERE state = 'supplied' AND coverage = 'full' AND n > 1
@@ -369,11 +331,6 @@ def cited_lines(spark: SparkSession, sf: str) -> DataFrame:
     return each_fragment(spark, sf, cited.alias("cited")).where("cited is not null").withColumnRenamed("fragment_id", "source_id")
 
 
-@query("SELECT repository, count(*) AS n, count(*) FILTER (patch IS NULL) AS unavailable, count(DISTINCT path) AS paths FROM patches GROUP BY 1")
-def patch_origins(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "patches").groupBy("repository").agg(F.count("*").alias("n"), F.count_if(F.col("patch").isNull()).alias("unavailable"), F.countDistinct("path").alias("paths"))
-
-
 @query("SELECT event_type, count(*) AS calls, count(*) FILTER (value IS NULL) AS unreported, CAST(coalesce(sum(CAST(round(value) AS BIGINT)), 0) AS BIGINT) AS input_tokens FROM events GROUP BY 1")
 def usage_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Sums over calls that reported them, and how many did not: the engine's accounting on events."""
@@ -382,13 +339,6 @@ def usage_totals(spark: SparkSession, sf: str) -> DataFrame:
     return writing.usage_totals(e, ["event_type"]).select("event_type", "calls", "unreported", "input_tokens")
 
 
-@query(f"SELECT snapshot_id, 'context' AS tag, count(*) AS n FROM {ONCE} WHERE NOT regexp_matches(fragment_id, '^[0-9a-f]{{16}}$') GROUP BY 1")
-def field_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """Identifiers that are not 16 hex digits: none."""
-    out = integrity.field_rules(fragments(spark, sf), ["fragment_id"], [], {})
-    return out.groupBy(F.col("snapshot_id").cast("long").alias("snapshot_id"), F.lit("context").alias("tag")).agg(F.count("*").alias("n"))
-
-
 # -- Python-backed operators and the whole compilation ---------------------------------------------
 @query()
 def parse_statuses(spark: SparkSession, sf: str) -> DataFrame:
@@ -400,7 +350,7 @@ def parse_statuses(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def symbol_table(spark: SparkSession, sf: str) -> DataFrame:
     out = extract.symbols(extract.extract(fragments(spark, sf)))
-    return out.select("snapshot_id", "symbol_id", "side", "path", "name", "node_type", "start", "end", "is_test", F.sha2("fingerprint", 256).alias("fingerprint"))
+    return out.select("snapshot_id", "symbol_id", "side", "path", "name", "node_type", "start", "end", "is_test", "fingerprint")
 
 
 @query()
@@ -410,7 +360,8 @@ def import_table(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def symbol_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return match.match_symbols(materialize(extract.symbols(extract.extract(fragments(spark, sf))), "symbols"))
+    once = fragments(spark, sf)
+    return match.match_symbols(materialize(extract.symbols(extract.extract(once)), "symbols"), once)
 
 
 @query()
@@ -422,8 +373,16 @@ def line_hunks(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("snapshot_id", "region", "hunk", "h.old_start", "h.old_count", "h.new_start", "h.new_count")
 
 
+#: The last compilation, by application and folder: its queries read the tables it has written.
+_LAST: dict[tuple[str, str], plan.Compiled] = {}
+
+
 def _compiled(spark: SparkSession, sf: str) -> plan.Compiled:
-    return plan.compile_snapshots(table(spark, sf, "demo"), table(spark, sf, "file_evidence"), table(spark, sf, "patches"))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = plan.compile_snapshots(table(spark, sf, "demo"), table(spark, sf, "file_evidence"), table(spark, sf, "patches"))
+    return _LAST[key]
 
 
 @query()
@@ -465,13 +424,6 @@ def writing_plan(spark: SparkSession, sf: str) -> DataFrame:
     return writing.pack_units(units, writing.SMALL_PACKET)
 
 
-@query()
-def writing_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts of snapshots whose patches exceed a limit, cut between files only."""
-    p = table(spark, sf, "patches").select("snapshot_id", F.dense_rank().over(Window.partitionBy("snapshot_id").orderBy("path")).alias("ord"), F.octet_length(F.coalesce("patch", F.lit(""))).cast("long").alias("bytes"))
-    return writing.split_atoms(p, 4096, ["snapshot_id"])
-
-
 @query()
 def canonical_requests(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of requests built from the titles of snapshots in canonical JSON."""
@@ -489,8 +441,12 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from spanloom import derived_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from spanloom import derived_queries  # noqa: F401
+
     return dict(SQL)

@@ -1,4 +1,8 @@
+import difflib
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.operators import evidence, extract, match, tables
@@ -118,6 +122,17 @@ def test_fingerprints_ignore_only_name_and_docstring():
     assert both("class A:\n    'only'\n")[1] == both("class B:\n    'other'\n")[1]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("abc", max_size=40), st.text("abc", max_size=40), st.sampled_from([0, 60, 100_000]))
+def test_ratios_are_those_of_matching_cell_by_cell(a, b, small):
+    saved, match.SMALL_PAIR = match.SMALL_PAIR, small
+    try:
+        assert match.ratio(a, b) == pytest.approx(difflib.SequenceMatcher(None, a, b, autojunk=False).ratio())
+        assert (match.ratio(a, b, 0.4) >= 0.4) == (match.ratio(a, b) >= 0.4)
+    finally:
+        match.SMALL_PAIR = saved
+
+
 def test_evidence_sides_and_coverage(spark):
     t = snapshots.from_files(spark, {"a.py": "", "b.py": "x"}, {"a.py": "y"})
     f = t["fragments"].withColumn("status", F.lit("ok"))

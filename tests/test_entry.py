@@ -10,7 +10,7 @@ from spanloom import queries as core
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings snapshot_meta demo file_evidence patches benchmark mix_targets".split()
-SAMPLE = ["fragment_sizes", "test_exclusions", "stable_ids", "line_counts", "file_coverage", "region_pairs", "staged_file_match", "patch_rows", "zipped_runs", "argmax_parent", "ordered_distinct", "coverage_violations", "packet_sources"]
+SAMPLE = ["fragment_sizes", "test_exclusions", "stable_ids", "line_counts", "file_coverage", "region_pairs", "staged_file_match", "patch_rows", "zipped_runs", "grouped_changes", "numbered_groups", "stats_rows", "definition_kinds", "staged_pairs", "planted_snapshot_faults", "planted_overlaps", "planted_manifest_faults", "planted_field_faults", "writing_splits", "ordered_distinct", "coverage_violations", "packet_sources"]
 
 
 def test_every_sql_has_its_query():
