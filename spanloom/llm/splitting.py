@@ -30,7 +30,7 @@ _CLOSES = re.compile(r"\s*(?:[)\]}]|else\b|elif\b|except\b|finally\b|catch\b|</|
 _INSIDE = (re.compile(r"[;}\]>]|[.!?。](?=\s)"), re.compile(r"[,:|&)]"), re.compile(r"\s"))
 
 PIECES = T.StructType([
-    T.StructField("piece", T.IntegerType()), T.StructField("start_line", T.IntegerType()), T.StructField("overlap_lines", T.IntegerType()),
+    T.StructField("piece", T.IntegerType()), T.StructField("start_line", T.IntegerType()), T.StructField("overlap_lines", T.IntegerType()), T.StructField("overlap_chars", T.IntegerType()),
     T.StructField("n_bytes", T.IntegerType()), T.StructField("piece_text", T.StringType()),
 ])
 
@@ -149,7 +149,8 @@ def split_text(text: str, path: str | None = None, limit: int = LIMIT, overlap:
 
 
 def split(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP_LINES, key: str = "fragment_id", path: str = "path", text: str = "text", start: str = "start_line") -> DataFrame:
-    """The pieces of every text larger than ``limit`` bytes, one row a piece: key, piece (from 1), start_line, overlap_lines, n_bytes, piece_text.
+    """The pieces of every text larger than ``limit`` bytes, one row a piece: key, piece (from 1), start_line,
+    overlap_lines and overlap_chars (what it repeats), n_bytes, piece_text.
 
     Texts within the limit, null and empty ones give no row. Repeated deliveries of a key count once. A null path
     is read as source, a null start line as 1. Columns besides the four named are not carried.
@@ -163,7 +164,7 @@ def split(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP_LINES, key:
             rows = []
             for k, p, t, s in batch.itertuples(index=False):
                 for i, (line, n, before, new) in enumerate(split_text(t, p, limit, overlap), 1):
-                    rows.append((k, i, s + line, n, len((before + new).encode("utf-8", "replace")), before + new))
+                    rows.append((k, i, s + line, n, len(before), len((before + new).encode("utf-8", "replace")), before + new))
             yield pd.DataFrame(rows, columns=[key, *PIECES.names])
 
     schema = T.StructType([T.StructField(key, df.schema[key].dataType), *PIECES.fields])
