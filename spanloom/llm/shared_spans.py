@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,8 +27,8 @@ from spanloom.session import materialize, spread
 LEAST, ANCHOR = 240, 120
 #: An anchor at more places than this is replaced by all hashes of ``least`` characters around it, and so many classes meet in one part.
 HOT = 200
-#: Characters hashed at a time.
-BATCH = 1 << 20
+#: Characters hashed at a time, and words of 64 bits in a map of keys, which is all that is ever broadcast, whatever the input.
+BATCH, MAP_WORDS = 1 << 20, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _TOP = np.uint64(2**64 - 1)
 _INVERSE = np.cumprod(np.concatenate([[np.uint64(1)], np.full(BATCH, np.uint64(pow(_BASE, -1, 2**64)))]), dtype=np.uint64)
@@ -204,6 +205,25 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _map_of(keys: DataFrame) -> Broadcast:
+    """A bit for each value of the long column ``h``, in MAP_WORDS words; values share bits, so it tells only what is surely absent."""
+    bit = F.expr("shiftleft(1L, cast(shiftright(h, 32) & 63 as int))")
+    told = keys.groupBy(F.pmod("h", F.lit(MAP_WORDS)).cast("int").alias("w")).agg(F.bit_or(bit).alias("b")).toPandas()
+    words = np.zeros(MAP_WORDS, np.int64)
+    words[told["w"].to_numpy(np.int64)] = told["b"].to_numpy(np.int64)
+    return keys.sparkSession.sparkContext.broadcast(words)
+
+
+def _may_be_in(keys: Broadcast, h: Column) -> Column:
+    """Whether a long may be among the keys of a map; what is not needs no shuffle."""
+
+    def test(h: pd.Series) -> pd.Series:
+        values = h.to_numpy(np.int64)
+        return pd.Series((keys.value[values % MAP_WORDS] >> ((values >> 32) & 63)) & 1 > 0)
+
+    return F.pandas_udf(test, "boolean")(h)
+
+
 def members(df: DataFrame, key: str, group: str, text: str, least: int) -> DataFrame:
     """Each record once with its class: member, of (its group), class, low and high (least and greatest group of the class).
 
@@ -234,7 +254,8 @@ def _shared_anchors(df: DataFrame, people: DataFrame, key: str, group: str, text
 
     texts = spread(df).where((F.length(F.col(text)) >= least) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(group).alias("of"), F.col(text).alias("t"))
     rows = materialize(texts.mapInPandas(find, f"k {kind}, low {of}, at int, h long"), "spans-anchors")
-    met = _met(rows.withColumn("high", F.col("low")), "h")
+    met = materialize(_met(rows.withColumn("high", F.col("low")), "h"), "spans-met")
+    rows = rows.where(_may_be_in(_map_of(met), F.col("h")))
     person = people.where(F.col("member") == F.col("class")).select("class", "low", "high")
     shared = rows.select(F.col("k").alias("class"), "at", "h").join(met, "h").join(person, "class")
     # Repeated deliveries of a record lie side by side here and count once.
@@ -249,10 +270,11 @@ def _exact(around: DataFrame, like: DataFrame, least: int, size: int) -> DataFra
 
     def closer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for c, low, high, at, t in batch[["class", "low", "high", "hot", "t"]].itertuples(index=False):
-                for a, b in neighbourhoods(len(t), list(at), least, size):
+            for c, low, high, at, n, parts in batch[["class", "low", "high", "hot", "n", "parts"]].itertuples(index=False):
+                for a, b in neighbourhoods(n, list(at), least, size):
+                    first, t = next((p["at"], p["t"]) for p in parts if p["at"] <= a and b <= p["at"] + len(p["t"]))
                     for begin in range(a, max(a + 1, b - least + 1), BATCH - least + 1):
-                        codes = np.frombuffer(t[begin : min(b, begin + BATCH)].encode("utf-32-le", "surrogatepass"), np.uint32)
+                        codes = np.frombuffer(t[begin - first : min(b, begin + BATCH) - first].encode("utf-32-le", "surrogatepass"), np.uint32)
                         if len(codes) >= least:
                             h, g = gram_hashes(codes, least), gram_hashes(codes ^ np.uint32(0x5BD1E995), least)
                             before = np.concatenate([[0], h[:-1]]).astype(np.uint64)
@@ -278,14 +300,23 @@ def _meeting(rows: DataFrame, *hashes: str) -> DataFrame:
 
 
 def _parts(df: DataFrame, shared: DataFrame, key: str, text: str, least: int, size: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(texts of the classes with the places of their shared anchors, anchors that few classes have, exact stretches around the others or None)."""
+    """(parts of the classes' texts around their shared anchors, anchors that few classes have, exact stretches around the others or None)."""
     crowd = shared.groupBy("h").agg(F.count("*").alias("n"))
     hot = materialize(crowd.where(F.col("n") > HOT).select("h"), "spans-hot")
     wanted = shared.groupBy("class").agg(F.collect_list("at").alias("places"))
-    texts = materialize(df.select(F.col(key).alias("class"), F.col(text).alias("t")).join(wanted, "class").dropDuplicates(["class"]), "spans-texts")
+    kind = shared.schema["class"].dataType.simpleString()
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(c, len(t), [{"at": a, "t": t[a:b]} for a, b in neighbourhoods(len(t), list(places), least, size)]) for c, t, places in batch[["class", "t", "places"]].itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=["class", "n", "parts"])
+
+    named = _may_be_in(_map_of(wanted.select(F.xxhash64("class").alias("h"))), F.xxhash64(F.col(key)))
+    whole = df.where(F.col(key).isNotNull() & named).select(F.col(key).alias("class"), F.col(text).alias("t")).join(wanted, "class").dropDuplicates(["class"])
+    texts = materialize(whole.mapInPandas(cut, f"class {kind}, n int, parts array<struct<at:int,t:string>>"), "spans-texts")
     if hot.isEmpty():
         return texts, shared, None
-    around = shared.join(hot, "h").groupBy("class", "low", "high").agg(F.collect_list("at").alias("hot")).join(texts.select("class", "t"), "class")
+    around = shared.join(hot, "h").groupBy("class", "low", "high").agg(F.collect_list("at").alias("hot")).join(texts, "class")
     exact = _exact(around, shared, least, size)
     exact = materialize(exact.join(_met(exact, "h", "g"), ["h", "g"]), "spans-exact")
     # What follows a hot anchor must meet by itself, since the hot one no longer names the pair.
@@ -297,8 +328,7 @@ def _parts(df: DataFrame, shared: DataFrame, key: str, text: str, least: int, si
 
 def _streamed(pairs: DataFrame, texts: DataFrame, kind: str, least: int, size: int, both: bool) -> DataFrame:
     """The pairs that share a stretch: a, b, the spans of b's text that stand in a's (in_b), and with ``both`` of a's in b's (in_a)."""
-    left = texts.select(F.col("class").alias("a"), F.col("t").alias("a_text"), F.col("places").alias("a_places"))
-    right = texts.select(F.col("class").alias("b"), F.col("t").alias("b_text"), F.col("places").alias("b_places"))
+    left, right = (texts.select(F.col("class").alias(x), F.col("parts").alias(f"{x}_parts")) for x in "ab")
     # The second join leaves each shard's documents side by side; a crowded shard is split by the skew join.
     joined = pairs.join(right, "b").join(left, "a").sortWithinPartitions("a")
 
@@ -306,21 +336,20 @@ def _streamed(pairs: DataFrame, texts: DataFrame, kind: str, least: int, size: i
         name, shard = None, None
         for batch in batches:
             out = []
-            for x, y, xt, yt, xp, yp in batch[["a", "b", "a_text", "b_text", "a_places", "b_places"]].itertuples(index=False):
+            for x, y, xp, yp in batch[["a", "b", "a_parts", "b_parts"]].itertuples(index=False):
                 if shard is None or name != x:
-                    name, shard = x, SuffixAutomaton([xt[i:j] for i, j in neighbourhoods(len(xt), list(xp), least, size)])
-                there = neighbourhoods(len(yt), list(yp), least, size)
+                    name, shard = x, SuffixAutomaton([p["t"] for p in xp])
                 found = []
-                for i, j in there:
-                    found += [(i + s, i + e) for s, e in shard.spans(yt[i:j], least, not both)]
+                for p in yp:
+                    found += [(p["at"] + s, p["at"] + e) for s, e in shard.spans(p["t"], least, not both)]
                     if found and not both:
                         break
                 if found:
                     back = []
                     if both:
-                        other = SuffixAutomaton([yt[i:j] for i, j in there])
-                        for i, j in neighbourhoods(len(xt), list(xp), least, size):
-                            back += [(i + s, i + e) for s, e in other.spans(xt[i:j], least)]
+                        other = SuffixAutomaton([p["t"] for p in yp])
+                        for p in xp:
+                            back += [(p["at"] + s, p["at"] + e) for s, e in other.spans(p["t"], least)]
                     out.append((x, y, [{"s": s, "e": e} for s, e in merge(back)], [{"s": s, "e": e} for s, e in merge(found)]))
             yield pd.DataFrame(out, columns=["a", "b", "in_a", "in_b"])
 
