@@ -30,8 +30,8 @@ BLOCK = 4_000_000
 #: Of an item's short n-grams one in so many, and so many at least, must be in a document to have it aligned.
 SHORT_PART, LEAST_SHORT = 5, 4
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Cells of the alignments that are scored at once.
-CELLS = 1 << 18
+#: Columns of the alignments that are scored at once.
+CELLS = 1 << 16
 _WORD = re.compile(r"[^\W_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,47 +108,71 @@ class SeedIndex:
         return {g: sorted(i) for g, i in out.items()}
 
 
-def align_many(items: list[np.ndarray], doc: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Local alignment of each of ``items`` with ``doc``, all sequences of word numbers: (score, longest run of equal words, first and last document word of the best alignment)."""
-    if not len(doc):
-        return [(0, 0, 0, 0)] * len(items)
-    m, n = len(items), len(doc)
-    # The filling is no word of any document, and what follows an item's end never scores more than its best.
-    table = np.full((m, max(map(len, items))), -1, np.int32)
-    for k, item in enumerate(items):
+def align_pairs(items: list[np.ndarray], docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """Local alignment of each item with the document beside it, all sequences of word numbers: (score, longest run of equal words, first and last document word of the best alignment).
+
+    Pairs of like lengths are scored together, CELLS columns at a time.
+    """
+    out: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)] * len(items)
+    order = sorted((k for k in range(len(items)) if len(docs[k]) and len(items[k])), key=lambda k: (len(docs[k]), len(items[k])))
+    while order:
+        # The last has the longest document.
+        width = len(docs[order[-1]]) + 1
+        part, order = order[-max(1, CELLS // width) :], order[: -max(1, CELLS // width)]
+        for k, r in zip(part, _aligned([items[k] for k in part], [docs[k] for k in part])):
+            out[k] = r
+    return out
+
+
+def _aligned(items: list[np.ndarray], docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+    m, n = len(items), max(map(len, docs))
+    # The fillings are no words, and what follows an end never scores more than the best before it.
+    table, doc = np.full((m, max(map(len, items))), -1, np.int32), np.full((m, n), -2, np.int32)
+    for k, (item, d) in enumerate(zip(items, docs)):
         table[k, : len(item)] = item
-    doc = doc.astype(np.int32)
+        doc[k, : len(d)] = d
     # A cell is its score and, below it, the place where its alignment begins, so that one maximum moves both; of equal
     # scores the later begin stands.
     shift = n + 1
-    places = np.arange(n + 1, dtype=np.int64)
-    slope = places * (-GAP * shift)
-    above, runs = np.tile(places, (m, 1)), np.zeros((m, n + 1), np.int32)
-    best, longest = np.zeros(m, np.int64), np.zeros(m, np.int32)
-    last = np.zeros(m, np.int64)
+    kind = np.int32 if shift * (shift + MATCH * table.shape[1] + 2) < 2**31 else np.int64
+    places = np.arange(shift, dtype=kind)
+    slope = places * kind(-GAP * shift)
+    match, mismatch, gap = kind(MATCH * shift), kind(MISMATCH * shift), kind(GAP * shift)
+    above, cell = np.tile(places, (m, 1)), np.empty((m, shift), kind)
+    runs, run = np.zeros((m, shift), np.int32), np.zeros((m, shift), np.int32)
+    best, last, longest = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int32)
+    rows = np.arange(m)
     for word in table.T:
         equal = doc == word[:, None]
-        cell = np.empty((m, n + 1), np.int64)
         cell[:, 0] = 0
-        np.add(above[:, :-1], np.where(equal, MATCH * shift, MISMATCH * shift), out=cell[:, 1:])
-        np.maximum(cell[:, 1:], above[:, 1:] + GAP * shift, out=cell[:, 1:])
+        np.add(above[:, :-1], np.where(equal, match, mismatch), out=cell[:, 1:])
+        above += gap
+        np.maximum(cell[:, 1:], above[:, 1:], out=cell[:, 1:])
         np.maximum(cell, places, out=cell)
         cell += slope
         np.maximum.accumulate(cell, axis=1, out=cell)
         cell -= slope
         np.maximum(cell, places, out=cell)
-        runs[:, 1:] = np.where(equal, runs[:, :-1] + 1, 0)
-        above = cell
-        # Of equal scores the first place stands.
-        k = (cell // shift).argmax(axis=1)
-        top = cell[np.arange(m), k]
-        better = top // shift > best // shift
-        best, last = np.where(better, top, best), np.where(better, k - 1, last)
-        longest = np.maximum(longest, runs.max(axis=1))
+        run[:, 1:] = (runs[:, :-1] + 1) * equal
+        runs, run = run, runs
+        above, cell = cell, above
+        top = above.max(axis=1) // shift
+        better = top > best // shift
+        if better.any():
+            # Of equal scores the first place stands.
+            at = rows[better]
+            k = (above[at] // shift).argmax(axis=1)
+            best[at], last[at] = above[at, k], k - 1
+        np.maximum(longest, runs.max(axis=1), out=longest)
     score = best // shift
     return list(zip(score.tolist(), longest.tolist(), np.where(score > 0, best % shift, 0).tolist(), last.tolist()))
 
 
+def align_many(items: list[np.ndarray], doc: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """``align_pairs`` of several items with one document."""
+    return align_pairs(items, [doc] * len(items))
+
+
 def align(item: np.ndarray, doc: np.ndarray) -> tuple[int, int, int, int]:
     """``align_many`` of one item."""
     return align_many([item], doc)[0]
@@ -165,24 +189,33 @@ def _windows(places: list[int], reach: int, end: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _rows(index: SeedIndex, key: object, ids: np.ndarray, places: dict[int, list[int]]) -> Iterator[tuple]:
-    """The row of each item with seeds at ``places`` of the document with the word numbers ``ids``."""
-    own = {item: index.numbers(index.items[item]) for item in places}
-    # Items that meet the same stretch, as all do in a short document, are aligned together.
-    meet: dict[tuple[int, int], list[int]] = {}
-    for item, ps in places.items():
-        for window in _windows(ps, 2 * len(own[item]), len(ids)):
-            meet.setdefault(window, []).append(item)
-    results: dict[int, list[tuple]] = {}
-    for (a, b), items in meet.items():
-        step = max(1, CELLS // (b - a))
-        for k in range(0, len(items), step):
-            part = items[k : k + step]
-            for item, r in zip(part, align_many([own[i] for i in part], ids[a:b])):
-                results.setdefault(item, []).append((*r, a))
-    for item, found in results.items():
-        best = max(found)
-        yield key, item, max(r[1] for r in found), best[0], best[0] / (MATCH * len(own[item])), best[4] + best[2], best[4] + best[3], len(places[item])
+def _rows(index: SeedIndex, found: Iterator[tuple[object, np.ndarray, dict[int, list[int]]]]) -> Iterator[list[tuple]]:
+    """The rows of documents (key, word numbers, places of each item's seeds), some documents at a time, so that their pairs are aligned together."""
+    own: dict[int, np.ndarray] = {}
+    waiting: list[tuple[object, int, int, int, np.ndarray]] = []
+    cells = 0
+
+    def aligned() -> list[tuple]:
+        best: dict[tuple, list[tuple]] = {}
+        for (key, item, seeds, a, _), r in zip(waiting, align_pairs([own[w[1]] for w in waiting], [w[4] for w in waiting])):
+            best.setdefault((key, item, seeds), []).append((*r, a))
+        out = []
+        for (key, item, seeds), results in best.items():
+            top = max(results)
+            out.append((key, item, max(r[1] for r in results), top[0], top[0] / (MATCH * len(own[item])), top[4] + top[2], top[4] + top[3], seeds))
+        return out
+
+    for key, ids, places in found:
+        for item, ps in places.items():
+            if item not in own:
+                own[item] = index.numbers(index.items[item])
+            for a, b in _windows(ps, 2 * len(own[item]), len(ids)):
+                waiting.append((key, item, len(ps), a, ids[a:b]))
+                cells += b - a
+        if cells > 8 * CELLS:
+            yield aligned()
+            waiting, cells = [], 0
+    yield aligned()
 
 
 COLUMNS = ["doc_id", "item_id", "longest_run", "score", "similarity", "first_word", "last_word", "seeds"]
@@ -213,17 +246,18 @@ def _block(documents: DataFrame, index: SeedIndex, doc_id: str, text: str, item_
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, t, _ in batch.itertuples(index=False):
-                ws = words(t)
-                at, grams = index.hits(ws)
-                places: dict[int, list[int]] = {}
-                for p, g in zip(at.tolist(), grams.tolist()):
-                    for item in seeds.get(g, ()):
-                        places.setdefault(item, []).append(p)
-                if places:
-                    rows += _rows(index, key, index.numbers(ws), places)
-            yield pd.DataFrame(rows, columns=COLUMNS)
+
+            def found() -> Iterator[tuple[object, np.ndarray, dict[int, list[int]]]]:
+                for key, t, _ in batch.itertuples(index=False):
+                    ids = index.numbers(words(t))
+                    places: dict[int, list[int]] = {}
+                    for p, g in zip(*(x.tolist() for x in index.hits_of(ids))):
+                        for item in seeds.get(g, ()):
+                            places.setdefault(item, []).append(p)
+                    yield key, ids, places
+
+            for rows in _rows(index, found()):
+                yield pd.DataFrame(rows, columns=COLUMNS)
 
     return found.mapInPandas(score, _schema(kind, item_type))
 
@@ -238,17 +272,19 @@ def _edited_block(documents: DataFrame, index: SeedIndex, short: SeedIndex, doc_
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, t in batch.itertuples(index=False):
-                ids = index.numbers(words(t))
-                _, grams = index.hits_of(ids)
-                at, shorts = short.hits_of(ids)
-                if len(grams) or len(shorts) and len(shorts) >= least:
-                    chosen = np.flatnonzero((index.shared(grams) > 0) | (short.shared(shorts) >= enough))
-                    # A common n-gram holds short ones, so these are all the places that count.
-                    places = {i: at[np.isin(shorts, short.of_item[i])].tolist() for i in (index.order[k] for k in chosen.tolist())}
-                    rows += _rows(index, key, ids, places)
-            yield pd.DataFrame(rows, columns=COLUMNS)
+
+            def found() -> Iterator[tuple[object, np.ndarray, dict[int, list[int]]]]:
+                for key, t in batch.itertuples(index=False):
+                    ids = index.numbers(words(t))
+                    _, grams = index.hits_of(ids)
+                    at, shorts = short.hits_of(ids)
+                    if len(grams) or len(shorts) and len(shorts) >= least:
+                        chosen = np.flatnonzero((index.shared(grams) > 0) | (short.shared(shorts) >= enough))
+                        # A common n-gram holds short ones, so these are all the places that count.
+                        yield key, ids, {i: at[np.isin(shorts, short.of_item[i])].tolist() for i in (index.order[k] for k in chosen.tolist())}
+
+            for rows in _rows(index, found()):
+                yield pd.DataFrame(rows, columns=COLUMNS)
 
     return spread(documents).select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(score, _schema(kind, item_type))
 
