@@ -14,8 +14,8 @@ from spanloom.functions import labels
 from spanloom.functions import text as X
 from spanloom.operators import diff, evidence, extract, integrity, match, tables
 from spanloom.plans import compile as plan
-from spanloom.plans import writing
-from spanloom.queries import LINES, ONCE, SIDES, TEST_PATH, each_fragment, fragments, patch_rows_sql, query
+from spanloom.plans import documents, writing
+from spanloom.queries import LINES, ONCE, SIDES, TEST_PATH, compiled, each_fragment, fragments, patch_rows_sql, query
 from spanloom.session import materialize, table
 from spanloom.sources import snapshots
 
@@ -194,3 +194,28 @@ def writing_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Parts of snapshots whose patches exceed a limit, cut between files only."""
     p = table(spark, sf, "patches").select("snapshot_id", F.dense_rank().over(Window.partitionBy("snapshot_id").orderBy("path")).alias("ord"), F.octet_length(F.coalesce("patch", F.lit(""))).cast("long").alias("bytes"))
     return writing.split_atoms(p, 4096, ["snapshot_id"])
+
+
+@query(f"""WITH m AS (SELECT DISTINCT snapshot_id FROM snapshot_meta), f AS (SELECT snapshot_id, count(*) AS n, CAST(sum(len({LINES.format('text')})) AS BIGINT) AS k FROM {ONCE} GROUP BY 1), e AS (SELECT snapshot_id, count(*) AS n FROM file_evidence GROUP BY 1)
+ SELECT snapshot_id, coalesce(f.n, 0) AS n_sources, coalesce(f.k, 0) AS n_lines, coalesce(e.n, 0) AS n_records, 12 AS n_fields FROM m LEFT JOIN f USING (snapshot_id) LEFT JOIN e USING (snapshot_id)""")
+def packet_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the packets of the compiled snapshots hold of the given tables."""
+    meta = tables.first_delivery(table(spark, sf, "snapshot_meta"), "snapshot_id").select("snapshot_id", "repository", "base_sha", "head_sha", "title", "description")
+    p = documents.packets(compiled(spark, sf), fragments(spark, sf), table(spark, sf, "file_evidence"), meta)
+    n_lines = F.aggregate("sources", F.lit(0).cast("long"), lambda a, s: a + s["n_lines"])
+    return p.select("snapshot_id", F.size("sources").cast("long").alias("n_sources"), n_lines.alias("n_lines"), F.size("file_evidence").cast("long").alias("n_records"), F.lit(len(p.columns) - 1).alias("n_fields"))
+
+
+@query(f"""WITH f AS (SELECT snapshot_id, side, path, region, fragment_id FROM {ONCE} UNION ALL SELECT snapshot_id, side, path, region, fragment_id || '+' FROM {ONCE} WHERE idx % 4 = 0),
+ e AS (SELECT snapshot_id, rec_idx, 'base' AS side, base.path AS path, base.coverage AS coverage, head.path AS head_path FROM file_evidence UNION ALL SELECT snapshot_id, rec_idx, 'head', head.path, head.coverage, head.path FROM file_evidence),
+ p AS (SELECT f.snapshot_id, f.side, coalesce(CASE WHEN f.side = 'base' AND e.rec_idx % 6 = 5 THEN 'r' ELSE f.region END, e.head_path) AS region, e.rec_idx, e.coverage FROM f JOIN e USING (snapshot_id, side, path))
+ SELECT rule, count(*) AS n FROM (SELECT 'one fragment a region and side' AS rule FROM (SELECT 1 FROM p GROUP BY snapshot_id, region, side HAVING count(*) > 1) UNION ALL SELECT 'region of one record' FROM (SELECT 1 FROM p GROUP BY snapshot_id, region HAVING count(DISTINCT rec_idx) > 1)
+ UNION ALL SELECT 'whole sides share a region' FROM (SELECT 1 FROM p WHERE coverage = 'full' GROUP BY snapshot_id, rec_idx HAVING count(DISTINCT region) > 1)) GROUP BY 1""")
+def planted_region_faults(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each rule of regions is broken: a quarter of the fragments come again, and base sides of some records share one region."""
+    e = table(spark, sf, "file_evidence")
+    f = each_fragment(spark, sf, "snapshot_id", "side", "path", "region", "idx")
+    f = f.unionByName(f.where("idx % 4 = 0").withColumn("fragment_id", F.concat("fragment_id", F.lit("+"))))
+    marked = e.where("rec_idx % 6 = 5").select("snapshot_id", F.col("base.path").alias("path"), F.lit("base").alias("side"), F.lit("r").alias("_r")).distinct()
+    f = f.join(marked, ["snapshot_id", "path", "side"], "left").withColumn("region", F.coalesce("_r", "region")).drop("_r")
+    return integrity.region_rules(f, e).groupBy("rule").agg(F.count("*").alias("n"))

@@ -203,3 +203,84 @@ def part_rules(passages: DataFrame, most_bytes: int = 24_576) -> DataFrame:
         broken(passages.where(X.prose_length(F.col("text")) > MAX_PREAMBLE), "prose", F.col("passage_id")),
         broken(passages.groupBy("snapshot_id").agg(F.sum(body).alias("n")).where(F.col("n") > most_bytes), "size of the part", F.col("n")),
     ])
+
+
+def passage_rules(passages: DataFrame, members: DataFrame, changes: DataFrame) -> DataFrame:
+    """Passages of groups: told texts, changes of their own group once each, a known view, and a focus inside the one definition it is of.
+
+    passages: snapshot_id, group_id, passage_id, text, change_ids, view, label, focus (struct of start and end, or null).
+    """
+    own = members.groupBy("snapshot_id", "group_id").agg(F.collect_set("change_id").alias("own"))
+    side = F.coalesce("after", "before")
+    spans = changes.select("snapshot_id", F.col("change_id").alias("only"), side["start"].alias("first"), side["end"].alias("last"))
+    ids = F.coalesce("change_ids", F.array().cast("array<string>"))
+    held = passages.withColumn("only", F.get(ids, F.lit(0))).join(own, ["snapshot_id", "group_id"], "left").join(spans, ["snapshot_id", "only"], "left")
+    focused = held.where("focus is not null")
+    inside = (F.col("first") <= F.col("focus.start")) & (F.col("focus.start") <= F.col("focus.end")) & (F.col("focus.end") <= F.col("last"))
+    item = F.col("passage_id")
+    return union([
+        broken(held.where(F.coalesce(F.length(F.trim("text")), F.lit(0)) == 0), "passage has a text", item),
+        broken(held.where(F.length("text") > MAX_PASSAGE), "bounded passage", item),
+        broken(held.where(F.size(ids) == 0), "passage has a change", item),
+        broken(held.where(F.size(F.array_except(ids, F.coalesce("own", F.array().cast("array<string>")))) > 0), "change of its group", item),
+        broken(held.where(F.size(F.array_distinct(ids)) < F.size(ids)), "change once", item),
+        broken(held.where(~F.coalesce("view", F.lit("definition")).isin("definition", "diff")), "view", item),
+        broken(held.where(F.length("label") > MAX_LABEL), "label", item),
+        broken(focused.where((F.size(ids) != 1) | (F.coalesce("view", F.lit("definition")) == "diff")), "focus of one definition", item),
+        broken(focused.where(~F.coalesce(inside, F.lit(False))), "focus inside its definition", item),
+    ])
+
+
+def editorial_rules(references: DataFrame, passages: DataFrame, routes: DataFrame) -> DataFrame:
+    """What an editor refers to: told passages only, each once, at least one; routes of different kinds, the mechanism among them.
+
+    references: snapshot_id, field, passage_ids; routes: snapshot_id, kind.
+    """
+    flat = references.select("snapshot_id", "field", F.explode("passage_ids").alias("passage_id"))
+    kinds = routes.groupBy("snapshot_id").agg(F.count("*").alias("n"), F.countDistinct("kind").alias("d"), F.count_if(F.col("kind") == "mechanism").alias("m"))
+    return union([
+        broken(references.where(F.size("passage_ids") < 1), "reference names a passage", F.col("field")),
+        broken(references.where(F.size(F.array_distinct("passage_ids")) < F.size("passage_ids")), "reference names a passage once", F.col("field")),
+        broken(flat.join(passages.select("snapshot_id", "passage_id").distinct(), ["snapshot_id", "passage_id"], "left_anti"), "referred passage is there", F.concat_ws(" ", "field", "passage_id")),
+        broken(kinds.where("d < n"), "routes of different kinds", F.col("n")),
+        broken(kinds.where("m = 0"), "mechanism route", F.col("n")),
+    ])
+
+
+#: Calls of a run, and bytes of what it adds to a packet.
+MOST_CALLS, MOST_ADDED_BYTES = 12, 1 << 20
+REPORT_KEYS = ("generation", "packet", "schema", "story")
+
+
+def walkthrough_rules(reports: DataFrame, version: str) -> DataFrame:
+    """Reports with a written story: exact keys, version, digest and revisions of their packet, a named writer, calls and bytes within limits.
+
+    reports: snapshot_id, body (the report's JSON), packet_digest, base_sha and head_sha (of the packet that it must be of).
+    """
+    generation = F.from_json(F.get_json_object("body", "$.generation"), "evidence_digest string, base_sha string, head_sha string, provider string, model string, destination string, usage struct<calls:bigint,unreported_calls:bigint,input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint>")
+    g = reports.withColumn("g", generation)
+    added = F.octet_length(F.coalesce(F.get_json_object("body", "$.story"), F.lit(""))) + F.octet_length(F.coalesce(F.get_json_object("body", "$.generation"), F.lit("")))
+    named = reduce(lambda a, b: a & b, (F.coalesce(F.length(F.trim(F.col(f"g.{c}"))), F.lit(0)) > 0 for c in ("provider", "model", "destination")))
+    usage = F.col("g.usage")
+    counts = [F.coalesce(usage[c], F.lit(-1)) for c in ("calls", "unreported_calls", "input_tokens", "cached_input_tokens", "output_tokens")]
+    sound = (F.least(*counts) >= 0) & (usage["cached_input_tokens"] <= usage["input_tokens"]) & (usage["unreported_calls"] <= usage["calls"])
+    item = F.col("snapshot_id")
+    return union([
+        broken(g.where(~F.sort_array(F.json_object_keys("body")).eqNullSafe(F.array(*map(F.lit, REPORT_KEYS)))), "keys of a report", item),
+        broken(g.where(~F.get_json_object("body", "$.schema").eqNullSafe(F.lit(version))), "version of a report", item),
+        broken(g.where(~F.col("g.evidence_digest").eqNullSafe(F.col("packet_digest"))), "digest of the packet", item),
+        broken(g.where(~(F.col("g.base_sha").eqNullSafe(F.col("base_sha")) & F.col("g.head_sha").eqNullSafe(F.col("head_sha")))), "revisions of the packet", item),
+        broken(g.where(~named), "writer is named", item), broken(g.where(~F.coalesce(sound, F.lit(False))), "usage adds up", item),
+        broken(g.where(usage["calls"] > MOST_CALLS), "calls of a run", usage["calls"]), broken(g.where(added > MOST_ADDED_BYTES), "bytes of a story", added),
+    ])
+
+
+def link_rules(groups: DataFrame, edges: DataFrame, links: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges and test links of a report lead from and to groups and symbols that are there."""
+    there, known = groups.select("snapshot_id", "group_id"), symbols.select("snapshot_id", "symbol_id").distinct()
+    ends = edges.select("snapshot_id", F.explode(F.array("provider", "consumer")).alias("group_id")).unionByName(links.select("snapshot_id", "group_id"))
+    named = links.select("snapshot_id", F.explode(F.array("test_id", "symbol_id")).alias("symbol_id"))
+    return union([
+        broken(ends.join(there, ["snapshot_id", "group_id"], "left_anti"), "linked group is there", F.col("group_id")),
+        broken(named.join(known, ["snapshot_id", "symbol_id"], "left_anti"), "linked symbol is there", F.col("symbol_id")),
+    ])

@@ -123,3 +123,28 @@ class Run:
                 pool.shutdown(cancel_futures=True)
                 raise
         return [replies[r] for r in requests]
+
+
+def run_seconds(writers: int, edited: bool = True) -> int:
+    """Seconds of a run: those of a request for each wave of slots, and for the editor."""
+    return min(MOST_SECONDS, SECONDS * (-(-writers // SLOTS) + edited))
+
+
+def state_folder(out: Path, identity: str, given: Path | None = None) -> Path:
+    """Where a plan keeps its ledger: the folder that is given, or one of its own beside the output, so that no plan meets another's budget."""
+    return given if given is not None else out.with_suffix(".state") / identity
+
+
+def narrate(out: Path, requests: list[str], approve: Callable[[int, int], bool], send: Callable[[str], str], validate: Callable[[str], object], merge: Callable[[list[str]], str] | None = None) -> list[str] | None:
+    """Prepare, ask, write and check: the validated replies, and the editor's behind them where ``merge`` makes its request; None if they are not approved.
+
+    ``approve`` is asked once with the number of requests and their bytes, before anything is sent.
+    """
+    identity = Run.key("\0".join(requests))
+    calls = len(requests) + (merge is not None)
+    if not approve(calls, sum(len(r.encode()) for r in requests)):
+        return None
+    folder = state_folder(out, identity)
+    run = Run(folder / "run.json", identity, run_seconds(len(requests), merge is not None))
+    replies = run.parallel(requests, send, validate)
+    return replies if merge is None else [*replies, run.call(merge(replies), send, validate)]

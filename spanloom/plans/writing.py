@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanloom.session import ship
+from spanloom.session import materialize, ship
 
 #: Writers by default and at most, bytes of a packet that one writer takes whole, and of a request.
 DEFAULT_WRITERS, MOST_WRITERS, SMALL_PACKET, REQUEST_BYTES, PROJECTION_BYTES = 4, 8, 80_000, 1_048_576, 24_576
@@ -190,7 +190,9 @@ def usage_totals(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def decode_events(log: DataFrame, keys: list[str], by: str = "seq", line: str = "line") -> DataFrame:
     """A finished log of JSON events: final messages in order, the last valid usage, and the kinds that are not allowed."""
-    event = F.from_json(line, "type string, item struct<type:string,text:string>, usage struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint>")
+    # Strict first: a line with a name twice, or of no JSON, is unread.
+    event = F.from_json(canonical(F.col(line)), "type string, item struct<type:string,text:string>, usage struct<input_tokens:bigint,cached_input_tokens:bigint,output_tokens:bigint>")
+    ship(log.sparkSession)
     read = log.withColumn("_e", event)
     message = F.when((F.col("_e.type") == "item.completed") & (F.col("_e.item.type") == "agent_message"), F.struct(by, F.col("_e.item.text").alias("text")))
     valid = F.col("_e.usage.input_tokens").isNotNull() & (F.col("_e.usage.input_tokens") >= 0) & (F.coalesce("_e.usage.cached_input_tokens", F.lit(0)) <= F.col("_e.usage.input_tokens"))
@@ -201,6 +203,59 @@ def decode_events(log: DataFrame, keys: list[str], by: str = "seq", line: str =
     )
 
 
+def decode_envelope(body: Column) -> Column:
+    """struct<text, usage, fault> of a model's answer: its texts in order, the tokens it reports if they add up, and why it is none."""
+    r = F.from_json(canonical(body), "status string, incomplete_details struct<reason:string>, output array<struct<type:string,content:array<struct<type:string,text:string,refusal:string>>>>, usage struct<input_tokens:bigint,output_tokens:bigint,input_tokens_details:struct<cached_tokens:bigint>>")
+    none = F.array().cast("array<struct<type:string,text:string,refusal:string>>")
+    parts = F.flatten(F.transform(F.filter(F.coalesce(r["output"], F.array().cast("array<struct<type:string,content:array<struct<type:string,text:string,refusal:string>>>>")), lambda o: o["type"] == "message"), lambda o: F.coalesce(o["content"], none)))
+    text = F.array_join(F.transform(F.filter(parts, lambda p: p["type"] == "output_text"), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    cached = F.coalesce(r["usage"]["input_tokens_details"]["cached_tokens"], F.lit(0))
+    told = (r["usage"]["input_tokens"] >= 0) & (r["usage"]["output_tokens"] >= 0) & (cached >= 0) & (cached <= r["usage"]["input_tokens"])
+    fault = (
+        F.when(r.isNull() | r["status"].isNull(), "malformed").when(r["status"] == "incomplete", F.coalesce(r["incomplete_details"]["reason"], F.lit("incomplete"))).when(r["status"] != "completed", "failed")
+        .when(F.exists(parts, lambda p: p["type"] == "refusal"), "refusal").when(text == "", "no text")
+    )
+    usage = F.when(told, F.struct(r["usage"]["input_tokens"].alias("input_tokens"), cached.alias("cached_input_tokens"), r["usage"]["output_tokens"].alias("output_tokens")))
+    return F.struct(F.when(fault.isNull(), text).alias("text"), usage.alias("usage"), fault.alias("fault"))
+
+
+def remap_references(references: DataFrame, mapping: DataFrame) -> DataFrame:
+    """References whose passages were merged: their passage_ids by the merged ones, in order, each once. mapping: snapshot_id, passage_id, merged_id."""
+    flat = references.select("snapshot_id", "field", F.posexplode("passage_ids").alias("at", "passage_id")).join(mapping.select("snapshot_id", "passage_id", "merged_id"), ["snapshot_id", "passage_id"], "left")
+    new = F.coalesce("merged_id", "passage_id")
+    return flat.groupBy("snapshot_id", "field").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("at", new.alias("id")))), lambda x: x["id"])).alias("passage_ids"))
+
+
+def bound_steps(documents: DataFrame, steps: DataFrame, meta: DataFrame) -> DataFrame:
+    """The steps of annotation documents of the revisions that were compiled; one of other revisions fails the job.
+
+    documents: snapshot_id, base_sha, head_sha; meta likewise.
+    """
+    pinned = meta.select("snapshot_id", F.col("base_sha").alias("_b"), F.col("head_sha").alias("_h"))
+    same = F.col("base_sha").eqNullSafe(F.col("_b")) & F.col("head_sha").eqNullSafe(F.col("_h"))
+    checked = documents.join(pinned, "snapshot_id", "left").where(F.when(same, True).otherwise(F.raise_error(F.concat(F.lit("annotations of other revisions: "), F.col("snapshot_id").cast("string"))).cast("boolean")))
+    return steps.join(checked.select("snapshot_id"), "snapshot_id")
+
+
+def apply_walkthrough(packets: DataFrame, annotations: DataFrame, version: str) -> DataFrame:
+    """snapshot_id and body of the reports that packets and written annotations make, after the rules of such reports; a broken one fails the job.
+
+    packets: snapshot_id, packet (JSON), base_sha, head_sha; annotations: snapshot_id, story and generation (JSON).
+    """
+    from spanloom.operators import integrity
+
+    body = F.concat(F.lit('{"schema":'), F.to_json(F.array(F.lit(version))).substr(F.lit(2), F.lit(len(version) + 2)), F.lit(',"packet":'), "packet", F.lit(',"story":'), "story", F.lit(',"generation":'), "generation", F.lit("}"))
+    made = materialize(packets.join(annotations, "snapshot_id").select("snapshot_id", body.alias("body"), identity(F.col("packet")).alias("packet_digest"), "base_sha", "head_sha"), "walkthrough")
+    integrity.enforce(integrity.walkthrough_rules(made, version)).collect()
+    return made.select("snapshot_id", "body")
+
+
+def over_capacity(requests_: DataFrame, capacity: int, reserve: int, most_bytes: int, vocabulary: str | None = None) -> DataFrame:
+    """Requests that cannot be sent: beyond ``most_bytes``, or whose estimate and reserve for the answer exceed the context."""
+    sized = requests_.withColumn("estimate", token_estimate(F.col("request"), vocabulary))
+    return sized.where((F.octet_length("request") > most_bytes) | ~fits(F.col("estimate"), F.lit(reserve), F.lit(capacity)))
+
+
 def cached_results(requests_: DataFrame, cache: DataFrame) -> DataFrame:
     """Requests with their stored results, where the stored digest still holds. cache: request_key, result, result_digest."""
     sound = cache.where(F.sha2("result", 256) == F.col("result_digest")).dropDuplicates(["request_key"])

@@ -152,9 +152,9 @@ def permalinks(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("fragment_id", X.permalink(repository, revision, F.col("path"), F.col("start_line"), F.col("start_line") + 1).alias("link"))
 
 
-@query("""WITH s AS (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark) SELECT item_id, CAST(len(string_split_regex(t, '[.!?] ')) AS BIGINT) AS n FROM s""")
+@query("""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '[\\s\\x0b]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, CAST(CASE WHEN t IS NULL THEN NULL WHEN t = '' THEN 0 ELSE len(string_split_regex(t, '[.!?] ')) END AS BIGINT) AS n FROM s""")
 def sentence_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select("item_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
 
 
 @query("SELECT kind, label FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.LABELS.items()) + ") t(kind, label)")
@@ -310,13 +310,6 @@ def coverage_violations(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query()
-def snapshot_violations(spark: SparkSession, sf: str) -> DataFrame:
-    meta = tables.first_delivery(table(spark, sf, "snapshot_meta"), "snapshot_id")
-    f, e = fragments(spark, sf), table(spark, sf, "file_evidence")
-    return integrity.snapshot(meta, f, e, table(spark, sf, "patches")).unionByName(integrity.region_rules(f, e))
-
-
 @query(f"""WITH m AS (SELECT DISTINCT ON (snapshot_id) * FROM snapshot_meta ORDER BY snapshot_id, ingested_at) SELECT f.fragment_id AS source_id, CASE WHEN f.side = 'base' THEN m.base_sha ELSE m.head_sha END AS revision, CAST(len({LINES.format('f.text')}) AS BIGINT) AS n_lines, sha256(f.text) AS digest
  FROM {ONCE} f JOIN m USING (snapshot_id)""")
 def packet_sources(spark: SparkSession, sf: str) -> DataFrame:
@@ -377,7 +370,7 @@ def line_hunks(spark: SparkSession, sf: str) -> DataFrame:
 _LAST: dict[tuple[str, str], plan.Compiled] = {}
 
 
-def _compiled(spark: SparkSession, sf: str) -> plan.Compiled:
+def compiled(spark: SparkSession, sf: str) -> plan.Compiled:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _LAST:
         _LAST.clear()
@@ -388,7 +381,7 @@ def _compiled(spark: SparkSession, sf: str) -> plan.Compiled:
 @query()
 def compiled_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Every change of every snapshot with its kind, evidence and group."""
-    c = _compiled(spark, sf).changes
+    c = compiled(spark, sf).changes
     s = F.coalesce("after", "before")
     return c.select("snapshot_id", "change_id", "kind", "label", s["path"].alias("path"), s["name"].alias("name"), s["start"].alias("start"), "signature_changed", "docstring_changed", "group_id", "basis")
 
@@ -396,19 +389,19 @@ def compiled_changes(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def compiled_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Groups in reading order."""
-    g = _compiled(spark, sf).groups
+    g = compiled(spark, sf).groups
     return g.select("snapshot_id", "number", "group_id", "theme", "title", "why_now", "next_id", F.array_join("prerequisites", ",").alias("prerequisites"), "in_cycle")
 
 
 @query()
 def compiled_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _compiled(spark, sf).stats
+    return compiled(spark, sf).stats
 
 
 @query()
 def compiled_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Changed regions with the changes that lie in them, and those that lie in none."""
-    c = _compiled(spark, sf)
+    c = compiled(spark, sf)
     found = materialize(packet.diff_regions(c.raw_files), "regions")
     mapped = packet.changes_of_regions(found, c.changes)
     told = mapped.groupBy("snapshot_id", "region_id").agg(F.count("*").alias("n_changes"))

@@ -108,8 +108,18 @@ def forbidden_files(found: DataFrame, allowed: list[str]) -> DataFrame:
     return found.select("path", faults.alias("faults")).where(F.size("faults") > 0)
 
 
-def decode_content(files_: DataFrame) -> DataFrame:
-    """Contents of a code host's file records: text, or the reason why there is none. Columns encoding, size, content, type."""
+def decode_content(files_: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
+    """Contents of a code host's file records: text, or the reason why there is none. Columns encoding, size, content, type.
+
+    A record too large for its content (encoding none) takes it from its blob, by ``sha``, where ``blobs`` (sha, encoding,
+    size, content) are given; the sizes that both declare must agree.
+    """
+    if blobs is not None:
+        large = F.col("encoding") == "none"
+        b = blobs.select("sha", F.col("encoding").alias("_encoding"), F.col("size").alias("_size"), F.col("content").alias("_content")).dropDuplicates(["sha"])
+        files_ = files_.join(b, "sha", "left").withColumns({
+            "size": F.when(large & (F.col("_size") != F.col("size")), F.lit(-1)).otherwise(F.col("size")), "content": F.when(large, F.col("_content")).otherwise(F.col("content")), "encoding": F.when(large, F.coalesce("_encoding", "encoding")).otherwise(F.col("encoding")),
+        }).drop("_encoding", "_size", "_content")
     data = F.when(F.col("encoding") == "base64", F.try_to_binary(F.regexp_replace("content", r"\s", ""), F.lit("base64")))
     reason = (
         F.when(F.col("type") != "file", "unsupported_object")
