@@ -68,9 +68,22 @@ def coverage_label(definition_start: Column, definition_end: Column, start: Colu
     return F.when((start <= definition_start) & (definition_end <= end), "full").when((start <= definition_end) & (definition_start <= end), "partial").otherwise("not_supplied")
 
 
-def overlapping(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of intervals that overlap, ends included: an equality join with a range left over. Columns start, end and b_start, b_end."""
-    return a.join(b.withColumnsRenamed({"start": "b_start", "end": "b_end"}), on).where("start <= b_end and b_start <= end")
+def overlapping(a: DataFrame, b: DataFrame, on: list[str], width: int | None = None) -> DataFrame:
+    """Pairs of intervals (start <= end) that overlap, ends included. Columns start, end and b_start, b_end.
+
+    With ``width``, whole-numbered intervals lie in bins of that width and only those with a bin in common meet, each pair
+    in the bin of its later start; so a key of very many intervals is split, and short ones do not meet all others.
+    """
+    b = b.withColumnsRenamed({"start": "b_start", "end": "b_end"})
+    meet = "start <= b_end and b_start <= end"
+    if width is None:
+        return a.join(b, on).where(meet)
+
+    def binned(df: DataFrame, start: str, end: str) -> DataFrame:
+        return df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+
+    joined = binned(a, "start", "end").join(binned(b, "b_start", "b_end"), [*on, "_bin"])
+    return joined.where(meet).where(F.col("_bin") == F.floor(F.greatest("start", "b_start") / width)).drop("_bin")
 
 
 def islands(lines: DataFrame, keys: list[str], line: str = "line") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators import packet
+from spanloom.operators import packet, projections
 from spanloom.plans.compile import Compiled
 
 VERSION = "packet.v1"
@@ -64,3 +64,24 @@ def packets(c: Compiled, fragments: DataFrame, file_evidence: DataFrame, meta: D
     out = out.withColumns({n: F.coalesce(F.col(n), F.array().cast(out.schema[n].dataType)) for n in lists})
     analysis = F.struct("tests", "symbol_edges", "cycles", "unresolved", F.lit(METHOD).alias("method"))
     return out.withColumns({"schema": F.lit(VERSION), "analysis": analysis}).select("snapshot_id", *FIELDS)
+
+
+def reader_table(c: Compiled) -> DataFrame:
+    """What a reader page shows, one row a snapshot: groups in order with narrative, changes, rows of differences and caveats, as JSON of ``render_html``."""
+    told = projections.group_narratives(c.groups, c.changes, c.members)
+    named = F.coalesce("after.name", "before.name")
+    path = F.coalesce("after.path", "before.path")
+    places = c.changes.select("snapshot_id", "group_id", path.alias("path")).distinct()
+    changes = c.changes.groupBy("snapshot_id", "group_id").agg(F.sort_array(F.collect_list(F.struct("change_id", "label", named.alias("name"), "basis"))).alias("changes"))
+    rows = F.flatten(F.transform("residual.hunks", lambda h: h["rows"])).alias("rows")
+    differs = c.raw_files.select("snapshot_id", F.col("head_path").alias("path"), rows).where(F.size("rows") > 0).join(places, ["snapshot_id", "path"])
+    differs = differs.groupBy("snapshot_id", "group_id").agg(F.sort_array(F.collect_list(F.struct("path", "rows"))).alias("diffs"))
+    known = projections.caveats(c.coverage)
+    said = F.filter(F.array(*[F.when(F.col(n), F.concat(F.lit(f"{text} "), "side", F.lit(" "), "path")) for n, text in (("partial", "Only part is supplied:"), ("failed", "Not parsed:"), ("text_only", "Text only:"), ("unavailable", "Unavailable:"))]), lambda x: x.isNotNull())
+    caveats = known.join(places, ["snapshot_id", "path"]).groupBy("snapshot_id", "group_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(said)))).alias("caveats"))
+    groups = c.groups.select("snapshot_id", "group_id", "number", "title", "why_now")
+    for part in (told, changes, differs, caveats):
+        groups = groups.join(part, ["snapshot_id", "group_id"], "left")
+    shown = [n for n in groups.columns if n not in ("snapshot_id", "number")]
+    listed = groups.groupBy("snapshot_id").agg(F.sort_array(F.collect_list(F.struct("number", *shown))).alias("groups"))
+    return listed.select("snapshot_id", F.to_json(F.struct("groups")).alias("report"))

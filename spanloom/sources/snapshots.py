@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom import schemas
+from spanloom.functions import markup
 from spanloom.functions import text as X
 from spanloom.session import materialize
 
@@ -323,14 +324,39 @@ def encode_content(text: str) -> dict:
     return {"type": "file", "encoding": "base64", "size": len(data), "content": base64.b64encode(data).decode()}
 
 
+#: The page's own code: everything comes from the data as text, and nothing is ever read as markup but what was escaped here.
+_PAGE = """
+const report=JSON.parse(document.getElementById('data').textContent),list=document.getElementById('groups'),box=document.getElementById('search');
+function add(parent,name,text,kind){const e=document.createElement(name);if(text!==undefined&&text!==null)e.textContent=text;if(kind)e.className=kind;parent.append(e);return e}
+function flat(x){return String(x||'').toLowerCase().replace(/\\s+/g,' ')}
+for(const g of report.groups){const s=add(list,'li',null,'group');add(s,'h2',g.number+'. '+g.title);add(s,'p',g.why_now);
+ for(const key of ['intent','before','after','takeaway'])if(g[key])add(s,'p',g[key],key);
+ for(const q of [...(g.invariants||[]),...(g.questions||[])])add(s,'p',q,'check');
+ for(const c of g.changes||[]){const d=add(s,'details',null,'change');add(d,'summary',c.label+' · '+(c.name||''));add(d,'p',c.basis)}
+ for(const d of g.diffs||[]){add(s,'h3',d.path);const t=add(s,'pre',null,'diff');for(const r of d.rows){const l=add(t,'div',null,r.tag);add(l,'span',(r.old??'')+' '+(r.new??''),'number');l.append(document.createRange().createContextualFragment(r.html))}}
+ for(const w of g.caveats||[])add(s,'p',w,'caveat');s.dataset.text=flat(s.textContent)}
+for(const w of report.warnings||[])add(document.getElementById('warnings'),'p',w);
+box.addEventListener('input',()=>{const q=flat(box.value).trim();for(const s of list.children)s.hidden=q!==''&&!s.dataset.text.includes(q)});
+"""
+
+
 def render_html(report: dict, title: str) -> str:
-    """One report as a page that stands alone; its data lie in a script element and are escaped for it."""
-    data = json.dumps(report, ensure_ascii=False)
+    """One report as a page that stands alone: groups with their narrative, changes, differences and caveats, and a search.
+
+    Its data lie in a script element and are escaped for it; rows of differences (tag, old, new, text) get their
+    highlighted ``html`` here, all other texts are set as texts by the page.
+    """
+    shown = json.loads(json.dumps(report))
+    for group in shown.get("groups", ()):
+        for shown_diff in group.get("diffs", ()):
+            for row in shown_diff["rows"]:
+                row["html"] = markup.highlighted(row.pop("text"))
+    data = json.dumps(shown, ensure_ascii=False)
     for a, b in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         data = data.replace(a, b)
     name = title.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    script = "const r=JSON.parse(document.getElementById('data').textContent),l=document.getElementById('groups');for(const g of r.groups){const i=document.createElement('li');i.textContent=g.number+'. '+g.title+' — '+g.why_now;l.append(i)}"
-    return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{name}</title><h1>{name}</h1><ol id="groups"></ol><script type="application/json" id="data">{data}</script><script>{script}</script></html>'
+    body = f'<h1>{name}</h1><div id="warnings"></div><input id="search" type="search"><ol id="groups"></ol>'
+    return f'<!doctype html><html lang="en"><meta charset="utf-8"><title>{name}</title>{body}<script type="application/json" id="data">{data}</script><script>{_PAGE}</script></html>'
 
 
 def read_reports(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

@@ -1,11 +1,13 @@
 import base64
+import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import markup
-from spanloom.operators import diff, integrity
+from spanloom.operators import diff, integrity, packet
 from spanloom.plans import compile as plan
 from spanloom.plans import documents, runs, writing
 from spanloom.sources import snapshots
@@ -32,6 +34,26 @@ def test_packets_have_their_twelve_fields(spark, demo):
     assert {r.rule for r in integrity.link_rules(c.groups.limit(0), c.group_edges, c.test_links, c.symbols).collect()} == {"linked group is there"}
 
 
+def test_reader_pages(spark, demo):
+    _, c = demo
+    (r,) = documents.reader_table(c).collect()
+    report = json.loads(r.report)
+    assert [g["number"] for g in report["groups"]] == list(range(1, c.groups.count() + 1)) and all(g["takeaway"] and g["changes"] for g in report["groups"])
+    rows = [x for g in report["groups"] for d in g.get("diffs", []) for x in d["rows"]]
+    assert {"add", "delete"} <= {x["tag"] for x in rows} and any(g.get("caveats") for g in report["groups"])
+    page = snapshots.render_html(report, "Demo")
+    assert page.count("</script>") == 2 and "token-keyword" in page and 'id="search"' in page and "<span class" not in page
+
+
+def test_binned_intervals_meet_once(spark):
+    rng = random.Random(4)
+    rows = [(k, i, s, s + rng.randrange(40)) for k in (1, 2) for i in range(60) for s in [rng.randrange(-50, 300)]]
+    a, b = (spark.createDataFrame(rows, f"k int, {x} int, start int, end int") for x in "ij")
+    want = sorted((r.k, r.i, r.j) for r in packet.overlapping(a, b, ["k"]).collect())
+    for width in (1, 16, 1000):
+        assert sorted((r.k, r.i, r.j) for r in packet.overlapping(a, b, ["k"], width).collect()) == want
+
+
 def test_passages_of_groups(spark):
     members = spark.createDataFrame([(1, "g", "c1"), (1, "g", "c2"), (1, "h", "c3")], "snapshot_id long, group_id string, change_id string")
     side = "struct<start:int,end:int>"
