@@ -269,10 +269,10 @@ def changed_hulls(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT a.o_custkey AS custkey, a.o_orderkey AS a, b.o_orderkey AS b FROM (SELECT o_custkey, o_orderkey, min(l_shipdate) AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) a
  JOIN (SELECT o_custkey, o_orderkey, min(l_shipdate) AS s, max(l_shipdate) AS e FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2) b ON a.o_custkey = b.o_custkey AND a.s <= b.e AND b.s <= a.e AND a.o_orderkey < b.o_orderkey""")
 def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders of one customer whose shipping times overlap: the engine's overlap join on days, in bins of sixty."""
+    """Orders of one customer whose shipping times overlap: the engine's overlap join on days."""
     spans = table(spark, sf, "orders").join(table(spark, sf, "lineitem").withColumn("day", F.unix_date(F.col("l_shipdate").cast("date"))), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("custkey"), "o_orderkey").agg(F.min("day").alias("start"), F.max("day").alias("end"))
     spans = materialize(spans, "spans")
-    return packet.overlapping(spans.withColumnRenamed("o_orderkey", "a"), spans.withColumnRenamed("o_orderkey", "b"), ["custkey"], 60).where("a < b").select("custkey", "a", "b")
+    return packet.overlapping(spans.withColumnRenamed("o_orderkey", "a"), spans.withColumnRenamed("o_orderkey", "b"), ["custkey"]).where("a < b").select("custkey", "a", "b")
 
 
 @query("SELECT user_id, array_to_string(list(event_type ORDER BY t, event_type), ',') AS items FROM (SELECT user_id, event_type, min(event_id) AS t FROM events GROUP BY 1, 2) GROUP BY 1")
