@@ -27,7 +27,7 @@ THRESHOLDS = {
     "style": {"max_line": 180, "mean_line": 90, "white": 0.06, "alnum": 0.30, "encoded": 0.50, "dense": 0.60},
     "typed": {"max_line": 180, "mean_line": 90, "white": 0.08, "alnum": 0.30, "digits": 0.30, "numbers": 60, "encoded": 0.50, "dense": 0.60, "shapes": 0.30, "numbered": 0.20},
     "indented": {"digits": 0.30, "numbers": 60, "encoded": 0.50, "dense": 0.60, "shapes": 0.30, "numbered": 0.36},
-    "config": {"digits": 0.45, "numbers": 200, "encoded": 0.70, "dense": 0.75, "integrity": 2},
+    "config": {"digits": 0.45, "numbers": 200, "encoded": 0.70, "dense": 0.75},
     "other": {"max_line": 500, "mean_line": 250, "white": 0.06, "alnum": 0.30, "digits": 0.45, "numbers": 100, "encoded": 0.70, "dense": 0.75},
 }
 #: Family of each extension; any other extension, and none, is ``other``. Armoured keys have no thresholds.
@@ -41,6 +41,8 @@ FAMILIES = {
 }
 #: Data files need this many characters of encoded runs and generated ones this many lines.
 MIN_ENCODED, MIN_LINES = 600, 10
+#: Entries with a digest or an address that a lock file under another name has at least.
+MIN_INTEGRITY = 2
 
 #: A line of the leading comment block, which is as long as it is; block comments go on until they are closed.
 _COMMENT = re.compile(r"[ \t]*(?P<mark>//|#|/\*|\*|<!--|--|;|%)?(?P<rest>[^\n]*)(?:\n|\Z)")
@@ -83,7 +85,7 @@ _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint
 #: An encoded run needs this many characters.
 _RUN = 48
 
-MEASURES = "struct<chars long, lines long, max_line long, mean_line double, white double, alnum double, digits double, numbers long, encoded long, shapes double, numbered double, stated int>"
+MEASURES = "struct<chars long, lines long, max_line long, mean_line double, white double, alnum double, digits double, numbers long, encoded long, shapes double, numbered double, stated int, marks int>"
 
 
 #: Bytes measured at a time, unless one text has more; intermediate arrays take some hundred bytes for each.
@@ -195,14 +197,38 @@ def _portion(texts: list[str | None]) -> pd.DataFrame:
     })
 
 
+#: What layout tells of a file, as bits of ``marks``.
+MINIFIED, DATA, REPEATED = 1, 2, 4
+
+
+def marks(m: pd.DataFrame, families: pd.Series) -> np.ndarray:
+    """The MINIFIED, DATA and REPEATED bits of measured texts under the thresholds of their families; one that is not set holds for none."""
+
+    def limit(name: str) -> np.ndarray:
+        return families.map({family: values.get(name, np.nan) for family, values in THRESHOLDS.items()}).to_numpy(np.float64)
+
+    tight = (m["white"] <= limit("white")) | (m["mean_line"] >= 4 * limit("mean_line")) & (m["white"] <= np.minimum(2 * limit("white"), 0.12))
+    long_lines = (m["max_line"] >= limit("max_line")) & (m["mean_line"] >= limit("mean_line")) & tight & (m["alnum"] >= limit("alnum"))
+    numeric = (m["digits"] >= limit("digits")) & (m["numbers"] >= limit("numbers"))
+    encoded = (m["encoded"] >= limit("encoded") * np.maximum(m["chars"], 1)) & (m["encoded"] >= MIN_ENCODED) & (m["alnum"] >= limit("dense"))
+    data = numeric | encoded
+    minified = long_lines & ~data
+    repeated = (m["lines"] >= MIN_LINES) & (m["shapes"] <= limit("shapes")) & (m["numbered"] >= limit("numbered")) & ~data & ~minified
+    return (MINIFIED * minified + DATA * data + REPEATED * repeated).to_numpy(np.int32)
+
+
 def layout(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """Add the layout statistics of each text, and its language family, as struct column ``layout``."""
+    """Add the layout statistics of each text, what they tell, and its language family, as struct column ``layout``."""
     family = F.lit("other")
     ext = extension(F.coalesce(F.col(path), F.lit("")))
     for name in dict.fromkeys(FAMILIES.values()):
         family = F.when(ext.isin([e for e, f in FAMILIES.items() if f == name]), F.lit(name)).otherwise(family)
-    measured = F.pandas_udf(measure, MEASURES)
-    return spread(df).withColumn("layout", measured(F.col(text))).withColumn("layout", F.col("layout").withField("family", family))
+    def each(texts: pd.Series, families: pd.Series) -> pd.DataFrame:
+        m = measure(texts)
+        return m.assign(marks=marks(m, families))
+
+    measured = F.pandas_udf(each, MEASURES)
+    return spread(df).withColumn("layout", measured(F.col(text), family)).withColumn("layout", F.col("layout").withField("family", family))
 
 
 def classify(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
@@ -215,26 +241,15 @@ def classify(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame
     t, p = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(path), F.lit(""))
     s = F.col("layout")
 
-    def limit(name: str) -> Column:
-        out = F.lit(None).cast("double")
-        for family, values in THRESHOLDS.items():
-            if name in values:
-                out = F.when(s["family"] == family, F.lit(float(values[name]))).otherwise(out)
-        return out
-
-    tight = (s["white"] <= limit("white")) | (s["mean_line"] >= 4 * limit("mean_line")) & (s["white"] <= F.least(2 * limit("white"), F.lit(0.12)))
-    long_lines = (s["max_line"] >= limit("max_line")) & (s["mean_line"] >= limit("mean_line")) & tight & (s["alnum"] >= limit("alnum"))
-    numeric = (s["digits"] >= limit("digits")) & (s["numbers"] >= limit("numbers"))
-    encoded = (s["encoded"] / F.greatest(F.length(t), F.lit(1)) >= limit("encoded")) & (s["encoded"] >= MIN_ENCODED) & (s["alnum"] >= limit("dense"))
-    data = F.coalesce(numeric, F.lit(False)) | F.coalesce(encoded, F.lit(False))
-    minified = F.coalesce(long_lines, F.lit(False)) & ~data
-    repeated = (s["lines"] >= MIN_LINES) & (s["shapes"] <= limit("shapes")) & (s["numbered"] >= limit("numbered")) & ~data & ~minified
+    def told(bits: int) -> Column:
+        return s["marks"].bitwiseAND(bits) > 0
+
     reasons = {
-        "generated": (s["stated"].bitwiseAND(1) > 0) | repeated,
-        "lock": p.rlike(LOCK_NAME) | (t.contains('"lockfileVersion"') & (F.regexp_count(t, F.lit(r'"integrity"|"resolved"')) >= limit("integrity"))),
-        "minified": minified,
+        "generated": (s["stated"].bitwiseAND(1) > 0) | told(REPEATED),
+        "lock": p.rlike(LOCK_NAME) | ((s["family"] == "config") & t.contains('"lockfileVersion"') & (F.regexp_count(t, F.lit(r'"integrity"|"resolved"')) >= MIN_INTEGRITY)),
+        "minified": told(MINIFIED),
         "vendored": p.rlike(VENDOR_PATH) | (s["stated"].bitwiseAND(2) > 0),
-        "data": data,
+        "data": told(DATA),
     }
     marks = F.filter(F.array(*[F.when(F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in reasons.items()]), lambda x: x.isNotNull())
     return layout(df, path, text).withColumn("origins", marks)
