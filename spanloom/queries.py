@@ -370,9 +370,17 @@ def line_hunks(spark: SparkSession, sf: str) -> DataFrame:
 _LAST: dict[tuple[str, str], plan.Compiled] = {}
 
 
+def _whole(c: plan.Compiled) -> bool:
+    """Whether all files that a compilation wrote are still there."""
+    files = {f for df in (c.symbols, c.coverage, c.pairs, c.changes, c.raw_files, c.groups, c.members, c.group_edges, c.symbol_edges) for f in df.inputFiles()}
+    spark = c.groups.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    return bool(paths) and all(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) for p in paths)
+
+
 def compiled(spark: SparkSession, sf: str) -> plan.Compiled:
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _LAST:
+    if key not in _LAST or not _whole(_LAST[key]):
         _LAST.clear()
         _LAST[key] = plan.compile_snapshots(table(spark, sf, "demo"), table(spark, sf, "file_evidence"), table(spark, sf, "patches"))
     return _LAST[key]
