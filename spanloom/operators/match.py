@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators import extract
+from spanloom.operators import extract, tables
 from spanloom.session import materialize
 
 MIN_SIMILARITY = 0.40
@@ -130,7 +130,7 @@ def match_symbols(symbols: DataFrame, sources: DataFrame) -> DataFrame:
     slim = materialize(
         symbols.select(
             "snapshot_id", "side", "symbol_id", "path", "name", "node_type", F.col("fingerprint").alias("exact"), F.col("rename_fingerprint").alias("alike"), "fragment_id", "ord",
-        ).dropDuplicates(["snapshot_id", "side", "symbol_id"]),
+        ).transform(tables.least_row, ["snapshot_id", "side", "symbol_id"], ["fragment_id", "ord"]),
         "match-symbols",
     )
     declared = F.col("node_type").isin("FunctionDef", "AsyncFunctionDef", "ClassDef")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,11 @@ def first_delivery(df: DataFrame, key: str | list[str], by: str = "ingested_at")
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(by).asc_nulls_last()))).where("_n = 1").drop("_n")
 
 
+def least_row(df: DataFrame, keys: list[str], by: list[Column | str]) -> DataFrame:
+    """One row a key, the least by ``by``, so that the same one stands however the table is partitioned."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where("_n = 1").drop("_n")
+
+
 def placed_deliveries(fragments: DataFrame) -> DataFrame:
     """Fragments once each, those of one file side in one partition, by a single shuffle of their texts.
 

@@ -37,7 +37,7 @@ class Compiled:
 def symbol_changes(symbols: DataFrame, pairs: DataFrame, coverage: DataFrame) -> DataFrame:
     """Changes of matched and of unmatched declarations; a pair of one path and equal source is none."""
     record = F.struct("symbol_id", "path", "name", "node_type", "start", "end", "source", "fingerprint", "rename_fingerprint", "doc", "signature", "is_test", "fragment_id")
-    once = symbols.dropDuplicates(["snapshot_id", "side", "symbol_id"])
+    once = tables.least_row(symbols, ["snapshot_id", "side", "symbol_id"], ["fragment_id", "ord"])
     old = once.where("side = 'base'").select("snapshot_id", F.col("symbol_id").alias("before_id"), record.alias("before"))
     new = once.where("side = 'head'").select("snapshot_id", F.col("symbol_id").alias("after_id"), record.alias("after"))
     named = pairs.withColumnsRenamed({"before": "before_id", "after": "after_id"})
@@ -77,7 +77,8 @@ def raw_changes(fragments: DataFrame, file_evidence: DataFrame, patches: DataFra
     state = coverage.select("snapshot_id", "side", "path", "absent", "full_source").dropDuplicates(["snapshot_id", "side", "path"])
     head = state.where("side = 'head'").select("snapshot_id", F.col("path").alias("head_path"), F.col("absent").alias("h_absent"), F.col("full_source").alias("h_full"))
     base = state.where("side = 'base'").select("snapshot_id", F.col("path").alias("base_path"), F.col("absent").alias("b_absent"), F.col("full_source").alias("b_full"))
-    texts = patches.select("snapshot_id", F.col("path").alias("head_path"), "origin", "patch").dropDuplicates(["snapshot_id", "head_path"])
+    texts = patches.select("snapshot_id", F.col("path").alias("head_path"), "origin", "patch")
+    texts = tables.least_row(texts, ["snapshot_id", "head_path"], [F.col("patch").asc_nulls_last(), "origin"])
     cover = covered_ranges(changes)
     joined = (
         pairs.withColumns({"head_path": head_path, "base_path": base_path})

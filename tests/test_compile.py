@@ -149,6 +149,14 @@ def test_deliveries_and_tests_are_set_aside(spark):
     assert gone.first().warning == "Excluded 1 changed test file by default."
 
 
+def test_rows_that_repeat_a_key_are_chosen_alike(spark):
+    rows = [(1, "k", "b", None), (1, "k", "b", "x"), (1, "k", "a", "x"), (1, "j", "c", None)]
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, "s int, k string, origin string, patch string").repartition(n)
+        got = tables.least_row(df, ["s", "k"], [F.col("patch").asc_nulls_last(), "origin"])
+        assert {(r.k, r.origin, r.patch) for r in got.collect()} == {("k", "a", "x"), ("j", "c", None)}
+
+
 def test_empty_tables_compile(spark):
     t = snapshots.from_files(spark, {"a.py": "x"}, {"a.py": "x"})
     c = plan.compile_snapshots(*(t[n].limit(0) for n in ("fragments", "file_evidence", "patches")))
